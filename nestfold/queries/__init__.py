@@ -1,6 +1,6 @@
 """One query per operator, with its SQL where SQL can say it."""
 
 from nestfold.queries.base import ORACLES, QUERIES
-from nestfold.queries import data, scaling, scoring, searching, splits  # noqa: F401
+from nestfold.queries import data, modelling, scaling, scoring, searching, splits  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
