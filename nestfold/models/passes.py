@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK = 4096  # numbers per block: 32 KB
+DIRECT = 2_000_000  # numbers (16 MB) that may come to the driver unsummed
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -37,7 +38,13 @@ def batches_of(
 def sum_over_rows(
     df: DataFrame, columns: Sequence[str], task: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int
 ) -> np.ndarray:
-    """Sum of ``task``'s vectors over all partitions of ``df``."""
+    """Sum of ``task``'s vectors over all partitions of ``df``.
+
+    ``df`` should be a scan of a written or cached table. If it has few
+    partitions and the vector is short, the partial sums go to the driver
+    directly; the check keeps that below a fixed number of bytes.
+    """
+    tasks = df.rdd.getNumPartitions()
 
     def partial(stream):
         total = task(stream)
@@ -62,11 +69,11 @@ def sum_over_rows(
         yield from add(stream)
 
     parts = df.select(*columns).mapInArrow(partial, "block int, data binary")
-    totals = parts.groupBy("block").applyInArrow(_typed(add_group), "block int, data binary")
+    totals = parts if tasks * size <= DIRECT else parts.groupBy("block").applyInArrow(_typed(add_group), "block int, data binary")
     out = np.zeros(size)
     for row in totals.collect():
         data = np.frombuffer(row["data"], dtype=np.float64)
-        out[row["block"] * BLOCK: row["block"] * BLOCK + len(data)] = data
+        out[row["block"] * BLOCK: row["block"] * BLOCK + len(data)] += data
     return out
 
 

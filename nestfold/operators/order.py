@@ -52,14 +52,14 @@ def find_cuts(
         base.groupBy(F.substring("h", 1, length).alias("prefix"), "scopes")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("prefix", F.explode("scopes").alias("scope"), "n")
-        .groupBy("scope", "prefix").agg(F.sum("n").alias("n"))
     )
+    # Rows of one (scope, prefix) are peers in the running sum: all get its end.
     by_scope = Window.partitionBy("scope")
     wanted = (
         counts.withColumn("total", F.sum("n").over(by_scope))
         .withColumn("hi", F.sum("n").over(by_scope.orderBy("prefix")))
-        .select("scope", "prefix", "total", (F.col("hi") - F.col("n")).alias("lo"), "hi",
-                F.posexplode(ranks(F.col("total"))).alias("i", "rank"))
+        .withColumn("lo", F.col("hi") - F.sum("n").over(Window.partitionBy("scope", "prefix")))
+        .select("scope", "prefix", "lo", "hi", F.posexplode(ranks(F.col("total"))).alias("i", "rank"))
         .filter((F.col("rank") > F.col("lo")) & (F.col("rank") <= F.col("hi"))
                 | ((F.col("rank") <= 0) & (F.col("lo") == 0)))
         .select("scope", "i", "prefix", "rank", (F.col("rank") - F.col("lo")).alias("within"))

@@ -6,21 +6,27 @@ those k rows. The data is read once for all k scalers, and never copied.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 def fold_partials(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Per fold: rows, and per column min, max, mean and sum of squared deviations."""
+    """Long form, one row per (fold, column): rows, min, max, mean, squared deviations.
+
+    All columns are aggregated in one pass; only the few results are unfolded.
+    """
     aggs = [F.count(F.lit(1)).cast("double").alias("n")]
-    for c in columns:
+    for i, c in enumerate(columns):
         x = F.col(f"`{c}`").cast("double")
         aggs.append(F.struct(
-            F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
+            F.lit(i).alias("at"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
             (F.var_pop(x) * F.count(F.lit(1))).alias("m2"),
-        ).alias(c))
-    return df.groupBy(fold).agg(*aggs)
+        ).alias(f"_{i}"))
+    wide = df.groupBy(fold).agg(*aggs)
+    cells = F.explode(F.array(*[f"_{i}" for i in range(len(columns))]))
+    return wide.select(fold, "n", cells.alias("c")).select(fold, "n", "c.*")
 
 
 def _merge(a: Column, b: Column) -> Column:
@@ -34,54 +40,65 @@ def _merge(a: Column, b: Column) -> Column:
     )
 
 
-def train_stats(partials: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Statistics of each fold's training part, from the k partial rows.
+def train_stats(partials: DataFrame, fold: str = "fold") -> DataFrame:
+    """Long form, one row per (outer run, column): statistics of its training part.
 
-    Struct columns with n, min, max, range, mean, std (population). A zero range
-    or standard deviation is given as 1, so that division leaves zeros.
+    A zero range or standard deviation is given as 1, so that division leaves zeros.
     """
-    parts = partials.agg(F.array_sort(F.collect_list(F.struct(fold, "n", *[F.col(f"`{c}`") for c in columns]))).alias("parts"))
-    per_fold = parts.select("parts", F.explode(f"parts.{fold}").alias(fold))
-    out = [F.col(fold)]
-    for c in columns:
-        others = F.transform(
-            F.filter("parts", lambda p: p[fold] != F.col(fold)),
-            lambda p: F.struct(p["n"].alias("n"), p[c]["min"].alias("min"), p[c]["max"].alias("max"),
-                               p[c]["mean"].alias("mean"), p[c]["m2"].alias("m2")),
-        )
-        pooled = F.reduce(F.slice(others, 2, F.greatest(F.size(others) - 1, F.lit(0))),
-                          F.element_at(others, 1), _merge)
-        out.append(pooled.alias(c))
-    stats = per_fold.select(*out)
-    for c in columns:
-        s = F.col(f"`{c}`")
-        width, std = s["max"] - s["min"], F.sqrt(s["m2"] / s["n"])
-        stats = stats.withColumn(c, F.struct(
-            s["n"].alias("n"), s["min"].alias("min"), s["max"].alias("max"),
-            F.when(width == 0, 1.0).otherwise(width).alias("range"), s["mean"].alias("mean"),
-            F.when(std == 0, 1.0).otherwise(std).alias("std"),
-        ))
-    return stats
-
-
-def fit(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:
-    return train_stats(fold_partials(df, columns, fold), columns, fold)
-
-
-def attach(df: DataFrame, stats: DataFrame, fold: str = "fold", run: int | None = None) -> DataFrame:
-    """Put the statistics next to the rows as ``_s``.
-
-    Without ``run`` every row gets those of its own fold: it is a test row
-    there. With ``run`` all rows get the statistics of that outer run, so the
-    rows of other folds are its training rows. The table has one row per fold.
+    fields = ("n", "min", "max", "mean", "m2")
+    merged = (
+        partials.groupBy("at").agg(F.array_sort(F.collect_list(F.struct(fold, *fields))).alias("parts"))
+        .select("at", "parts", F.explode(f"parts.{fold}").alias(fold))
+        .withColumn("rest", F.transform(F.filter("parts", lambda p: p[fold] != F.col(fold)),
+                                        lambda p: F.struct(*[p[f].alias(f) for f in fields])))
+        .filter(F.size("rest") > 0)
+        .select(fold, "at", F.reduce(F.slice("rest", 2, F.size("rest")), F.col("rest")[0], _merge).alias("s"))
+        .select(fold, "at", "s.*")
+    )
+    width, std = F.col("max") - F.col("min"), F.sqrt(F.col("m2") / F.col("n"))
+    return merged.select(
+        fold, "at", "n", "min", "max", F.when(width == 0, 1.0).otherwise(width).alias("range"), "mean",
+        F.when(std == 0, 1.0).otherwise(std).alias("std"),
+    )
+
+
+@dataclass(frozen=True)
+class Scaler:
+    """Training statistics of every outer run: one row per run, one struct per column.
+
+    The table has as many rows as there are folds, whatever the data's size.
     """
-    packed = stats.select(F.col(fold).alias("_fold"), F.struct(*[c for c in stats.columns if c != fold]).alias("_s"))
-    if run is None:
-        return df.join(F.broadcast(packed), F.col(fold) == F.col("_fold")).drop("_fold")
-    one = packed.filter(F.col("_fold") == run)
-    return df.withColumn("_run", F.lit(run)).join(
-        F.broadcast(one), F.col("_run") == F.col("_fold")
-    ).drop("_fold", "_run")
+
+    table: DataFrame
+    columns: tuple[str, ...]
+    fold: str = "fold"
+
+    def stat(self, column: str) -> Column:
+        """The struct (n, min, max, range, mean, std) of a column, after ``attach``."""
+        return F.col("_s")[self.columns.index(column)]
+
+    def attach(self, df: DataFrame, run: int | None = None) -> DataFrame:
+        """Put the statistics next to the rows.
+
+        Without ``run`` every row gets those of its own fold: it is a test row
+        there. With ``run`` all rows get the statistics of that outer run, so the
+        rows of other folds are its training rows.
+        """
+        packed = self.table.select(F.col(self.fold).alias("_fold"), F.col("stats").alias("_s"))
+        key = F.col(self.fold)
+        if run is not None:
+            df, packed, key = df.withColumn("_run", F.lit(run)), packed.filter(F.col("_fold") == run), F.col("_run")
+        return df.join(F.broadcast(packed), key == F.col("_fold")).drop("_fold", "_run")
+
+    def collected(self) -> "Scaler":
+        """The same with the k rows held as a local table, so they are computed once."""
+        return Scaler(self.table.sparkSession.createDataFrame(self.table.collect(), self.table.schema), self.columns, self.fold)
+
+
+def fit(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> Scaler:
+    stats = train_stats(fold_partials(df, columns, fold), fold)
+    cells = F.array_sort(F.collect_list(F.struct("at", "n", "min", "max", "range", "mean", "std")))
+    return Scaler(stats.groupBy(fold).agg(cells.alias("stats")), tuple(columns), fold)
 
 
 def minmax(value: Column, stat: Column) -> Column:
@@ -101,12 +118,11 @@ def rescale_variance(var: Column, stat: Column) -> Column:
     return var * stat["range"] * stat["range"]
 
 
-def apply(df: DataFrame, stats: DataFrame, columns: Sequence[str], how: str = "minmax", fold: str = "fold", run: int | None = None) -> DataFrame:
+def apply(df: DataFrame, scaler: Scaler, columns: Sequence[str], how: str = "minmax", run: int | None = None) -> DataFrame:
     """Scale ``columns`` in place; values outside the training range are kept as they fall."""
     op = {"minmax": minmax, "standard": standardize}[how]
-    scaled = attach(df, stats, fold, run)
-    return scaled.withColumns({
-        c: op(F.col(f"`{c}`").cast("double"), F.col("_s")[c]) for c in columns
+    return scaler.attach(df, run).withColumns({
+        c: op(F.col(f"`{c}`").cast("double"), scaler.stat(c)) for c in columns
     }).drop("_s")
 
 

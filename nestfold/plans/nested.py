@@ -9,12 +9,15 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any, Callable, Mapping, Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nestfold.functions import metrics
 from nestfold.models import gp, net, trees
@@ -39,15 +42,14 @@ class Study:
     k_outer: int = 5
     k_inner: int = 4
     dataset_id: int | None = None
-    _stats: DataFrame | None = None
+    _scaler: scale.Scaler | None = None
 
     @property
-    def stats(self) -> DataFrame:
-        """Scalers of all outer runs: k rows, computed once."""
-        if self._stats is None:
-            lazy = scale.fit(self.rows, [*self.features, "y"], "outer_fold")
-            self._stats = self.rows.sparkSession.createDataFrame(lazy.collect(), lazy.schema)
-        return self._stats
+    def scaler(self) -> scale.Scaler:
+        """Scalers of all outer runs, from one pass over the table."""
+        if self._scaler is None:
+            self._scaler = scale.fit(self.rows, [*self.features, "y"], "outer_fold").collected()
+        return self._scaler
 
 
 def prepare(df: DataFrame, key: Sequence[str], features: Sequence[str], dataset_name: str, target: str = "y",
@@ -81,13 +83,13 @@ def scaled(study: Study, family: Family, run: int) -> DataFrame:
 
     ``t`` is the target to fit; ``y`` stays in its own units for scoring.
     """
-    joined = scale.attach(study.rows, study.stats, "outer_fold", run)
-    s = F.col("_s")
+    scaler = study.scaler
+    joined, s = scaler.attach(study.rows, run), scaler.stat
     op = {None: lambda x, _: x, "minmax": scale.minmax, "standard": scale.standardize}[family.scale_x]
-    features = F.array(*[op(F.col(f"`{c}`"), s[c]).cast("float") for c in study.features])
-    t = scale.minmax(F.col("y"), s["y"]) if family.scale_y else F.col("y")
+    features = F.array(*[op(F.col(f"`{c}`"), s(c)).cast("float") for c in study.features])
+    t = scale.minmax(F.col("y"), s("y")) if family.scale_y else F.col("y")
     return joined.select(*study.key, "outer_fold", F.element_at("inner_folds", run).alias("inner_fold"),
-                         features.alias("features"), t.alias("t"), "y", s["y"].alias("_sy"))
+                         features.alias("features"), t.alias("t"), "y", s("y").alias("_sy"))
 
 
 def unscaled(predictions: DataFrame, family: Family) -> DataFrame:
@@ -179,6 +181,12 @@ FAMILIES = {
 SEARCH_METRIC = {("XGB", "cv"): "rmse"}
 
 
+def _at_once(spark: SparkSession, fn: Callable, items: Sequence, parallelism: int) -> list:
+    """Run independent jobs from a few driver threads, results in order."""
+    with ThreadPool(min(parallelism, len(items)) or 1) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items)
+
+
 # -- search -------------------------------------------------------------------------
 
 def _metric_on(predictor: Predictor, rows: DataFrame, metric: metrics.Metric) -> float:
@@ -256,35 +264,43 @@ def search(
             rows = []
     if not rows:
         objective = holdout_objective if strategy == "holdout" else cv_objective
-        for i, config in enumerate(configs):
-            began = datetime.now(timezone.utc)
+
+        def one_trial(numbered):
+            (i, config), began = numbered, datetime.now(timezone.utc)
             try:
-                rows.append(row(i, config, float(objective(study, family, train, config, metric_fn)), began, "COMPLETE"))
+                return row(i, config, float(objective(study, family, train, config, metric_fn)), began, "COMPLETE")
             except Exception:
-                rows.append(row(i, config, None, began, "FAIL"))
+                return row(i, config, None, began, "FAIL")
+
+        rows = _at_once(spark, one_trial, list(enumerate(configs)), parallelism)
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
 # -- outer evaluation -----------------------------------------------------------------
 
-def evaluate(study: Study, model: str, params_of_run: Mapping[int, Mapping[str, Any]], run_kind: str = "nested") -> tuple[DataFrame, DataFrame]:
+def evaluate(
+    study: Study, model: str, params_of_run: Mapping[int, Mapping[str, Any]], run_kind: str = "nested", parallelism: int = 5,
+) -> tuple[DataFrame, DataFrame]:
     """Refit on each outer training part, predict its test part.
 
-    Returns result rows (one per run, typed as the result log) and the
-    predictions of all runs. Scores of all runs come from one plan.
+    Outer runs are independent: up to ``parallelism`` of them are fitted at the
+    same time. Returns result rows (one per run, typed as the result log) and
+    the predictions of all runs. Scores of all runs come from one plan.
     """
-    family = FAMILIES[model]
-    spark = study.rows.sparkSession
-    predictions, seconds = None, {}
-    for run, params in params_of_run.items():
+    family, _ = FAMILIES[model], study.scaler
+
+    def one_run(run: int) -> tuple[DataFrame, float]:
         rows = scaled(study, family, run)
         began = time.time()
-        predictor = family.fit(rows.filter(F.col("outer_fold") != run), study, params)
-        seconds[run] = time.time() - began
+        predictor = family.fit(rows.filter(F.col("outer_fold") != run), study, params_of_run[run])
+        took = time.time() - began
         test = predictor(rows.filter(F.col("outer_fold") == run), [*study.key, "outer_fold", "y", "_sy"])
-        test = unscaled(test, family)
-        predictions = test if predictions is None else predictions.unionByName(test)
-    predictions = materialize(predictions, "predictions")
+        return unscaled(test, family), took
+
+    runs = list(params_of_run)
+    done = _at_once(study.rows.sparkSession, one_run, runs, parallelism)
+    predictions = materialize(reduce(DataFrame.unionByName, [p for p, _ in done]), "predictions")
+    seconds = {run: took for run, (_, took) in zip(runs, done)}
     return result_rows(study, model, predictions, params_of_run, seconds, run_kind), predictions
 
 
@@ -317,11 +333,11 @@ def nested_study(
     study: Study, model: str, configs: Sequence[Mapping[str, Any]] | Callable[[int], Sequence[Mapping[str, Any]]], **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Search, choose and evaluate every outer run: (trial log, result log)."""
-    log = None
-    for run in range(1, study.k_outer + 1):
-        chosen = configs(run) if callable(configs) else configs
-        trials = search(study, model, run, chosen, **options)
-        log = trials if log is None else log.unionByName(trials)
+    _ = study.scaler
+    runs = list(range(1, study.k_outer + 1))
+    logs = _at_once(
+        study.rows.sparkSession, lambda run: search(study, model, run, configs(run) if callable(configs) else configs, **options), runs, 2)
+    log = reduce(DataFrame.unionByName, logs)
     best = best_trial(log, by=("outer_cv_split",)).select("outer_cv_split", "params").collect()  # one row per run
     results, _ = evaluate(study, model, {b.outer_cv_split: parse_params(b.params) for b in sorted(best)})
     return log, results

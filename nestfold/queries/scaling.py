@@ -20,9 +20,9 @@ TRAIN_SQL = f"""WITH {POLICY_SQL}, f AS (SELECT DISTINCT fold FROM policy), trai
 @query("minmax_fit", TRAIN_SQL + """ SELECT fold, a_min, a_max, CAST(year_min AS DOUBLE) AS year_min, CAST(year_max AS DOUBLE) AS year_max, y_min, y_max, n FROM train""")
 def _(spark, d):
     s = scale.fit(policies(spark, d), COLUMNS)
-    return s.select("fold", F.col("c_acctbal.min").alias("a_min"), F.col("c_acctbal.max").alias("a_max"),
-                    F.col("year_off.min").alias("year_min"), F.col("year_off.max").alias("year_max"),
-                    F.col("y.min").alias("y_min"), F.col("y.max").alias("y_max"), F.col("y.n").cast("bigint").alias("n"))
+    a, year, y = (F.col("stats")[i] for i in range(3))
+    return s.table.select("fold", a["min"].alias("a_min"), a["max"].alias("a_max"), year["min"].alias("year_min"),
+                          year["max"].alias("year_max"), y["min"].alias("y_min"), y["max"].alias("y_max"), y["n"].cast("bigint").alias("n"))
 
 
 @query("minmax_apply_test", TRAIN_SQL + """ SELECT o_orderkey, p.fold, round((c_acctbal - a_min) / (a_max - a_min), 6) AS c_acctbal,
@@ -47,16 +47,17 @@ def _(spark, d):
  FROM policy p JOIN train t ON p.fold = t.fold""")
 def _(spark, d):
     rows = policies(spark, d)
-    joined = scale.attach(rows, scale.fit(rows, COLUMNS))
-    unit = scale.minmax(F.col("c_acctbal"), F.col("_s.c_acctbal"))
-    return joined.select("o_orderkey", r(scale.minmax_inverse(unit, F.col("_s.y")), 4).alias("pred_mean"))
+    s = scale.fit(rows, COLUMNS)
+    unit = scale.minmax(F.col("c_acctbal"), s.stat("c_acctbal"))
+    return s.attach(rows).select("o_orderkey", r(scale.minmax_inverse(unit, s.stat("y")), 4).alias("pred_mean"))
 
 
 @query("standardize_fit", TRAIN_SQL + " SELECT fold, round(a_mean, 6) AS a_mean, round(a_std, 6) AS a_std, round(y_mean, 4) AS y_mean, round(y_std, 4) AS y_std FROM train")
 def _(spark, d):
     s = scale.fit(policies(spark, d), COLUMNS)
-    return s.select("fold", r("c_acctbal.mean").alias("a_mean"), r("c_acctbal.std").alias("a_std"),
-                    r("y.mean", 4).alias("y_mean"), r("y.std", 4).alias("y_std"))
+    a, y = F.col("stats")[0], F.col("stats")[2]
+    return s.table.select("fold", r(a["mean"]).alias("a_mean"), r(a["std"]).alias("a_std"),
+                          r(y["mean"], 4).alias("y_mean"), r(y["std"], 4).alias("y_std"))
 
 
 @query("standardize_apply", TRAIN_SQL + """ SELECT o_orderkey, p.fold, round((c_acctbal - a_mean) / a_std, 6) AS c_acctbal
@@ -71,9 +72,9 @@ def _(spark, d):
  FROM policy p JOIN train t ON p.fold = t.fold""")
 def _(spark, d):
     rows = policies(spark, d)
-    joined = scale.attach(rows, scale.fit(rows, ["y"]))
+    s = scale.fit(rows, ["y"])
     var = floor_variance(0.01 * (1 + F.col("year_off") / 100))
-    return joined.select("o_orderkey", r(scale.rescale_variance(var, F.col("_s.y")) / 1000000, 4).alias("pred_var_millions"))
+    return s.attach(rows).select("o_orderkey", r(scale.rescale_variance(var, s.stat("y")) / 1000000, 4).alias("pred_var_millions"))
 
 
 @query("scale_to_bounds", """WITH k AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY md5('73|' || vec_id)) AS i, count(*) OVER () AS n FROM embeddings),

@@ -14,8 +14,8 @@ from nestfold.queries.base import (
 def fold_mean_predictions(spark, d) -> DataFrame:
     """In thousands: the training mean as prediction, the training variance as variance."""
     rows = policies(spark, d).withColumn("y", F.col("y") / 1000)
-    joined = scale.attach(rows.select("o_orderkey", "fold", "y", "c_acctbal"), scale.fit(rows, ["y"]))
-    s = F.col("_s.y")
+    scaler = scale.fit(rows, ["y"])
+    joined, s = scaler.attach(rows.select("o_orderkey", "fold", "y", "c_acctbal")), scaler.stat("y")
     return joined.select("o_orderkey", "fold", "y", "c_acctbal", s["mean"].alias("pred_mean"),
                          (s["std"] * s["std"]).alias("pred_var"))
 
