@@ -23,7 +23,6 @@ def forest(params: Mapping[str, Any], label: str = "y", seed: int = 73) -> Rando
         featuresCol="vector", labelCol=label, predictionCol="pred_mean", seed=seed,
         numTrees=int(params["n_estimators"]), maxDepth=min(int(params["max_depth"]), MAX_DEPTH),
         minInstancesPerNode=leaf, featureSubsetStrategy={"sqrt": "sqrt", "auto": "all"}[params.get("max_features", "auto")],
-        maxMemoryInMB=1024,
     )
 
 
@@ -35,7 +34,7 @@ def boosted(params: Mapping[str, Any], label: str = "y", seed: int = 73, validat
         maxDepth=min(int(params["max_depth"]), MAX_DEPTH), subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy=str(float(params.get("colsample_bytree", 1.0))),
         minInstancesPerNode=max(1, round(float(params.get("min_child_weight", 1)))),
-        minInfoGain=float(params.get("gamma", 0.0)), maxMemoryInMB=1024,
+        minInfoGain=float(params.get("gamma", 0.0)),
     )
     return model.setValidationIndicatorCol(validation) if validation else model
 

@@ -24,7 +24,7 @@ from nestfold.models import gp, net, trees
 from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
 from nestfold.sources.results import RESULT_SCHEMA, TRIAL_SCHEMA
-from nestfold.sources.storage import materialize
+from nestfold.sources.storage import fresh_path, materialize
 
 # A fitted model: rows with ``features`` in, kept columns plus pred_mean (and
 # pred_var where the model has one) out.
@@ -62,10 +62,18 @@ def prepare(df: DataFrame, key: Sequence[str], features: Sequence[str], dataset_
     folded = split.with_nested_folds(df, key, k_outer, k_inner)
     rows = folded.select(*key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features],
                          F.col(target).cast("double").alias("y"), "outer_fold", "inner_folds")
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        rows = rows.repartition(cores, *key)
-    return Study(materialize(rows, f"study-{dataset_name}"), list(key), list(features), dataset_name, k_outer, k_inner, dataset_id)
+    return Study(materialize(_spread(rows, key), f"study-{dataset_name}"), list(key), list(features), dataset_name, k_outer, k_inner, dataset_id)
+
+
+ROWS_PER_TASK = 5_000  # fewer are not worth a task of their own
+
+
+def _spread(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Give every core some rows when the input has fewer files than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(max(1, min(cores, rows.count() // ROWS_PER_TASK)), *key)
 
 
 @dataclass(frozen=True)
@@ -288,19 +296,21 @@ def evaluate(
     the predictions of all runs. Scores of all runs come from one plan.
     """
     family, _ = FAMILIES[model], study.scaler
+    spark = study.rows.sparkSession
+    path = fresh_path(spark, "predictions")
 
-    def one_run(run: int) -> tuple[DataFrame, float]:
+    def one_run(run: int) -> float:
         rows = scaled(study, family, run)
         began = time.time()
         predictor = family.fit(rows.filter(F.col("outer_fold") != run), study, params_of_run[run])
         took = time.time() - began
         test = predictor(rows.filter(F.col("outer_fold") == run), [*study.key, "outer_fold", "y", "_sy"])
-        return unscaled(test, family), took
+        unscaled(test, family).write.parquet(f"{path}/run={run}")
+        return took
 
     runs = list(params_of_run)
-    done = _at_once(study.rows.sparkSession, one_run, runs, parallelism)
-    predictions = materialize(reduce(DataFrame.unionByName, [p for p, _ in done]), "predictions")
-    seconds = {run: took for run, (_, took) in zip(runs, done)}
+    seconds = dict(zip(runs, _at_once(spark, one_run, runs, parallelism)))
+    predictions = spark.read.parquet(path).drop("run")
     return result_rows(study, model, predictions, params_of_run, seconds, run_kind), predictions
 
 
@@ -357,11 +367,8 @@ def full_data_run(df: DataFrame, key: Sequence[str], features: Sequence[str], da
     rows = marked.select(*key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features], F.col("y").cast("double").alias("y"),
                          F.when(F.col("is_test"), 1).otherwise(2).alias("outer_fold"),
                          F.array(F.lit(None).cast("int"), F.lit(None).cast("int")).alias("inner_folds"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        rows = rows.repartition(cores, *key)
     # Two "folds": the test part is fold 1, so run 1 trains on the rest.
-    study = Study(materialize(rows, "full"), list(key), list(features), dataset_name, 2, 0, dataset_id)
+    study = Study(materialize(_spread(rows, key), "full"), list(key), list(features), dataset_name, 2, 0, dataset_id)
     return evaluate(study, model, {1: params}, "full")[0]
 
 
