@@ -50,7 +50,7 @@ def lloyd_step(df: DataFrame, centres: np.ndarray, features: str = "features") -
             np.add.at(total, near, np.hstack([x, np.ones((len(x), 1))]))
         return total.ravel()
 
-    total = sum_over_rows(df, [features], task, m * (dim + 1)).reshape(m, dim + 1)
+    total = sum_over_rows(df, [features], task, m * (dim + 1), bc).reshape(m, dim + 1)
     n = total[:, -1]
     means = np.where(n[:, None] > 0, total[:, :-1] / np.maximum(n, 1)[:, None], centres)
     return means, n
@@ -127,7 +127,7 @@ def statistics(df: DataFrame, points: np.ndarray, kernels: Sequence[Covariance],
                 cross[i] += k.T @ e
         return np.concatenate([*[np.append(a[upper], b) for a, b in zip(grams, cross)], tail])
 
-    total = sum_over_rows(df, [features, target], task, len(kernels) * width + 2)
+    total = sum_over_rows(df, [features, target], task, len(kernels) * width + 2, bc)
     out = []
     for i in range(len(kernels)):
         part = total[i * width:(i + 1) * width]

@@ -193,7 +193,7 @@ def _average_pass(df, net, states, active, lr, decay, batch_size, epoch, steps,
         sums = np.concatenate([local * rows, stats], axis=1).ravel()
         return np.append(sums, [rows, steps_done, 1])
 
-    total = sum_over_rows(df, [features, target], task, len(active) * width + 3)
+    total = sum_over_rows(df, [features, target], task, len(active) * width + 3, bc)
     rows, done, tasks = total[-3:]
     body = total[:-3].reshape(len(active), width)
     return body[:, :-2] / rows, body[:, -2] / body[:, -1], max(1, round(done / tasks))
@@ -214,7 +214,7 @@ def _gradient_pass(df, net, states, active, features, target):
                 total[j, size] += loss
         return np.append(total.ravel(), rows) if rows else None
 
-    total = sum_over_rows(df, [features, target], task, len(active) * (size + 1) + 1)
+    total = sum_over_rows(df, [features, target], task, len(active) * (size + 1) + 1, bc)
     body = total[:-1].reshape(len(active), size + 1) / total[-1]
     return body[:, :size], body[:, size]
 
@@ -230,7 +230,7 @@ def _validation_scores(df, net, members, features, target) -> np.ndarray:
             total[:-1] += [((net.predict(p, x)[0] - y) ** 2).sum() for p in bc.value]
         return total
 
-    total = sum_over_rows(df, [features, target], task, len(members) + 1)
+    total = sum_over_rows(df, [features, target], task, len(members) + 1, bc)
     return total[:-1] / total[-1]
 
 

@@ -12,7 +12,8 @@ from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 
 BLOCK = 4096  # numbers per block: 32 KB
 DIRECT = 2_000_000  # numbers (16 MB) that may come to the driver unsummed
@@ -36,10 +37,13 @@ def batches_of(
 
 
 def sum_over_rows(
-    df: DataFrame, columns: Sequence[str], task: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int
+    df: DataFrame, columns: Sequence[str], task: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None], size: int,
+    shared: Broadcast | None = None,
 ) -> np.ndarray:
     """Sum of ``task``'s vectors over all partitions of ``df``.
 
+    ``shared`` is a broadcast that only this pass uses; it is released at the end.
+
     ``df`` should be a scan of a written or cached table. If it has few
     partitions and the vector is short, the partial sums go to the driver
     directly; the check keeps that below a fixed number of bytes.
@@ -74,6 +78,8 @@ def sum_over_rows(
     for row in totals.collect():
         data = np.frombuffer(row["data"], dtype=np.float64)
         out[row["block"] * BLOCK: row["block"] * BLOCK + len(data)] += data
+    if shared is not None:
+        shared.destroy()
     return out
 
 

@@ -40,7 +40,7 @@ def with_kfold(
     """
     h = order_hash(seed, *key)
     cuts = find_cuts(keys_from if keys_from is not None else df, h, _fold_ends(k))
-    return df.withColumn(out, above(h, cuts.get(0, [])) + 1)
+    return df.withColumn("_h", h).withColumn(out, above(F.col("_h"), cuts.get(0, [])) + 1).drop("_h")
 
 
 def with_nested_folds(
@@ -56,21 +56,22 @@ def with_nested_folds(
     """
     folded = with_kfold(df, key, k_outer, outer_seed, outer)
     h = order_hash(inner_seed, *key)
-    runs = F.filter(
-        F.sequence(F.lit(1), F.lit(k_outer)), lambda f: f != F.col(outer)
-    )
+    # The runs a row trains in, looked up by its outer fold.
+    all_runs = range(1, k_outer + 1)
+    runs = F.element_at(F.lit([[f for f in all_runs if f != own] for own in all_runs]), F.col(outer))
     cuts = find_cuts(folded, h, _fold_ends(k_inner), scopes=runs)
-    per_run = [
-        F.when(F.col(outer) != f, above(h, cuts.get(f, [])) + 1) for f in range(1, k_outer + 1)
-    ]
-    return folded.withColumn(inner, F.array(*per_run))
+    # The hash is a column of its own, so that it is computed once per row.
+    per_run = [F.when(F.col(outer) != f, above(F.col("_h"), cuts.get(f, [])) + 1) for f in all_runs]
+    return folded.withColumn("_h", h).withColumn(inner, F.array(*per_run)).drop("_h")
 
 
 def nested_roles(df: DataFrame, outer: str = "outer_fold", inner: str = "inner_folds") -> DataFrame:
     """Long form: one row per outer run with role ``train`` or ``test``."""
     others = [c for c in df.columns if c not in (outer, inner)]
+    # The outer form: for the plain one the optimizer adds a filter on the array's
+    # size, which would compute all folds a second time below the explode.
     return df.select(
-        *others, F.col(outer).alias("_own"), F.posexplode(inner).alias("_i", "inner_fold")
+        *others, F.col(outer).alias("_own"), F.posexplode_outer(inner).alias("_i", "inner_fold")
     ).select(
         *others, (F.col("_i") + 1).alias("outer_run"),
         F.when(F.col("_own") == F.col("_i") + 1, "test").otherwise("train").alias("role"), "inner_fold",

@@ -56,8 +56,7 @@ def prepare(df: DataFrame, key: Sequence[str], features: Sequence[str], dataset_
             k_outer: int = 5, k_inner: int = 4, dataset_id: int | None = None) -> Study:
     """Assign nested folds and write the table once; all fits read it from there.
 
-    Rows are spread by key when the input has fewer splits than the cluster has
-    cores; a large table keeps the splits it came with.
+    Small tables are spread by key, so that all cores get some rows.
     """
     folded = split.with_nested_folds(df, key, k_outer, k_inner)
     rows = folded.select(*key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features],
@@ -66,14 +65,16 @@ def prepare(df: DataFrame, key: Sequence[str], features: Sequence[str], dataset_
 
 
 ROWS_PER_TASK = 5_000  # fewer are not worth a task of their own
+SMALL_TABLE = 10_000_000  # rows that are cheap to spread anew
 
 
 def _spread(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Give every core some rows when the input has fewer files than there are cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) >= cores:
+    """Spread a small table over the cores; a large one keeps the splits it came with."""
+    n = rows.count()
+    if n > SMALL_TABLE:
         return rows
-    return rows.repartition(max(1, min(cores, rows.count() // ROWS_PER_TASK)), *key)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(cores, n // ROWS_PER_TASK)), *key)
 
 
 @dataclass(frozen=True)

@@ -15,6 +15,7 @@ from nestfold.functions.keys import order_hash
 from nestfold.operators.encode import binary_flag, one_hot, one_hot_levels, ordinal, year_offset
 from nestfold.operators.order import time_bucket, with_position
 from nestfold.operators.split import with_kfold
+from nestfold.sources.storage import materialize
 from nestfold.sources.tables import TableSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,14 +98,18 @@ POLICY_SQL = f"""policy AS (
   FROM ({FOLDS_SQL}) JOIN customer ON o_custkey = c_custkey)"""
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as loss reports: study = event type, trial = user, in time order."""
+def reports(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    """Events as loss reports: study = event type, trial = user, in time order.
+
+    ``stored`` writes them first, for operators that read a report log several times.
+    """
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("study"), F.col("user_id").cast("int").alias("number"),
         "event_id", "ts", "value",
     )
     placed = with_position(events, ["study", "number"], ["ts", "event_id"], time_bucket("ts", "day"))
-    return placed.withColumn("step", F.col("pos"))
+    placed = placed.withColumn("step", F.col("pos"))
+    return materialize(placed, "reports") if stored else placed
 
 
 def trial_log(reports_df: DataFrame) -> DataFrame:

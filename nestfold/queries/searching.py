@@ -147,7 +147,7 @@ def _(spark, d):
 @query("early_stopping_keep_best", f"""WITH RECURSIVE {REPORTS_SQL}, {_walk_sql('reports', 7, '0')}
 SELECT e.*, r.event_id FROM ends e JOIN reports r ON r.study = e.study AND r.number = e.number AND r.step = e.best_step""")
 def _(spark, d):
-    kept = trials.early_stopping_with_best(reports(spark, d), ["event_id"], patience=7)
+    kept = trials.early_stopping_with_best(reports(spark, d, stored=True), ["event_id"], patience=7)
     return kept.select("study", "number", r("best_value").alias("best_value"), "best_step",
                        F.coalesce("stop_step", F.lit(-1)).alias("stop_step"), "event_id")
 
@@ -181,7 +181,7 @@ FROM e JOIN c ON e.study = c.study AND e.number = c.number WHERE cut IS NULL OR
 def _(spark, d):
     from nestfold.functions.metrics import seconds_between
 
-    rows = reports(spark, d)
+    rows = reports(spark, d, stored=True)
     starts = rows.groupBy("study", "number").agg(F.min("ts").alias("start"))
     timed = rows.join(starts, ["study", "number"]).withColumn("elapsed", seconds_between(F.col("start"), F.col("ts")))
     out = trials.time_budget(timed, 604800)
@@ -202,7 +202,7 @@ cut AS (SELECT study, number, min(step) AS step FROM med WHERE best > median GRO
 SELECT t.study, t.number, coalesce(cut.step, -1) AS pruned_step
 FROM (SELECT DISTINCT study, number FROM checks) t LEFT JOIN cut ON cut.study = t.study AND cut.number = t.number""")
 def _(spark, d):
-    rows = reports(spark, d)
+    rows = reports(spark, d, stored=True)
     log = trial_log(rows)
     cents = rows.withColumn("value", F.round(F.col("value") * 100))
     out = trials.median_pruning(cents, log, startup=5, warmup=4, interval=2)
@@ -224,7 +224,7 @@ o AS (SELECT study, number, CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS INTE
 SELECT a.study, a.number, CAST(a.bracket AS INTEGER) AS bracket, coalesce(rungs_passed, 0) AS rungs_passed, coalesce(dropped_step, -1) AS dropped_step
 FROM (SELECT DISTINCT study, number, bracket FROM member) a LEFT JOIN o ON o.study = a.study AND o.number = a.number""")
 def _(spark, d):
-    out = trials.hyperband(reports(spark, d), min_resource=3, max_resource=24)
+    out = trials.hyperband(reports(spark, d, stored=True), min_resource=3, max_resource=24)
     return out.withColumn("dropped_step", F.coalesce("dropped_step", F.lit(-1)))
 
 
@@ -257,6 +257,6 @@ def _(spark, d):
 SELECT e.study, e.number, coalesce(any_value(nan_step), -1) AS nan_step, coalesce(round(min(n.value) FILTER (nan_step IS NULL OR n.step < nan_step), 6), -1) AS best_value
 FROM e JOIN n ON n.study = e.study AND n.number = e.number GROUP BY e.study, e.number""")
 def _(spark, d):
-    rows = reports(spark, d).withColumn("value", F.when(F.col("value") > 120, F.lit(float("nan"))).otherwise(F.col("value")))
+    rows = reports(spark, d, stored=True).withColumn("value", F.when(F.col("value") > 120, F.lit(float("nan"))).otherwise(F.col("value")))
     out = trials.end_at_nan(rows)
     return out.select("study", "number", F.coalesce("nan_step", F.lit(-1)).alias("nan_step"), r(F.coalesce("best_value", F.lit(-1.0))).alias("best_value"))
