@@ -7,7 +7,7 @@ those k rows. The data is read once for all k scalers, and never copied.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -90,9 +90,15 @@ class Scaler:
             df, packed, key = df.withColumn("_run", F.lit(run)), packed.filter(F.col("_fold") == run), F.col("_run")
         return df.join(F.broadcast(packed), key == F.col("_fold")).drop("_fold", "_run")
 
-    def collected(self) -> "Scaler":
-        """The same with the k rows held as a local table, so they are computed once."""
-        return Scaler(self.table.sparkSession.createDataFrame(self.table.collect(), self.table.schema), self.columns, self.fold)
+    def constants(self) -> dict[int, dict[str, dict[str, float]]]:
+        """All statistics as plain numbers, by run, column and field.
+
+        For plans that serve one run: they need no join, and are scanned often.
+        """
+        return {
+            row[self.fold]: {c: s.asDict() for c, s in zip(self.columns, row["stats"])}
+            for row in self.table.collect()  # k rows
+        }
 
 
 def fit(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> Scaler:
@@ -101,19 +107,23 @@ def fit(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> Scaler:
     return Scaler(stats.groupBy(fold).agg(cells.alias("stats")), tuple(columns), fold)
 
 
-def minmax(value: Column, stat: Column) -> Column:
+# A statistic is a struct column next to the row, or a dictionary of numbers.
+Stat = Column | Mapping[str, float]
+
+
+def minmax(value: Column, stat: Stat) -> Column:
     return (value - stat["min"]) / stat["range"]
 
 
-def minmax_inverse(value: Column, stat: Column) -> Column:
+def minmax_inverse(value: Column, stat: Stat) -> Column:
     return value * stat["range"] + stat["min"]
 
 
-def standardize(value: Column, stat: Column) -> Column:
+def standardize(value: Column, stat: Stat) -> Column:
     return (value - stat["mean"]) / stat["std"]
 
 
-def rescale_variance(var: Column, stat: Column) -> Column:
+def rescale_variance(var: Column, stat: Stat) -> Column:
     """Variance of the target in its own units."""
     return var * stat["range"] * stat["range"]
 

@@ -309,7 +309,7 @@ def hyperband(
     last = members.groupBy("study", "number", "bracket").agg(F.max("step").alias("last_step"))
     resource = F.col("step") + 1
     at_rung = members.withColumn("rung", F.round(F.log(resource / start) / F.log(F.lit(float(factor)))).cast("int")).filter(
-        (F.col("rung") >= 0) & (F.pow(F.lit(float(factor)), F.col("rung")) * start == resource)
+        (F.col("rung") >= 0) & (resource <= max_resource) & (F.pow(F.lit(float(factor)), F.col("rung")) * start == resource)
     ).select("study", "number", "bracket", "rung", "step", "value")
     at_rung = materialize(at_rung, "rungs")
     verdicts = None

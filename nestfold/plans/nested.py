@@ -42,26 +42,28 @@ class Study:
     k_outer: int = 5
     k_inner: int = 4
     dataset_id: int | None = None
-    _scaler: scale.Scaler | None = None
+    _stats: dict | None = None
 
     @property
-    def scaler(self) -> scale.Scaler:
-        """Scalers of all outer runs, from one pass over the table."""
-        if self._scaler is None:
-            self._scaler = scale.fit(self.rows, [*self.features, "y"], "outer_fold").collected()
-        return self._scaler
+    def stats(self) -> dict[int, dict[str, dict[str, float]]]:
+        """Training statistics of all outer runs, from one pass over the table."""
+        if self._stats is None:
+            self._stats = scale.fit(self.rows, [*self.features, "y"], "outer_fold").constants()
+        return self._stats
 
 
 def prepare(df: DataFrame, key: Sequence[str], features: Sequence[str], dataset_name: str, target: str = "y",
             k_outer: int = 5, k_inner: int = 4, dataset_id: int | None = None) -> Study:
     """Assign nested folds and write the table once; all fits read it from there.
 
+    It is partitioned by outer fold, so a run reads only the folds it needs.
+
     Small tables are spread by key, so that all cores get some rows.
     """
     folded = split.with_nested_folds(df, key, k_outer, k_inner)
     rows = folded.select(*key, *[F.col(f"`{c}`").cast("double").alias(c) for c in features],
                          F.col(target).cast("double").alias("y"), "outer_fold", "inner_folds")
-    return Study(materialize(_spread(rows, key), f"study-{dataset_name}"), list(key), list(features), dataset_name, k_outer, k_inner, dataset_id)
+    return Study(materialize(_spread(rows, key), f"study-{dataset_name}", ["outer_fold"]), list(key), list(features), dataset_name, k_outer, k_inner, dataset_id)
 
 
 ROWS_PER_TASK = 5_000  # fewer are not worth a task of their own
@@ -90,27 +92,29 @@ class Family:
 def scaled(study: Study, family: Family, run: int) -> DataFrame:
     """All rows as seen by outer run ``run``: scaled by its training part.
 
-    ``t`` is the target to fit; ``y`` stays in its own units for scoring.
+    ``t`` is the target to fit; ``y`` stays in its own units for scoring. This is
+    a scan with a projection: cheap enough for every pass of a fit to repeat, so
+    no run and no trial writes a copy of the table.
     """
-    scaler = study.scaler
-    joined, s = scaler.attach(study.rows, run), scaler.stat
+    s = study.stats[run]
     op = {None: lambda x, _: x, "minmax": scale.minmax, "standard": scale.standardize}[family.scale_x]
-    features = F.array(*[op(F.col(f"`{c}`"), s(c)).cast("float") for c in study.features])
-    t = scale.minmax(F.col("y"), s("y")) if family.scale_y else F.col("y")
-    return joined.select(*study.key, "outer_fold", F.element_at("inner_folds", run).alias("inner_fold"),
-                         features.alias("features"), t.alias("t"), "y", s("y").alias("_sy"))
+    features = F.array(*[op(F.col(f"`{c}`"), s[c]).cast("float") for c in study.features])
+    t = scale.minmax(F.col("y"), s["y"]) if family.scale_y else F.col("y")
+    return study.rows.select(*study.key, "outer_fold", F.element_at("inner_folds", run).alias("inner_fold"),
+                             features.alias("features"), t.alias("t"), "y")
 
 
-def unscaled(predictions: DataFrame, family: Family) -> DataFrame:
+def unscaled(predictions: DataFrame, study: Study, family: Family, run: int) -> DataFrame:
     """Predictions in the target's own units, variances floored."""
+    s = study.stats[run]["y"]
     has_var = "pred_var" in predictions.columns
     if family.scale_y:
-        predictions = predictions.withColumn("pred_mean", scale.minmax_inverse(F.col("pred_mean"), F.col("_sy")))
+        predictions = predictions.withColumn("pred_mean", scale.minmax_inverse(F.col("pred_mean"), s))
         if has_var:
-            predictions = predictions.withColumn("pred_var", scale.rescale_variance(F.col("pred_var"), F.col("_sy")))
+            predictions = predictions.withColumn("pred_var", scale.rescale_variance(F.col("pred_var"), s))
     if has_var:
         predictions = predictions.withColumn("pred_var", metrics.floor_variance(F.col("pred_var")))
-    return predictions.drop("_sy")
+    return predictions
 
 
 # -- families -----------------------------------------------------------------------
@@ -136,7 +140,7 @@ def fit_boosted(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Pr
 def fit_ensemble(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
     shape = net.mean_variance_net(len(study.features), int(params["n_max"]), int(params["n_layers"]))
     fitted = net.fit(
-        materialize(train.select("features", "t"), "train"), shape, int(params.get("n_members", 5)), float(params["lr"]),
+        train, shape, int(params.get("n_members", 5)), float(params["lr"]),
         int(params.get("epochs", 100)), int(params["batch_size"]), patience=int(params.get("patience", 10)), target="t")
     return fitted.predict
 
@@ -147,11 +151,11 @@ def fit_deep_kernel(train: DataFrame, study: Study, params: Mapping[str, Any]) -
     Two stages instead of joint training: the extractor is pretrained on the
     target, the GP is then fitted in closed form.
     """
-    train = materialize(train.select(*study.key, "features", "t"), "train")
     extractor = net.pretrain_extractor(
         train, len(study.features), int(params["n_max"]), int(params["n_layers"]), int(params["n_out"]),
         lr=float(params.get("lr", 1e-3)), batch_size=int(params.get("batch_size", 2048)),
         epochs=params.get("epochs"), target="t")
+    # A few numbers per row, read by several passes: worth writing.
     learned = materialize(extractor.transform(train, [*study.key, "t"]), "learned")
     bounds = scale.array_bounds(learned, "features").collect()[0]
     lo, hi = F.lit(list(bounds.lo)), F.lit(list(bounds.hi))
@@ -161,7 +165,7 @@ def fit_deep_kernel(train: DataFrame, study: Study, params: Mapping[str, Any]) -
 
 
 def fit_sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
-    return _sparse_gp(materialize(train.select(*study.key, "features", "t"), "train"), study, params).predict
+    return _sparse_gp(train, study, params).predict
 
 
 def _sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> gp.SparseGP:
@@ -256,7 +260,6 @@ def search(
     metric_fn = metric or metrics.METRICS[name]
     if strategy == "holdout":
         train = split.with_holdout(train, study.key)
-    train = materialize(train.drop("_sy"), "search")
 
     def row(number, config, value, began, state):
         ended = datetime.now(timezone.utc)
@@ -296,7 +299,7 @@ def evaluate(
     same time. Returns result rows (one per run, typed as the result log) and
     the predictions of all runs. Scores of all runs come from one plan.
     """
-    family, _ = FAMILIES[model], study.scaler
+    family, _ = FAMILIES[model], study.stats
     spark = study.rows.sparkSession
     path = fresh_path(spark, "predictions")
 
@@ -305,8 +308,8 @@ def evaluate(
         began = time.time()
         predictor = family.fit(rows.filter(F.col("outer_fold") != run), study, params_of_run[run])
         took = time.time() - began
-        test = predictor(rows.filter(F.col("outer_fold") == run), [*study.key, "outer_fold", "y", "_sy"])
-        unscaled(test, family).write.parquet(f"{path}/run={run}")
+        test = predictor(rows.filter(F.col("outer_fold") == run), [*study.key, "outer_fold", "y"])
+        unscaled(test, study, family, run).write.parquet(f"{path}/run={run}")
         return took
 
     runs = list(params_of_run)
@@ -344,7 +347,7 @@ def nested_study(
     study: Study, model: str, configs: Sequence[Mapping[str, Any]] | Callable[[int], Sequence[Mapping[str, Any]]], **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Search, choose and evaluate every outer run: (trial log, result log)."""
-    _ = study.scaler
+    _ = study.stats
     runs = list(range(1, study.k_outer + 1))
     logs = _at_once(
         study.rows.sparkSession, lambda run: search(study, model, run, configs(run) if callable(configs) else configs, **options), runs, 2)
@@ -369,7 +372,7 @@ def full_data_run(df: DataFrame, key: Sequence[str], features: Sequence[str], da
                          F.when(F.col("is_test"), 1).otherwise(2).alias("outer_fold"),
                          F.array(F.lit(None).cast("int"), F.lit(None).cast("int")).alias("inner_folds"))
     # Two "folds": the test part is fold 1, so run 1 trains on the rest.
-    study = Study(materialize(_spread(rows, key), "full"), list(key), list(features), dataset_name, 2, 0, dataset_id)
+    study = Study(materialize(_spread(rows, key), "full", ["outer_fold"]), list(key), list(features), dataset_name, 2, 0, dataset_id)
     return evaluate(study, model, {1: params}, "full")[0]
 
 

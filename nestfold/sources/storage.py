@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +31,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table.
 
     Later passes read Parquet with pruned columns instead of repeating the plan,
@@ -38,5 +39,5 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -101,6 +101,11 @@ def test_hyperband_hand_case(spark):
     assert got[1] == (1, 1, None) and got[3] == (1, 1, None) and got[5] == (1, 0, 2)
 
 
+def test_hyperband_has_no_rung_beyond_the_largest_resource(spark):
+    got = trials.hyperband(reports_of(spark, [[1.0] * 30 for _ in range(4)]), 3, 24).collect()
+    assert {(r.number, r.rungs_passed) for r in got} == {(0, 2), (1, 1), (2, 2), (3, 1)}
+
+
 def test_best_trial_skips_failed_and_nan(spark):
     rows = [("s", 0, None, "FAIL"), ("s", 1, float("nan"), "COMPLETE"), ("s", 2, 1.0, "COMPLETE"), ("s", 3, 1.0, "COMPLETE"), ("s", 4, 0.1, "PRUNED")]
     df = spark.createDataFrame(rows, "study string, number int, value double, state string")
