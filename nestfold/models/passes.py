@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from nestfold.session import ship_package
+
 BLOCK = 4096  # numbers per block: 32 KB
 DIRECT = 2_000_000  # numbers (16 MB) that may come to the driver unsummed
 
@@ -48,6 +50,7 @@ def sum_over_rows(
     partitions and the vector is short, the partial sums go to the driver
     directly; the check keeps that below a fixed number of bytes.
     """
+    ship_package(df.sparkSession)
     tasks = df.rdd.getNumPartitions()
 
     def partial(stream):
@@ -95,6 +98,7 @@ def append_columns(
     df: DataFrame, features: str, keep: Sequence[str], compute: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str
 ) -> DataFrame:
     """Score rows in Arrow batches: kept columns plus what ``compute`` returns."""
+    ship_package(df.sparkSession)
 
     def task(stream):
         for batch in stream:

@@ -16,15 +16,15 @@ from nestfold.sources import results, storage
 FOREST = {"n_estimators": 20, "max_depth": 10, "min_samples_split": 2, "min_samples_leaf": 2, "max_features": "auto"}
 BOOSTED = {"n_estimators": 15, "max_depth": 5, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.6,
            "min_child_weight": 2, "gamma": 0.0}
-ENSEMBLE = {"n_max": 32, "n_layers": 3, "lr": 0.005, "batch_size": 512, "epochs": 8, "n_members": 5}
+ENSEMBLE = {"n_max": 32, "n_layers": 3, "lr": 0.01, "batch_size": 128, "epochs": 12, "n_members": 5}
 DEEP_KERNEL = {"n_max": 32, "n_layers": 3, "n_out": 2, "mean_type": "linear", "kernel_type": "matern1.5", "num_inducing": 50, "lr": 0.01, "epochs": 5}
 SPARSE_GP = {"num_inducing": 50, "kernel_type": "rbf", "mean_type": "constant", "minit": "kmeans"}
 
 
 def parts(spark, d) -> tuple[DataFrame, list[str]]:
-    """Part prices with key, brand and type as features."""
+    """Part prices (in hundreds above 900) with key, brand and type as features."""
     part = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("double").alias("number"), "p_brand", "p_type",
-                                          F.col("p_retailprice").alias("y"))
+                                          (F.col("p_retailprice") / 100 - 9).alias("y"))
     coded = one_hot(part, one_hot_levels(part))
     return coded, [c for c in coded.columns if c not in ("p_partkey", "y")]
 

@@ -95,3 +95,11 @@ def test_custom_metric_and_nll_floor(spark):
     import math
     assert got.bias == -0.5
     assert got.nll_score == pytest.approx((0.5 * (math.log(1e-6) + 1e6) + 0) / 2)
+
+
+def test_package_is_shipped_once(spark):
+    from nestfold.session import ship_package
+
+    ship_package(spark)
+    ship_package(spark)
+    assert sum("nestfold-package" in name for name in spark.sparkContext.listFiles) == 1
