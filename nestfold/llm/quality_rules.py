@@ -177,11 +177,46 @@ def keep_good(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text")
     return judge(df, rules, text, "_quality").filter(F.col("_quality.kept")).drop("_quality")
 
 
-@query("op4_quality_rules")
+_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM
+    (SELECT doc_id, i, unnest([0, 1, 2]) AS k, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g)
+    WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+    len(list_distinct(list_intersect(ws, [STOPS]))) AS stops,
+    len(list_filter(ls, lambda x: regexp_matches(ltrim(x), '^[-*•‣]'))) AS bullets,
+    len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS cut,
+    (length(t) - length(replace(t, '!!', ''))) / 2.0 AS shouts
+    FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws('; ',
+    CASE WHEN n_words < 50 THEN 'enough words' END,
+    CASE WHEN n_words = 0 OR word_chars / n_words NOT BETWEEN 2 AND 14 THEN 'mean word length' END,
+    CASE WHEN n_words > 0 AND n_symbols / n_words > 0.1 THEN 'few symbols' END,
+    CASE WHEN stops < 2 THEN 'some stop words' END,
+    CASE WHEN n_lines > 0 AND bullets / n_lines > 0.9 THEN 'few bullet lines' END,
+    CASE WHEN n_lines > 0 AND cut / n_lines > 0.3 THEN 'few lines cut off' END,
+    CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.5 THEN 'few repeated lines' END,
+    CASE WHEN n_words > 0 AND n_repeat_words / n_words > 0.5 THEN 'few repeated windows' END,
+    CASE WHEN n_words > 0 AND shouts / n_words > 0.3 THEN 'few shouted words' END) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND failed = '' AS kept, failed FROM f
+"""
+#: What the query computes, for an independent engine.
+SQL = _SQL.replace("STOPS", ", ".join(f"'{x}'" for s in dict.fromkeys(STOP_WORDS) for x in (s, s.capitalize())))
+
+
+@query("op4_quality_rules", SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measures and verdict of every document."""
+    """Measures and verdict of every document, and the names of the rules it breaks."""
     m = judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "measures.*")
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"), "failed")
+        base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"),
+        F.array_join("failed", "; ").alias("failed"))
