@@ -18,7 +18,10 @@ cost one row. Within a bucket nothing is paired with everything:
 
 A pair is tested exactly (on whole sets) unless the sizes already exclude the
 similarity, or a 128-bit sketch of the signatures does (at most 34 bits differ
-at 0.8 but for about one pair in 10^8).
+at 0.8 but for about one pair in 10^8). Before step 3, the shingles that only
+one of the remaining texts has are counted: they cannot be in an intersection,
+so a text with many of them is out for good. Without this bound, thousands of
+edited copies that are just below the similarity would all meet each other.
 
 Defined results: null and empty texts have an empty set and link to nothing; a
 text with fewer words than a shingle is one shingle; a null id counts as the
@@ -138,8 +141,8 @@ def _sets(size: int):
             ids = batch.column(0)
             for row, data, offsets in T.chunks(T.column(batch, "text")):
                 sets = shingle_sets(data, offsets, size)
-                yield pa.record_batch(
-                    [ids.slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "items"])
+                items = [s.view(np.int64) for s in sets]
+                yield pa.record_batch([ids.slice(row, len(sets)), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
     return run
 
 
@@ -149,7 +152,7 @@ def _similar(percent: int):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
+                a, b = left.values.to_numpy(), right.values.to_numpy()
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -157,21 +160,30 @@ def _similar(percent: int):
 
 
 def _possible(percent: int) -> Column:
-    """Neither the sizes nor the sketches of ``a`` and ``b`` exclude the similarity."""
+    """Neither sizes, nor shared shingles, nor sketches of ``a`` and ``b`` exclude the similarity."""
     a, b = F.col("a.n"), F.col("b.n")
+    both = F.least("a.shared", "b.shared")
     differ = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= SKETCH_BITS)
+    return (
+        (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * both >= percent * (a + b))
+        & (differ <= SKETCH_BITS))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are similar, tested on the whole sets of both texts.
+def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, items) of the documents with the distinct ``ids``.
 
-    ``docs`` has ``id`` and ``text``. Texts are fetched by id: broadcast if the
-    ids are few by count, else joined by a shuffle; sets are made only for them.
+    Texts are fetched by id: broadcast if the ids are few by count, else joined
+    by a shuffle; sets are made only for them.
     """
-    ids = materialize(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
+    ids = materialize(ids, "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items binary"), "sets")
+    return materialize(
+        docs.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>"), "sets")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (u, v) that are similar, tested on the whole sets of both texts."""
+    sets = whole_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), size)
     left = sets.select(F.col("id").alias("u"), F.col("items").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("items").alias("b"))
     return (
@@ -180,6 +192,13 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     )
 
 
+def only_here(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(rep, alone): how many shingles of a document none of the other ``ids`` has."""
+    items = whole_sets(docs, ids, size).select("id", F.explode("items").alias("item"))
+    single = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).filter("n = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -194,7 +213,8 @@ def near_duplicates(
     places = groups.select(F.explode("bands").alias("bucket"), "rep", "n", "b1", "b2")
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     members = materialize(
-        places.join(shared, "bucket").withColumn("order", F.xxhash64("bucket", "rep")), "members")
+        places.join(shared, "bucket").withColumn("order", F.xxhash64("bucket", "rep"))
+        .withColumn("shared", F.col("n")), "members")
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
@@ -208,15 +228,22 @@ def near_duplicates(
                 .withColumn("root", F.coalesce("root", "rep")))
             mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
             now = materialize(now.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
+        test = F.col("a.root") != F.col("b.root")
+        if hubs == HUBS:
+            left = now.alias("a").join(
+                now.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & test & _possible(percent), "left_semi")
+            alone = only_here(docs, left.select(F.col("rep").alias("id")).distinct(), size)
+            now = now.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            now = materialize(now.filter(100 * F.col("shared") >= percent * F.col("n")), "members")
+            members = now.drop("root")
         if hubs == 1:
-            meet = now.groupBy("bucket").agg(F.min(F.struct("order", "rep", "root", "n", "b1", "b2")).alias("h")).select(
+            meet = now.groupBy("bucket").agg(F.min(F.struct("order", "rep", "root", "n", "shared", "b1", "b2")).alias("h")).select(
                 "bucket", "h.*")
         elif hubs:
             by_bucket = Window.partitionBy("bucket").orderBy("order", "rep")
             meet = now.withColumn("r", F.row_number().over(by_bucket)).filter(F.col("r") <= hubs)
         else:
             meet = now
-        test = F.col("a.root") != F.col("b.root")
         if hubs is None:
             test = test & (F.col("a.rep") < F.col("b.rep"))
         pairs = now.alias("a").join(meet.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & test & _possible(percent))
