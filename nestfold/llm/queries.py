@@ -1,6 +1,6 @@
 """All queries of this subpackage, with their SQL where SQL can say it."""
 
 from nestfold.llm.base import ORACLES, QUERIES
-from nestfold.llm import minhash, quality_rules, topk  # noqa: F401
+from nestfold.llm import line_dedup, minhash, quality_rules, topk  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
