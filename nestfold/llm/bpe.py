@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 import uuid
 from typing import Iterable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -38,7 +40,7 @@ from nestfold.session import ship_package
 from nestfold.sources.storage import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 16 << 20  # of text; bounds a block's memory and its distinct words
+BLOCK_BYTES = 12 << 20  # of text; bounds a block's memory and its distinct words
 MAX_VOCABULARY = 2_000_000  # tokens that may be sent to every task
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: Code points of the Unicode property White_Space.
@@ -48,26 +50,31 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 @functools.cache
-def _kinds() -> np.ndarray:
+def packed_kinds() -> bytes:
     """Letter, number, white space or other, for every code point, as the encoding library sees them.
 
-    Unicode versions differ between libraries. So what the newest tables call a
+    Unicode versions differ between libraries. What newer tables alone call a
     letter is tried out: with a vocabulary that merges any byte with an ``a``,
     the character and the ``a`` share a merged token only if they share a match.
+    Made once on the driver; a few kilobytes when compressed.
     """
-    import regex
-
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     kinds = np.zeros(0x200000, np.uint8)
-    for kind, pattern, partner in ((_LETTER, r"\p{L}", "a"), (_NUMBER, r"\p{N}", "1")):
+    for kind, category, pattern, partner in ((_LETTER, "L", r"\p{L}", "a"), (_NUMBER, "N", r"\p{N}", "1")):
+        old = {c for c in range(0x110000) if unicodedata.category(chr(c))[0] == category}
+        kinds[list(old)] = kind
         ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + partner.encode(): 256 + b for b in range(256)}
         trial = tiktoken.Encoding("trial", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        found = regex.findall(pattern, every)
-        for c, ids in zip(found, trial.encode_ordinary_batch([c + partner for c in found], num_threads=1)):
-            if len(ids) == len(c.encode()):
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in old)
+        for c in regex.findall(pattern, every):
+            if len(trial.encode_ordinary(c + partner)) == len(c.encode()):
                 kinds[ord(c)] = kind
     kinds[list(_WHITE)] = _SPACE
-    return kinds
+    return pa.compress(kinds.tobytes(), codec="zstd", asbytes=True)
+
+
+@functools.cache
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 0x200000, codec="zstd", asbytes=True), np.uint8)
 
 
 def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +92,7 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points, lead
 
 
-def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pre_tokens(data: np.ndarray, offsets: np.ndarray, kinds_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts of all matches of the tokenizer's pattern, and n + 1 offsets of the texts' matches.
 
     The matches cover a text without gaps. A space goes with what follows it; of
@@ -95,7 +102,7 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     points, lead = _code_points(data)
-    kinds = _kinds()[points]
+    kinds = kinds_of[points]
     n = len(points)
     begins = np.zeros(n + 1, bool)
     begins[np.searchsorted(lead, offsets)] = True  # texts; the end counts too
@@ -132,7 +139,8 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class _BlockOfTexts:
     """Distinct words and positions of texts, gathered chunk by chunk."""
 
-    def __init__(self):
+    def __init__(self, kinds: np.ndarray):
+        self.kinds = kinds
         self.bytes = 0
         self.ids: list = []
         self.counts: list[np.ndarray] = []
@@ -141,7 +149,7 @@ class _BlockOfTexts:
         self.at: list[np.ndarray] = []  # per chunk: position -> distinct word of the chunk
 
     def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
-        starts, tokens = pre_tokens(data, offsets)
+        starts, tokens = pre_tokens(data, offsets, self.kinds)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         hashes, first, at = np.unique(T.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         lengths = (ends - starts)[first]
@@ -183,16 +191,18 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    block = _BlockOfTexts()
-    for batch in batches:
-        for row, data, offsets in T.chunks(T.column(batch, "text")):
-            if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
-                yield block.row()
-                block = _BlockOfTexts()
-            block.add(batch.column(0).slice(row, len(offsets) - 1), data, offsets)
-    if block.ids:
-        yield block.row()
+def _to_blocks(kinds: bytes):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        block = _BlockOfTexts(_unpacked(kinds))
+        for batch in batches:
+            for row, data, offsets in T.chunks(T.column(batch, "text")):
+                if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
+                    yield block.row()
+                    block = _BlockOfTexts(block.kinds)
+                block.add(batch.column(0).slice(row, len(offsets) - 1), data, offsets)
+        if block.ids:
+            yield block.row()
+    return run
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -257,7 +267,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", text:
         raise ValueError(f"{len(ranks)} tokens are too many to send to every task")
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     blocks = materialize(rows.mapInArrow(
-        _to_blocks, "block long, words array<binary>, ids array<long>, counts array<long>, positions binary"), "blocks")
+        _to_blocks(packed_kinds()), "block long, words array<binary>, ids array<long>, counts array<long>, positions binary"), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("number", "word"))
     merged = words.repartition("word").sortWithinPartitions("word").mapInArrow(
         _merge_words(ranks), "block long, number int, ids array<int>")

@@ -14,7 +14,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20  # texts worked on at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # texts worked on at once; a longer text is a chunk of its own
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INV = pow(_P, -1, 1 << 64)
@@ -35,7 +35,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 16 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
 
