@@ -12,16 +12,16 @@ probability 1 - 5e-8. Texts with equal sets are one class, so exact copies
 cost one row. Within a bucket nothing is paired with everything:
 
 1. every member meets the bucket's hub, which is drawn anew for each bucket;
-2. verified links are joined to components;
-3. only members of *different* components meet again: first 16 hubs of their
-   bucket, and at last all that is left, until no untested pair remains.
+2. verified links are joined to components, and all hub pairs that were tested
+   to families;
+3. a family that is not yet one component is tested in blocks of a bounded
+   number of shingles: a task takes two blocks, counts all intersections as a
+   matrix product, and returns a spanning forest of the links it finds;
+4. pairs of different families that share a bucket are tested one by one.
 
-A pair is tested exactly (on whole sets) unless the sizes already exclude the
-similarity, or a 128-bit sketch of the signatures does (at most 34 bits differ
-at 0.8 but for about one pair in 10^8). Before step 3, the shingles that only
-one of the remaining texts has are counted: they cannot be in an intersection,
-so a text with many of them is out for good. Without this bound, thousands of
-edited copies that are just below the similarity would all meet each other.
+So no pair of a shared bucket stays untested unless it is in one component
+already, the sizes exclude the similarity, or a 128-bit sketch of the
+signatures does (at most 34 bits differ at 0.8 but for about one pair in 10^8).
 
 Defined results: null and empty texts have an empty set and link to nothing; a
 text with fewer words than a shingle is one shingle; a null id counts as the
@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nestfold.llm import text as T
 from nestfold.llm.base import key, query, table, unkey
@@ -44,7 +44,8 @@ from nestfold.sources.storage import materialize
 
 PLACES, BANDS = 128, 32
 SKETCH_BITS = 34  # most differing bits of two sketches
-HUBS = 16
+BLOCK_ITEMS, BLOCK_DOCS = 100_000, 512  # shingles and documents of a block, on average at most
+_SLICE = 8192  # shingles multiplied at once
 #: Ids that may be broadcast to fetch texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -160,13 +161,10 @@ def _similar(percent: int):
 
 
 def _possible(percent: int) -> Column:
-    """Neither sizes, nor shared shingles, nor sketches of ``a`` and ``b`` exclude the similarity."""
+    """Neither sizes nor sketches of ``a`` and ``b`` exclude the similarity."""
     a, b = F.col("a.n"), F.col("b.n")
-    both = F.least("a.shared", "b.shared")
     differ = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
-    return (
-        (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * both >= percent * (a + b))
-        & (differ <= SKETCH_BITS))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= SKETCH_BITS)
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -192,11 +190,61 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
     )
 
 
-def only_here(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(rep, alone): how many shingles of a document none of the other ``ids`` has."""
-    items = whole_sets(docs, ids, size).select("id", F.explode("items").alias("item"))
-    single = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).filter("n = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+def _block_links(percent: int):
+    """A spanning forest of the links between documents of two blocks that are not in one component yet."""
+    def sides(members: pa.StructArray):
+        lists = members.field("items")
+        return (members.field("id").to_numpy(), members.field("root").to_numpy(), lists.flatten().to_numpy(),
+                np.diff(lists.offsets.to_numpy()))
+
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for left, right in zip(batch.column(0), batch.column(1)):
+                (ids, roots, items, n), (ids2, roots2, items2, n2) = sides(left.values), sides(right.values)
+                shared = np.intersect1d(items, items2)
+                both = np.zeros((len(ids), len(ids2)), np.float32)
+                for start in range(0, len(shared), _SLICE):
+                    part = shared[start:start + _SLICE]
+                    tables = []
+                    for values, sizes in ((items, n), (items2, n2)):
+                        at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+                        hit = part[at] == values
+                        table_ = np.zeros((len(sizes), len(part)), np.float32)
+                        table_[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
+                        tables.append(table_)
+                    both += tables[0] @ tables[1].T
+                alike = (100 * both >= percent * (n[:, None] + n2[None, :] - both)) & (roots[:, None] != roots2[None, :])
+                parent: dict = {}
+
+                def find(x):
+                    while parent.get(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(alike)):
+                    a, b = find(roots[i]), find(roots2[j])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        u.append(ids[i])
+                        v.append(ids2[j])
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    return run
+
+
+def within_families(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) that join the components of each family; ``members`` has ``id``, ``family`` and ``root``."""
+    sets = whole_sets(docs, members.select("id").distinct(), size).withColumn("n", F.array_size("items"))
+    full = members.join(sets, "id")
+    total = full.groupBy("family").agg(
+        F.ceil(F.greatest(F.sum("n") / BLOCK_ITEMS, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
+    dealt = full.join(total, "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), "blocks").cast("int"))
+    blocks = materialize(
+        dealt.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("id", "root", "items")).alias("docs")), "blocks")
+    left = blocks.select("family", F.col("docs").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    right = blocks.select("family", "block", F.col("docs").alias("b"))
+    met = left.join(right, ["family", "block"]).select("a", "b")
+    return met.mapInArrow(_block_links(percent), "u long, v long").distinct()
 
 
 def near_duplicates(
@@ -213,54 +261,37 @@ def near_duplicates(
     places = groups.select(F.explode("bands").alias("bucket"), "rep", "n", "b1", "b2")
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     members = materialize(
-        places.join(shared, "bucket").withColumn("order", F.xxhash64("bucket", "rep"))
-        .withColumn("shared", F.col("n")), "members")
-
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    for hubs in (1, HUBS, None):
-        now = members
-        if roots is None:
-            now = now.withColumn("root", F.col("rep"))
-        else:
-            now = (
-                now.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-                .withColumn("root", F.coalesce("root", "rep")))
-            mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-            now = materialize(now.join(mixed.select("bucket"), "bucket", "left_semi"), "members")
-        test = F.col("a.root") != F.col("b.root")
-        if hubs == HUBS:
-            left = now.alias("a").join(
-                now.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & test & _possible(percent), "left_semi")
-            alone = only_here(docs, left.select(F.col("rep").alias("id")).distinct(), size)
-            now = now.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            now = materialize(now.filter(100 * F.col("shared") >= percent * F.col("n")), "members")
-            members = now.drop("root")
-        if hubs == 1:
-            meet = now.groupBy("bucket").agg(F.min(F.struct("order", "rep", "root", "n", "shared", "b1", "b2")).alias("h")).select(
-                "bucket", "h.*")
-        elif hubs:
-            by_bucket = Window.partitionBy("bucket").orderBy("order", "rep")
-            meet = now.withColumn("r", F.row_number().over(by_bucket)).filter(F.col("r") <= hubs)
-        else:
-            meet = now
-        if hubs is None:
-            test = test & (F.col("a.rep") < F.col("b.rep"))
-        pairs = now.alias("a").join(meet.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & test & _possible(percent))
-        pairs = materialize(pairs.select(
-            F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = materialize(verify(docs, pairs, size, percent), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = connected(links)
+        places.join(shared, "bucket").withColumn("order", F.xxhash64("bucket", "rep")), "members")
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("order", "rep", "n", "b1", "b2")).alias("h")).select("bucket", "h.*")
+    in_bucket = F.col("a.bucket") == F.col("b.bucket")
+    ends = F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")
+    met = members.alias("a").join(
+        hubs.alias("b"), in_bucket & (F.col("a.rep") != F.col("b.rep")) & _possible(percent))
+    pairs = materialize(met.select(*ends).distinct(), "pairs")
+    links = materialize(verify(docs, pairs, size, percent), "links")
+    roots, families = connected(links), connected(pairs)
+
+    def labelled(df: DataFrame, node: str) -> DataFrame:
+        return (
+            df.join(families.select(F.col("node").alias(node), F.col("root").alias("family")), node, "left")
+            .join(roots.select(F.col("node").alias(node), "root"), node, "left")
+            .withColumn("family", F.coalesce("family", node)).withColumn("root", F.coalesce("root", node)))
+
+    def mixed(df: DataFrame, group: str) -> DataFrame:
+        open_ = df.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        return materialize(df.join(open_.select(group), group, "left_semi"), "mixed")
+
+    kin = families.select(F.explode(F.array("node", "root")).alias("id")).distinct()
+    inside = within_families(docs, mixed(labelled(kin, "id"), "family"), size, percent)
+    strangers = mixed(labelled(members, "rep"), "bucket")
+    across = strangers.alias("a").join(
+        strangers.alias("b"), in_bucket & (F.col("a.family") != F.col("b.family")) & (F.col("a.rep") < F.col("b.rep"))
+        & (F.col("a.root") != F.col("b.root")) & _possible(percent))
+    others = verify(docs, materialize(across.select(*ends).distinct(), "pairs"), size, percent)
+    roots = connected(links.unionByName(inside).unionByName(others))
 
     classed = sketched.select("id", "n", "digest").join(groups.select("digest", "rep"), "digest", "left")
-    if roots is not None:
-        classed = classed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    else:
-        classed = classed.withColumn("root", F.lit(None).cast("long"))
+    classed = classed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return classed.select(
         unkey("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce("root", "rep", "id").alias("component")).withColumn("component_id", unkey("component")).drop("component")
