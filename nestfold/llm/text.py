@@ -78,11 +78,16 @@ def chunks(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         row = stop
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and n + 1 offsets of the texts' words."""
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and n + 1 offsets of the texts' words.
+
+    ``breaks`` marks the byte values that end a word.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     edge = np.empty(len(data) + 1, bool)  # before each byte: does a word break off here
     edge[0] = edge[-1] = True
     np.not_equal(solid[1:], solid[:-1], out=edge[1:-1])
