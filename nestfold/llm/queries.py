@@ -1,6 +1,6 @@
 """All queries of this subpackage, with their SQL where SQL can say it."""
 
 from nestfold.llm.base import ORACLES, QUERIES
-from nestfold.llm import bpe, line_dedup, minhash, mixing, quality_model, quality_rules, topk, toxicity  # noqa: F401
+from nestfold.llm import bpe, chat, line_dedup, minhash, mixing, quality_model, quality_rules, topk, toxicity  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
