@@ -36,7 +36,7 @@ from nestfold.session import ship_package
 from nestfold.sources.storage import materialize
 
 BLOCK_WORDS = 50_000
-SHARD_WORDS = 10_000_000
+SHARD_WORDS = 2_000_000
 #: Sources that may be broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 
