@@ -173,8 +173,13 @@ def judge(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", out:
 
 
 def keep_good(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows whose text keeps every rule, with their own columns only."""
-    return judge(df, rules, text, "_quality").filter(F.col("_quality.kept")).drop("_quality")
+    """The rows whose text keeps every rule, with their own columns only.
+
+    The verdict passes through a one-element array: a filter on it is then not
+    pushed below the projection, where it would repeat the measures many times.
+    """
+    judged = judge(df, rules, text, "_quality")
+    return judged.select(*df.columns, F.explode(F.array("_quality.kept")).alias("_kept")).filter("_kept").drop("_kept")
 
 
 _SQL = r"""
