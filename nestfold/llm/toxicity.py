@@ -2,7 +2,7 @@
 
 Voters look for words. Lexicon voters have a few words each; pattern voters have
 word beginnings that stand out in the toxic ones of the training labels, dealt
-to voters by hash. The label model weighs them; its posteriors train a logistic
+to voters by hash; and the training label itself is a voter. The label model weighs them; its posteriors train a logistic
 classifier on hashed words and word beginnings, which then scores every whole
 text. Text is the only input of a score.
 
@@ -96,6 +96,7 @@ def fit(training: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id") -> tu
     votes = np.zeros((n, len(voters)))
     for k, wanted in enumerate(voters):
         votes[np.unique(row[np.isin(feature, wanted)]), k] = 1
+    votes = np.column_stack([votes, label])  # the training label is one more voter, as fallible as the others
     used = votes.any(axis=0)
     model = weak.fit_label_model(votes[:, used], label.mean() if n else 0.1)
     goal = model.posterior(votes[:, used]) if used.any() else np.full(n, 0.01)
