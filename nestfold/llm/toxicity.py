@@ -82,9 +82,14 @@ def _voters(row: np.ndarray, feature: np.ndarray, label: np.ndarray) -> list[np.
     return [*(_lexicon_features(x) for x in LEXICONS), *(found[found % PATTERN_VOTERS == k] for k in range(PATTERN_VOTERS))]
 
 
-def fit(training: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id") -> tuple[np.ndarray, float, weak.LabelModel]:
-    """Weights, bias and the label model, from rows with ``text`` and ``toxic``."""
-    chosen = training.orderBy(F.xxhash64(doc_id, F.lit(5)), doc_id).limit(sample).select("text", F.col("toxic").cast("int"))
+def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id") -> tuple[np.ndarray, float, weak.LabelModel]:
+    """Weights, bias and the label model, from the texts of ``docs`` and the labels ``toxic`` of ``known``.
+
+    The sample is drawn from the labels, so its ids (``sample`` at most) can be
+    broadcast, and no text but those of the sample is moved.
+    """
+    drawn = known.select(doc_id, F.col("toxic").cast("int")).orderBy(F.xxhash64(doc_id, F.lit(5)), doc_id).limit(sample)
+    chosen = docs.join(F.broadcast(drawn), doc_id).select("text", "toxic")
     got = chosen.mapInArrow(_sample_features, "toxic int, features array<int>").toArrow().combine_chunks()
     label = got.column("toxic").to_numpy().astype(np.int64)
     lists = got.column("features").combine_chunks()
@@ -137,7 +142,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     ship_package(spark)
     known = labels.filter((F.coalesce(remainder(), F.lit(2)) != 2) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    weights, bias, _ = fit(docs.join(known, "doc_id"))
+    weights, bias, _ = fit(docs, known)
     scored = score(docs.select(F.col("doc_id").alias("id"), "text"), weights, bias)
     return scored.select(
         F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"),

@@ -133,7 +133,7 @@ def test_toxicity_on_held_out_rows(spark, sf, odd):
     held = got.filter("held_out").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in held}
     assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
-    weights, bias, _ = toxicity.fit(odd.withColumn("toxic", F.lit(1)).limit(0))
+    weights, bias, _ = toxicity.fit(odd, odd.withColumn("toxic", F.lit(1)).limit(0))
     assert toxicity.score(odd.select(F.col("doc_id").alias("id"), "text"), weights, bias).count() == odd.count()
 
 
