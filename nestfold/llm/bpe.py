@@ -4,13 +4,19 @@ Encoding:
 
 1. Texts are split into pre-tokens, a block of texts at a time. A block keeps
    its distinct words and, for every position, the number of its word; the word
-   numbers are ranked by frequency and compressed, about a byte per position.
-2. The (block, number, word) rows are shuffled and sorted by word, so each
-   distinct word of the corpus sits in one task and is merged once. A very
-   frequent word comes once for each block, not once for each position.
+   numbers are ranked by frequency and compressed. Words are dealt to buckets by
+   hash and leave a block as one compressed row for each bucket.
+2. The rows are shuffled and sorted by bucket, so each distinct word of the
+   corpus sits in one task and is merged once. A very frequent word comes once
+   for each block, not once for each position.
 3. Ids go back to their block, which is joined with its positions and
    reassembled into the ids of each text.
 
+Blocks are made twice, for the words and for the positions, rather than stored
+in between: a block is named by a digest of its ids and texts, so both passes
+give it the same name. Input rows must therefore come in the same order on
+both passes, as from a scan of files; if they don't, the job fails.
+
 Decoding looks up every id in the token-byte table, which has as many rows as
 the vocabulary, a size that is checked before it is sent to all tasks.
 
@@ -22,9 +28,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import itertools
 import unicodedata
-import uuid
-from typing import Iterable
+from typing import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -35,12 +42,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from nestfold.llm import text as T
-from nestfold.llm.base import query, table
+from nestfold.llm.base import partitions, query, table
 from nestfold.session import ship_package
-from nestfold.sources.storage import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 12 << 20  # of text; bounds a block's memory and its distinct words
+BUCKETS_PER_PARTITION = 4  # of words; a task holds the words of one bucket at a time
+ROWS_AT_ONCE = 64  # bucket rows of a batch that leaves a task
 MAX_VOCABULARY = 2_000_000  # tokens that may be sent to every task
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: Code points of the Unicode property White_Space.
@@ -147,6 +155,7 @@ class _BlockOfTexts:
         self.hashes: list[np.ndarray] = []  # per chunk: distinct words
         self.words: list[pa.Array] = []
         self.at: list[np.ndarray] = []  # per chunk: position -> distinct word of the chunk
+        self.name = hashlib.blake2b(digest_size=16)
 
     def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         starts, tokens = pre_tokens(data, offsets, self.kinds)
@@ -162,46 +171,80 @@ class _BlockOfTexts:
         self.hashes.append(hashes)
         self.at.append(at.astype(np.uint32))
         self.bytes += len(data)
+        for part in (ids.fill_null(0).to_numpy(), offsets, data):
+            self.name.update(np.ascontiguousarray(part))
 
-    def row(self) -> pa.RecordBatch:
+    def _ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """For the distinct words by falling frequency, their first places; for each position, the rank of its word."""
         _, first, at = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
         ends = np.cumsum([len(h) for h in self.hashes])
         positions = np.concatenate([at[e - len(h):e][p] for e, h, p in zip(ends, self.hashes, self.at)])
         often = np.argsort(-np.bincount(positions, minlength=len(first)), kind="stable")
         rank = np.empty(len(often), np.uint32)
         rank[often] = np.arange(len(often), dtype=np.uint32)
-        words = pa.concat_arrays(self.words).take(pa.array(first[often]))
+        return first[often], rank[positions]
+
+    def _buckets(self, first: np.ndarray, buckets: int) -> np.ndarray:
+        return (np.concatenate(self.hashes)[first] % np.uint64(buckets)).astype(np.uint32)
+
+    def word_rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The distinct words, a row for each bucket, by rank within it."""
+        first, _ = self._ranked()
+        bucket = self._buckets(first, buckets)
+        order = np.argsort(bucket, kind="stable")
+        words = pa.concat_arrays(self.words).take(pa.array(first[order]))
+        data, offsets = T.raw(words)
+        found, starts = np.unique(bucket[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        lengths = [_pack(np.diff(offsets[a:b + 1])) for a, b in zip(starts, ends)]
+        packed = [_compress(data[offsets[a]:offsets[b]].tobytes()) for a, b in zip(starts, ends)]
+        rows = pa.record_batch(
+            [pa.array([self.name.digest()] * len(found), pa.binary()), pa.array(found.astype(np.int32)),
+             pa.array(lengths, pa.binary()), pa.array(packed, pa.binary())], ["block", "bucket", "lengths", "words"])
+        for start in range(0, len(found), ROWS_AT_ONCE):
+            yield rows.slice(start, ROWS_AT_ONCE)
+
+    def text_row(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Ids, numbers of words and positions of the texts, and the bucket of each rank."""
+        first, positions = self._ranked()
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.record_batch(
-            [pa.array([uuid.uuid4().int >> 65], pa.int64()), one(words), one(pa.concat_arrays(self.ids)),
-             one(pa.array(np.concatenate(self.counts).astype(np.int64))),
-             pa.array([_pack(rank[positions])], pa.binary())],
-            ["block", "words", "ids", "counts", "positions"])
+        yield pa.record_batch(
+            [pa.array([self.name.digest()], pa.binary()), one(pa.concat_arrays(self.ids)),
+             one(pa.array(np.concatenate(self.counts).astype(np.int64))), pa.array([_pack(positions)], pa.binary()),
+             pa.array([_pack(self._buckets(first, buckets))], pa.binary())],
+            ["block", "ids", "counts", "positions", "buckets"])
+
+
+def _compress(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _decompress(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Compressed byte planes: ranked numbers are mostly small, so the upper planes are nearly all zeros."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    """Compressed byte planes: the numbers are mostly small, so the upper planes are nearly all zeros."""
+    return _compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    size = int.from_bytes(packed[:8], "little")
-    planes = np.frombuffer(pa.decompress(packed[8:], size, codec="zstd", asbytes=True), np.uint8)
+    planes = np.frombuffer(_decompress(packed), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _to_blocks(kinds: bytes):
+def _to_blocks(kinds: bytes, rows_of):
+    """The rows that ``rows_of`` makes of each block of a task's texts."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         block = _BlockOfTexts(_unpacked(kinds))
         for batch in batches:
             for row, data, offsets in T.chunks(T.column(batch, "text")):
                 if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
-                    yield block.row()
+                    yield from rows_of(block)
                     block = _BlockOfTexts(block.kinds)
                 block.add(batch.column(0).slice(row, len(offsets) - 1), data, offsets)
         if block.ids:
-            yield block.row()
+            yield from rows_of(block)
     return run
 
 
@@ -223,39 +266,57 @@ def _encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
 
 
 def _merge_words(ranks: dict[bytes, int]):
-    """The ids of each word; rows come sorted, so equal words follow each other and are merged once."""
+    """The ids of the words of each row; rows come sorted by bucket, so a word of several rows is merged once."""
     def run(batches):
         merge = _encoder(ranks)._encode_single_piece
-        last, ids = None, []
+        last, known = None, {}
         for batch in batches:
-            words, out = batch.column(2).to_pylist(), []
-            for word in words:
-                if word != last:
-                    last, ids = word, merge(word)
-                out.append(ids)
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["block", "number", "ids"])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(start, ROWS_AT_ONCE)
+                counts, ids = [], []
+                for bucket, lengths, packed in zip(*(c.to_pylist() for c in some.columns[1:])):
+                    if bucket != last:
+                        last, known = bucket, {}
+                    data, ends = _decompress(packed), np.cumsum(_unpack(lengths)).tolist()
+                    found = []
+                    for a, b in zip([0, *ends], ends):
+                        word = data[a:b]
+                        merged = known.get(word)
+                        if merged is None:
+                            merged = known[word] = merge(word)
+                        found.append(merged)
+                    counts.append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
+                    ids.append(_pack(np.fromiter(itertools.chain.from_iterable(found), np.uint32)))
+                yield pa.record_batch(
+                    [some.column(0), some.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())],
+                    ["block", "bucket", "counts", "ids"])
     return run
 
 
 def _reassemble(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
     """The ids of each text of one block."""
-    texts, words = texts.combine_chunks(), words.combine_chunks()
-    ids, counts, ends = [], [], []
+    of_bucket = dict(zip(words.column("bucket").to_pylist(), zip(words.column("counts"), words.column("ids"))))
+    parts = [of_bucket[bucket] for bucket in sorted(of_bucket)]
+    lengths = np.concatenate([np.zeros(0, np.uint32), *(_unpack(c.as_py()) for c, _ in parts)])
+    flat = pa.array(np.concatenate([np.zeros(0, np.uint32), *(_unpack(i.as_py()) for _, i in parts)]).astype(np.int32))
+    by_bucket = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
+    texts = texts.combine_chunks()
+    if not texts.num_rows:
+        raise ValueError("the texts came in another order on the second pass")
+    ids, rows = [], []
     for row in range(texts.num_rows):
-        ids.append(texts.column("ids").chunk(0)[row].values)
-        count = texts.column("counts").chunk(0)[row].values.to_numpy(zero_copy_only=False)
-        positions = _unpack(texts.column("positions")[row].as_py())
-        if len(positions):
-            by_number = pa.array(np.argsort(words.column("number").to_numpy()))
-            pieces = words.column("ids").chunk(0).take(by_number).take(pa.array(positions))
-            counts.append(pieces.flatten())
-            at = pieces.offsets.to_numpy()
-        else:
-            counts.append(pa.array([], pa.int32()))
-            at = np.zeros(1, np.int64)
-        ends.append(at[np.concatenate([[0], np.cumsum(count)])])
-    rows = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), c) for e, c in zip(ends, counts)]
+        ids.append(texts.column("ids")[row].values)
+        count = texts.column("counts")[row].values.to_numpy(zero_copy_only=False)
+        buckets = _unpack(texts.column("buckets")[row].as_py())
+        if len(buckets) != len(by_bucket):
+            raise ValueError("the texts came in another order on the second pass")
+        place = np.empty(len(buckets), np.int64)
+        place[np.argsort(buckets, kind="stable")] = np.arange(len(buckets))
+        pieces = by_bucket.take(pa.array(place[_unpack(texts.column("positions")[row].as_py())]))
+        at = pieces.offsets.to_numpy()
+        ends = (at - at[0])[np.concatenate([[0], np.cumsum(count)])] if len(pieces) else np.zeros(len(count) + 1, np.int32)
+        rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces.flatten()))
     return pa.table([pa.chunked_array(ids, pa.int64()), pa.chunked_array(rows, pa.list_(pa.int32()))], ["id", "ids"])
 
 
@@ -266,12 +327,14 @@ def encode(df: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", text:
     if len(ranks) > MAX_VOCABULARY:
         raise ValueError(f"{len(ranks)} tokens are too many to send to every task")
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    blocks = materialize(rows.mapInArrow(
-        _to_blocks(packed_kinds()), "block long, words array<binary>, ids array<long>, counts array<long>, positions binary"), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    merged = words.repartition("word").sortWithinPartitions("word").mapInArrow(
-        _merge_words(ranks), "block long, number int, ids array<int>")
-    texts = blocks.select("block", "ids", "counts", "positions")
+    kinds, buckets = packed_kinds(), BUCKETS_PER_PARTITION * partitions(spark)
+    words = rows.mapInArrow(
+        _to_blocks(kinds, lambda block: block.word_rows(buckets)), "block binary, bucket int, lengths binary, words binary")
+    texts = rows.mapInArrow(
+        _to_blocks(kinds, lambda block: block.text_row(buckets)),
+        "block binary, ids array<long>, counts array<long>, positions binary, buckets binary")
+    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _merge_words(ranks), "block binary, bucket int, counts binary, ids binary")
     return texts.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_reassemble, "id long, ids array<int>")
 
 
