@@ -44,9 +44,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from nestfold.llm import text as T
 from nestfold.llm.base import partitions, query, table
 from nestfold.session import ship_package
+from nestfold.sources.storage import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_BYTES = 12 << 20  # of text; bounds a block's memory and its distinct words
+BLOCK_BYTES = 4 << 20  # of text; bounds a block's memory and its distinct words
 BUCKETS_PER_PARTITION = 4  # of words; a task holds the words of one bucket at a time
 ROWS_AT_ONCE = 64  # bucket rows of a batch that leaves a task
 MAX_VOCABULARY = 2_000_000  # tokens that may be sent to every task
@@ -242,6 +243,7 @@ def _to_blocks(kinds: bytes, rows_of):
                 if block.bytes and block.bytes + len(data) > BLOCK_BYTES:
                     yield from rows_of(block)
                     block = _BlockOfTexts(block.kinds)
+                    pa.default_memory_pool().release_unused()
                 block.add(batch.column(0).slice(row, len(offsets) - 1), data, offsets)
         if block.ids:
             yield from rows_of(block)
@@ -335,7 +337,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id", text:
         "block binary, ids array<long>, counts array<long>, positions binary, buckets binary")
     merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _merge_words(ranks), "block binary, bucket int, counts binary, ids binary")
-    return texts.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_reassemble, "id long, ids array<int>")
+    # Written, so that a task never runs the workers of reassembly and of what follows at once.
+    return materialize(
+        texts.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_reassemble, "id long, ids array<int>"), "ids")
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "bytes") -> DataFrame:
