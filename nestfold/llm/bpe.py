@@ -255,15 +255,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-_encoders: dict[int, tiktoken.Encoding] = {}
+_last_encoder: list = []  # the ranks and their encoder; a worker runs many tasks and keeps one
 
 
 def _encoder(ranks: dict[bytes, int]) -> tiktoken.Encoding:
-    found = _encoders.get(id(ranks))
-    if found is None:
-        found = _encoders[id(ranks)] = tiktoken.Encoding(
+    if not _last_encoder or _last_encoder[0] != ranks:
+        _last_encoder[:] = ranks, tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return found
+    return _last_encoder[1]
 
 
 def _merge_words(ranks: dict[bytes, int]):
