@@ -31,6 +31,7 @@ smallest id; rows that share an id count as one document.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -191,19 +192,18 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
 
 
 def _block_links(percent: int):
-    """A spanning forest of the links between documents of two blocks that are not in one component yet."""
+    """A spanning forest of the links between components, as far as documents of two blocks show them."""
     def sides(members: pa.StructArray):
         lists = members.field("items")
-        return (members.field("id").to_numpy(), members.field("root").to_numpy(), lists.flatten().to_numpy(),
-                np.diff(lists.offsets.to_numpy()))
+        return members.field("root").to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
 
     def run(batches):
         for batch in batches:
             u, v = [], []
             for left, right in zip(batch.column(0), batch.column(1)):
-                (ids, roots, items, n), (ids2, roots2, items2, n2) = sides(left.values), sides(right.values)
+                (roots, items, n), (roots2, items2, n2) = sides(left.values), sides(right.values)
                 shared = np.intersect1d(items, items2)
-                both = np.zeros((len(ids), len(ids2)), np.float32)
+                both = np.zeros((len(roots), len(roots2)), np.float32)
                 for start in range(0, len(shared), _SLICE):
                     part = shared[start:start + _SLICE]
                     tables = []
@@ -226,21 +226,21 @@ def _block_links(percent: int):
                     a, b = find(roots[i]), find(roots2[j])
                     if a != b:
                         parent[max(a, b)] = min(a, b)
-                        u.append(ids[i])
-                        v.append(ids2[j])
+                        u.append(roots[i])
+                        v.append(roots2[j])
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return run
 
 
 def within_families(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (u, v) that join the components of each family; ``members`` has ``id``, ``family`` and ``root``."""
+    """Links (u, v) between roots that join the components of each family; ``members`` has ``id``, ``family`` and ``root``."""
     sets = whole_sets(docs, members.select("id").distinct(), size).withColumn("n", F.array_size("items"))
     full = members.join(sets, "id")
     total = full.groupBy("family").agg(
         F.ceil(F.greatest(F.sum("n") / BLOCK_ITEMS, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
     dealt = full.join(total, "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), "blocks").cast("int"))
     blocks = materialize(
-        dealt.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("id", "root", "items")).alias("docs")), "blocks")
+        dealt.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("root", "items")).alias("docs")), "blocks")
     left = blocks.select("family", F.col("docs").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     right = blocks.select("family", "block", F.col("docs").alias("b"))
     met = left.join(right, ["family", "block"]).select("a", "b")
@@ -269,7 +269,9 @@ def near_duplicates(
         hubs.alias("b"), in_bucket & (F.col("a.rep") != F.col("b.rep")) & _possible(percent))
     pairs = materialize(met.select(*ends).distinct(), "pairs")
     links = materialize(verify(docs, pairs, size, percent), "links")
-    roots, families = connected(links), connected(pairs)
+    stars = connected(materialize(
+        links.withColumn("tested", F.lit(False)).unionByName(pairs.withColumn("tested", F.lit(True))), "graphs"), ["tested"])
+    roots, families = (stars.filter(F.col("tested") == flag).drop("tested") for flag in (False, True))
 
     def labelled(df: DataFrame, node: str) -> DataFrame:
         return (
@@ -281,20 +283,32 @@ def near_duplicates(
         open_ = df.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
         return materialize(df.join(open_.select(group), group, "left_semi"), "mixed")
 
-    kin = families.select(F.explode(F.array("node", "root")).alias("id")).distinct()
-    inside = within_families(docs, mixed(labelled(kin, "id"), "family"), size, percent)
+    kin = mixed(labelled(families.select(F.explode(F.array("node", "root")).alias("id")).distinct(), "id"), "family")
     strangers = mixed(labelled(members, "rep"), "bucket")
     across = strangers.alias("a").join(
         strangers.alias("b"), in_bucket & (F.col("a.family") != F.col("b.family")) & (F.col("a.rep") < F.col("b.rep"))
         & (F.col("a.root") != F.col("b.root")) & _possible(percent))
-    others = verify(docs, materialize(across.select(*ends).distinct(), "pairs"), size, percent)
-    roots = connected(links.unionByName(inside).unionByName(others))
+    across = materialize(
+        across.select(*ends, F.col("a.root").alias("ru"), F.col("b.root").alias("rv")).distinct(), "pairs")
+    merges = []
+    if not kin.isEmpty():
+        merges.append(within_families(docs, kin, size, percent))
+    if not across.isEmpty():
+        others = verify(docs, across.select("u", "v"), size, percent)
+        merges.append(across.join(others, ["u", "v"]).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+    merged = None
+    if merges:
+        merged = connected(materialize(reduce(DataFrame.unionByName, merges), "merges"))
 
     classed = sketched.select("id", "n", "digest").join(groups.select("digest", "rep"), "digest", "left")
     classed = classed.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    classed = classed.withColumn("root", F.coalesce("root", "rep"))
+    if merged is not None:  # roots of the first components that belong together
+        final = merged.select(F.col("node").alias("root"), F.col("root").alias("final"))
+        classed = classed.join(final, "root", "left").withColumn("root", F.coalesce("final", "root"))
     return classed.select(
         unkey("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("root", "rep", "id").alias("component")).withColumn("component_id", unkey("component")).drop("component")
+        F.coalesce("root", "id").alias("component")).withColumn("component_id", unkey("component")).drop("component")
 
 
 def keep_one(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
