@@ -116,7 +116,11 @@ def _sample_rows(stops: np.ndarray):
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id") -> tuple[np.ndarray, float, weak.LabelModel]:
     """Weights, bias and the label model of junk, from a bounded sample of ``docs``."""
     ship_package(docs.sparkSession)
-    chosen = docs.orderBy(F.xxhash64(doc_id, F.lit(9)), doc_id).limit(sample).select("text")
+    order = F.xxhash64(doc_id, F.lit(9)), F.col(doc_id)
+    drawn = docs.select(F.col(doc_id).alias("_drawn")).orderBy(F.xxhash64("_drawn", F.lit(9)), "_drawn").limit(sample).distinct()
+    # ids first, ``sample`` at most, so that no text but those of the sample is moved
+    met = docs.join(F.broadcast(drawn), F.col(doc_id).eqNullSafe(F.col("_drawn")), "left_semi")
+    chosen = met.orderBy(*order).limit(sample).select("text")
     got = chosen.mapInArrow(_sample_rows(_stop_hashes()), "votes array<byte>, features array<int>, values array<float>").toArrow()
     if not got.num_rows:
         return np.zeros(1 << BITS, np.float32), -2.0, weak.fit_label_model(np.zeros((0, len(LABELLERS))), 0.1)
