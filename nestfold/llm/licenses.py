@@ -5,18 +5,27 @@ Fingerprints of a template are the smallest hash of every few consecutive
 index of fingerprints, so a text that has one is found wherever it stands. Hits
 of a template whose places differ by about the same number are one candidate;
 there the template is aligned with the words of the text in a band around that
-difference, which allows for changed, missing and added words.
+difference, which allows for changed, missing and added words. The band grows
+with the template. Before that, two counts rule out places where even equal
+words in any order would not reach the coverage; no other place is left out.
+
+Templates are whole licence texts and file headers (``license_texts.txt``), one-line
+notices, and the openings of three licences, which stand alone in cut texts.
 
 The index has a few entries per template word; its size is checked before it
 goes to all tasks. Texts are scanned where they lie: nothing is shuffled.
 
 Defined results: words are runs of letters, digits and apostrophes, A-Z taken as
 a-z; null and empty texts have no matches; of overlapping matches of a template the
-one with the highest coverage stays, ties to the earlier.
+one with the highest coverage stays, ties to the earlier; the opening of a licence
+is not reported inside a match of its whole text. Each licence is matched for
+itself, so a text may match related ones too, each with its own coverage.
 """
 
 from __future__ import annotations
 
+import pkgutil
+import re
 from typing import Mapping
 
 import numpy as np
@@ -29,22 +38,39 @@ from nestfold.llm.toxicity import _BREAKS
 from nestfold.session import ship_package
 
 #: Notices as they stand in files; ids follow the usual short names.
-TEMPLATES = {
+NOTICES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
-    "MIT": (
+}
+#: First words of a licence, and the whole texts that begin with them.
+OPENINGS = {
+    "MIT-opening": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files, to deal in the Software without restriction"),
-    "Apache-2.0": (
+    "Apache-2.0-opening": (
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0"),
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+    "BSD-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+}
+WHOLE = {
+    "MIT-opening": ("MIT", "NCSA", "Unicode-3.0"), "Apache-2.0-opening": ("Apache-2.0", "Apache-2.0-header"),
+    "BSD-opening": ("BSD-2-Clause", "BSD-3-Clause"),
 }
+
+
+def _texts() -> dict[str, str]:
+    """Whole licence texts and headers by name; each begins with a line of its name and source."""
+    whole = pkgutil.get_data(__package__, "license_texts.txt").decode()
+    parts = re.split(r"^%% (\S+) \| .*\n", whole, flags=re.M)
+    return dict(zip(parts[1::2], parts[2::2]))
+
+
+TEMPLATES = NOTICES | OPENINGS | _texts()
 SIZE, WINDOW = 3, 3  # words of a fingerprint, fingerprints of which one is kept
-BAND = 6  # words that may be missing or added
+BAND = 6  # words that may be missing or added, or a tenth of the template if that is more
 COVERAGE = 0.8
 MAX_FINGERPRINTS = 1_000_000
 _MATCHES = "id long, license string, begin_word int, end_word int, begin_char int, end_char int, matched int, coverage double"
@@ -83,37 +109,59 @@ def fingerprints(templates: Mapping[str, str]) -> tuple[list[str], list[np.ndarr
     return names, words, np.array(h, np.uint64), np.array(number), np.array(place)
 
 
+def band_of(template: np.ndarray) -> int:
+    return max(BAND, len(template) // 10)
+
+
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched, begin, end): the best alignment of the template around ``words[shift:]``.
 
     Cell (i, j) pairs template word i with text word j; |j - i - shift| <= band. A
     match counts 2, a changed, missing or added word -1; text before and after is free.
+
+    A cell is one number, whose order is that of (score, matched, -begin).
     """
-    low = -10**9
-    n, width = len(template), 2 * band + 1
-    score = [(0, 0, max(0, min(len(words), shift + k - band))) for k in range(width)]  # score, matched, begin
-    best = None
-    for i in range(n + 1):
-        row = []
-        for k in range(width):
-            j = i + shift + k - band  # text words before this cell
-            if i == 0:
-                row.append((0, 0, j) if 0 <= j <= len(words) else (low, 0, j))
-                continue
-            options = [(low, 0, j)]
-            if 0 < j <= len(words) and score[k][0] > low:
-                same = template[i - 1] == words[j - 1]
-                options.append((score[k][0] + (2 if same else -1), score[k][1] + bool(same), score[k][2]))
-            if 0 <= j <= len(words) and k + 1 < width and score[k + 1][0] > low:
-                options.append((score[k + 1][0] - 1, score[k + 1][1], score[k + 1][2]))
-            if 0 < j <= len(words) and k and row[k - 1][0] > low:
-                options.append((row[k - 1][0] - 1, row[k - 1][1], row[k - 1][2]))
-            row.append(max(options, key=lambda o: (o[0], o[1], -o[2])))
-        score = row
-    ends = [(s, m, b, n + shift + k - band) for k, (s, m, b) in enumerate(score) if s > low]
-    if ends:
-        best = max(ends, key=lambda o: (o[0], -o[3]))
-    return (best[1], best[2], best[3]) if best else (0, 0, 0)
+    n, width, have = len(template), 2 * band + 1, len(words)
+    one, low = 1 << 44, -(1 << 62)
+    match, slope = 2 * one + (1 << 30), np.arange(width) * one
+    first = shift - band  # text words before cell 0 of row 0
+    near = np.zeros(n + width, np.uint64)  # the words of all cells
+    real = np.ones(n + width, bool)
+    a, b = min(max(0, -first), n + width), max(0, min(n + width, have - first))
+    near[a:b] = words[first + a:first + b] if a < b else 0
+    real[a:b] = False
+    cell = np.full(width + 1, low, np.int64)  # the last stands for what is right of the band
+    begin = first + np.arange(width)
+    cell[:-1] = np.where((begin >= 0) & (begin <= have), -begin, low)
+    for i in range(1, n + 1):
+        same = (near[i - 1:i - 1 + width] == template[i - 1]) & ~real[i - 1:i - 1 + width]
+        row = np.maximum(cell[:-1] + np.where(same, match, -one), cell[1:] - one)
+        left, right = -(i + first), have - (i + first) + 1  # cells from left up to right lie in the text
+        if left > 0:
+            row[:left] = low
+        row = np.maximum.accumulate(row + slope) - slope  # words added in the text
+        if right < width:
+            row[max(0, right):] = low
+        cell[:-1] = row
+    cell = cell[:-1]
+    score = np.where(cell > low // 2, -(-cell >> 30) >> 14, low)
+    k = int(score.argmax())
+    if score[k] == low:
+        return 0, 0, 0
+    return -(-int(cell[k]) >> 30) & ((1 << 14) - 1), -int(cell[k]) & ((1 << 30) - 1), n + shift + k - band
+
+
+def possible(template: np.ndarray, words: np.ndarray, shifts: np.ndarray, coverage: float) -> np.ndarray:
+    """Which shifts can reach the coverage, judged by counts that no alignment in the band exceeds."""
+    n, band = len(template), band_of(template)
+    low, high = np.clip(shifts - band, 0, len(words)), np.clip(shifts + n + band, 0, len(words))
+    good = high - low >= coverage * n
+    if good.any():  # words of the text that the template has
+        known = np.concatenate([[0], np.cumsum(np.isin(words, template))])
+        good &= known[high] - known[low] >= coverage * n
+    for k in np.flatnonzero(good):  # words of the template that the text has there
+        good[k] = np.isin(template, words[low[k]:high[k]]).sum() >= coverage * n
+    return good
 
 
 def _scan(index, coverage: float):
@@ -128,27 +176,33 @@ def _scan(index, coverage: float):
                 hits = np.flatnonzero(prints[np.minimum(at, len(prints) - 1)] == grams)
                 owner = np.searchsorted(words, hits, "right") - 1
                 inside = hits + SIZE <= words[owner + 1] if len(hits) else np.zeros(0, bool)
-                shifts: set[tuple[int, int, int]] = set()
+                shifts: dict[tuple[int, int], set[int]] = {}
                 for g, doc in zip(hits[inside], owner[inside]):
                     entry = int(at[g])
                     while entry < len(prints) and prints[entry] == grams[g]:
-                        shifts.add((int(doc), int(number[entry]), int(g - words[doc] - place[entry])))
+                        shifts.setdefault((int(doc), int(number[entry])), set()).add(int(g - words[doc] - place[entry]))
                         entry += 1
                 found: list[tuple] = []
-                last = None
-                for doc, which, shift in sorted(shifts):
-                    if last and last[:2] == (doc, which) and shift - last[2] <= BAND // 2:
-                        continue  # the band of the shift before covers this one
-                    last = (doc, which, shift)
-                    own = h[words[doc]:words[doc + 1]]
-                    matched, begin, end = align(templates[which], own, shift)
-                    if matched >= coverage * len(templates[which]):
-                        found.append((doc, which, begin, end, matched, matched / len(templates[which])))
+                for (doc, which), places in sorted(shifts.items()):
+                    template, own = templates[which], h[words[doc]:words[doc + 1]]
+                    band, last = band_of(template), None
+                    places = np.array(sorted(places))
+                    for shift in places[possible(template, own, places, coverage)].tolist():
+                        if last is not None and shift - last <= band // 2:
+                            continue  # the band of the shift before covers this one
+                        last = shift
+                        matched, begin, end = align(template, own, shift, band)
+                        if matched >= coverage * len(template):
+                            found.append((doc, which, begin, end, matched, matched / len(template)))
                 kept: list[tuple] = []
                 for match in sorted(found, key=lambda m: (m[0], m[1], -m[5], m[2])):
                     if not any(k[:2] == match[:2] and k[2] < match[3] and match[2] < k[3] for k in kept):
                         kept.append(match)
-                kept.sort()
+                spans: dict[tuple[int, str], list] = {}
+                for m in kept:
+                    spans.setdefault((m[0], names[m[1]]), []).append(m[2:4])
+                kept = sorted(m for m in kept if not any(
+                    a <= m[2] and m[3] <= b for whole in WHOLE.get(names[m[1]], ()) for a, b in spans.get((m[0], whole), ())))
                 chars = lambda doc, byte: int(((data[offsets[doc]:byte] & 0xC0) != 0x80).sum())
                 columns = [
                     [ids[row + m[0]].as_py() for m in kept], [names[m[1]] for m in kept], [m[2] for m in kept], [m[3] for m in kept],
@@ -173,5 +227,5 @@ def scan(
 
 @query("op7_license_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in all documents."""
+    """License notices, headers and whole texts in all documents."""
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -46,6 +46,6 @@ def ship_package(spark: SparkSession) -> None:
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="nestfold-")) / "nestfold-package.zip"
         with zipfile.ZipFile(target, "w") as archive:
-            for source in sorted(root.rglob("*.py")):
+            for source in sorted([*root.rglob("*.py"), *root.rglob("*.txt")]):
                 archive.write(source, source.relative_to(root.parent))
         context.addPyFile(str(target))

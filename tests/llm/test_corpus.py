@@ -149,6 +149,27 @@ def test_licenses(spark, docs, sf, odd):
     assert licenses.scan(odd).count() == 0
 
 
+def test_whole_license_texts(spark):
+    texts = licenses.TEMPLATES
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC-BY-SA-4.0"]
+    ends = {n: texts[n].split()[-1] for n in names}
+    cut = texts["MIT"].replace("use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "look at")
+    opening = " ".join(texts["MIT"].split()[:40])
+    body = texts["GPL-2.0"].split()
+    more = " ".join(body[:900] + ["as the owner says"] * 10 + body[900:])
+    rows = [(i, "Copyright me\n" + texts[n] + "\nint main") for i, n in enumerate(names)]
+    rows += [(50, cut), (51, opening), (52, more), (53, texts["Apache-2.0-header"].replace("\n", "\n# "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.license): r for r in licenses.scan(df).collect()}
+    for i, name in enumerate(names):
+        r = got[i, name]
+        assert r.coverage == 1 and rows[i][1][r.begin_char:r.end_char].split()[-1].rstrip("/>.)") == ends[name].rstrip("/>.)")
+        assert not any(k == (i, n) for k in got for n in licenses.OPENINGS)
+    assert 0.8 <= got[50, "MIT"].coverage < 1 and got[52, "GPL-2.0"].coverage == 1
+    assert [k for k in got if k[0] == 51] == [(51, "MIT-opening")]
+    assert got[53, "Apache-2.0-header"].coverage == 1
+
+
 def test_near_duplicates(spark, sf, docs, odd):
     got = {r.doc_id: r for r in QUERIES["op8_minhash_near_dedup"](spark, sf).collect()}
     sets = {i: (lambda w: frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else []))(t.encode().lower().split())
