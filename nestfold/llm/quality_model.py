@@ -1,13 +1,16 @@
 """A quality classifier from weak labels.
 
-Overlapping heuristics label a sample of texts as junk or not: symbols, shouted
+Overlapping heuristics label all texts as junk or not: symbols, shouted
 words, words of capitals, repeated and very frequent words, table bars, few
 stop words, repeated lines. No labelled row is used: expectation-maximisation
-finds how accurate each labeller is from their votes alone, and its posteriors
-train a linear scorer on hashed word shapes, which scores every whole text.
+finds how accurate each labeller is from how often each pattern of votes occurs
+among all rows, and its posteriors train a linear scorer on hashed word shapes,
+which scores every whole text.
 
-The sample is the ``sample`` rows with the smallest hash of their id, a bound;
-scoring runs over all rows.
+Only the scorer is fitted on a sample, of at most ``sample`` rows: a few of every
+pattern, so that rare kinds of junk are in it, and the rest by the patterns' sizes;
+in a pattern, the rows with the smallest hash of their id are drawn. The scorer's
+bias is then moved from the sample's share of junk to that of all rows.
 
 Defined results: the score is the chance that a text is good. A null or empty
 text has no features and gets the score of the bias alone.
@@ -17,13 +20,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from nestfold.llm import text as T
 from nestfold.llm import weak
 from nestfold.llm.base import query, table
 from nestfold.llm.quality_rules import STOP_WORDS
 from nestfold.session import ship_package
+from nestfold.sources.storage import materialize
 
 SAMPLE = 12_000
 BITS = 16
@@ -113,27 +117,68 @@ def _sample_rows(stops: np.ndarray):
     return run
 
 
+def _patterns(stops: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in T.chunks(T.column(batch, "text")):
+                code = _Words(data, offsets).votes(stops) @ (1 << np.arange(len(LABELLERS)))
+                yield pa.record_batch([batch.column(0).slice(row, len(code)), pa.array(code, pa.int32())], ["id", "pattern"])
+    return run
+
+
+def quotas(counts: np.ndarray, sample: int) -> np.ndarray:
+    """Rows to draw of each pattern: a few of each, which is all of a rare one, and the rest by what is left of each."""
+    if counts.sum() <= sample:
+        return counts.copy()
+    few = min(max(4, sample >> len(LABELLERS)), sample // (2 * len(counts)))
+    drawn = np.minimum(counts, few)
+    rest = counts - drawn
+    return drawn + rest * int(sample - drawn.sum()) // rest.sum()
+
+
+def _drawn_ids(votes: DataFrame, patterns: np.ndarray, counts: np.ndarray, drawn: np.ndarray) -> DataFrame:
+    """Distinct ids of the rows drawn: a cut of the hash first, so that only about the sample is ranked."""
+    order = F.xxhash64("id", F.lit(9))
+    cuts = [min(2**63 - 1, int((1.2 * d + 60) / n * 2**64) - 2**63) for d, n in zip(drawn.tolist(), counts.tolist())]
+    limits = F.create_map(*[F.lit(int(x)) for row in zip(patterns, drawn) for x in row])
+    cut = F.create_map(*[x for p, c in zip(patterns, cuts) for x in (F.lit(int(p)), F.lit(c).cast("long"))])
+    near = votes.filter(order <= cut[F.col("pattern")]).distinct()
+    rank = F.row_number().over(Window.partitionBy("pattern").orderBy(order, "id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= limits[F.col("pattern")]).select(F.col("id").alias("_drawn")).distinct()
+
+
+def _odds(share: float) -> float:
+    share = min(max(share, 1e-4), 1 - 1e-4)
+    return float(np.log(share / (1 - share)))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id") -> tuple[np.ndarray, float, weak.LabelModel]:
-    """Weights, bias and the label model of junk, from a bounded sample of ``docs``."""
+    """Weights and bias from a bounded sample of ``docs``, and the label model of junk from the votes over all of them."""
     ship_package(docs.sparkSession)
-    order = F.xxhash64(doc_id, F.lit(9)), F.col(doc_id)
-    drawn = docs.select(F.col(doc_id).alias("_drawn")).orderBy(F.xxhash64("_drawn", F.lit(9)), "_drawn").limit(sample).distinct()
-    # ids first, ``sample`` at most, so that no text but those of the sample is moved
-    met = docs.join(F.broadcast(drawn), F.col(doc_id).eqNullSafe(F.col("_drawn")), "left_semi")
-    chosen = met.orderBy(*order).limit(sample).select("text")
-    got = chosen.mapInArrow(_sample_rows(_stop_hashes()), "votes array<byte>, features array<int>, values array<float>").toArrow()
-    if not got.num_rows:
+    stops = _stop_hashes()
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), "text")
+    ballots = materialize(rows.mapInArrow(_patterns(stops), "id long, pattern int"), "votes")
+    groups = sorted((r["pattern"], r["count"]) for r in ballots.groupBy("pattern").count().collect())
+    if not groups:
         return np.zeros(1 << BITS, np.float32), -2.0, weak.fit_label_model(np.zeros((0, len(LABELLERS))), 0.1)
+    patterns, counts = (np.array(x, np.int64) for x in zip(*groups))
+    kinds = (patterns[:, None] >> np.arange(len(LABELLERS)) & 1).astype(float)
+    used = kinds.any(axis=0)
+    model = weak.fit_label_model(
+        kinds[:, used], float(np.clip(counts[patterns > 0].sum() / counts.sum(), 0.02, 0.5)), counts=counts)
+    judge = lambda votes: model.posterior(votes[:, used]) if used.any() else np.full(len(votes), 0.02)
+    # ids first, ``sample`` at most, so that no text but those of the sample is moved
+    drawn = _drawn_ids(ballots, patterns, counts, quotas(counts, sample))
+    met = rows.join(F.broadcast(drawn), F.col("id").eqNullSafe(F.col("_drawn")), "left_semi")
+    chosen = met.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample).select("text")
+    got = chosen.mapInArrow(_sample_rows(stops), "votes array<byte>, features array<int>, values array<float>").toArrow()
     votes, features, values = (pa.concat_arrays(got.column(c).chunks) for c in got.column_names)
     n = got.num_rows
-    votes = votes.flatten().to_numpy().reshape(n, -1).astype(float)
+    goal = judge(votes.flatten().to_numpy().reshape(n, -1).astype(float))
     row = np.repeat(np.arange(n), np.diff(features.offsets.to_numpy()))
-    used = votes.any(axis=0)
-    model = weak.fit_label_model(votes[:, used], float(np.clip(votes.any(axis=1).mean(), 0.02, 0.5)))
-    goal = model.posterior(votes[:, used]) if used.any() else np.full(n, 0.02)
     weights, bias = weak.fit_linear(
         row, features.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), goal, 1 << BITS)
-    return weights, bias, model
+    return weights, bias + _odds(float(counts @ judge(kinds) / counts.sum())) - _odds(float(goal.mean())), model
 
 
 def score(df: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:

@@ -6,9 +6,10 @@ alone; labelled rows only give the first guess of the label's share. Voters
 that agree more than the label explains are correlated: their residual
 correlations, estimated under the posterior, divide their say.
 
-The linear scorer has one weight per hashed feature. Both are fitted on the
-driver on a bounded sample of rows, whose size is a parameter of the callers;
-scoring runs over all rows with a model of fixed size.
+The linear scorer has one weight per hashed feature. It is fitted on the
+driver on a bounded sample of rows, whose size is a parameter of the callers; so
+is the label model, unless it gets the counts of all rows' votes. Scoring runs
+over all rows with a model of fixed size.
 """
 
 from __future__ import annotations
@@ -38,23 +39,28 @@ class LabelModel:
         return self.share * self.rates[:, 1] + (1 - self.share) * (1 - self.rates[:, 0])
 
 
-def fit_label_model(votes: np.ndarray, share: float, rounds: int = 50) -> LabelModel:
-    """``votes`` is rows x voters of 0 and 1. ``share`` is the first guess of how many rows have label 1."""
-    n, v = votes.shape
+def fit_label_model(votes: np.ndarray, share: float, rounds: int = 50, counts: np.ndarray | None = None) -> LabelModel:
+    """``votes`` is rows x voters of 0 and 1. ``share`` is the first guess of how many rows have label 1.
+
+    With ``counts``, each row of ``votes`` stands for so many equal rows.
+    """
+    v = votes.shape[1]
+    times = np.ones(len(votes)) if counts is None else counts.astype(float)
+    n = times.sum()
     model = LabelModel(np.tile([0.02, 0.5], (v, 1)), float(np.clip(share, 0.001, 0.999)), np.ones(v), np.eye(v))
     if not n:
         return model
     for step in range(rounds):
         p = model.posterior(votes)
-        for label, weight in ((0, 1 - p), (1, p)):
+        for label, weight in ((0, times * (1 - p)), (1, times * p)):
             model.rates[:, label] = np.clip((weight @ votes + 0.1) / (weight.sum() + 0.2), 1e-4, 1 - 1e-4)
         model.rates[:, 1] = np.maximum(model.rates[:, 1], model.rates[:, 0] * 1.01)  # a vote speaks for label 1
         model.rates = np.clip(model.rates, 1e-4, 1 - 1e-4)
-        model.share = float(np.clip(p.mean(), 0.001, 0.999))
+        model.share = float(np.clip(times @ p / n, 0.001, 0.999))
         if step >= 5:
             residual = votes - (p[:, None] * model.rates[:, 1] + (1 - p[:, None]) * model.rates[:, 0])
-            scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-            model.correlations = (residual / scale).T @ (residual / scale) / n
+            scale = np.sqrt(times @ residual**2 / n) + 1e-9
+            model.correlations = (residual / scale * times[:, None]).T @ (residual / scale) / n
             close = np.clip(model.correlations, 0, 1)
             model.crowd = np.maximum(1, close.sum(axis=1) - close.diagonal() + 1)
     return model

@@ -246,6 +246,25 @@ def test_quality_model_keeps_good_documents(spark, sf, odd):
     assert quality_model.score(odd.select(F.col("doc_id").alias("id"), "text"), weights, bias).count() == odd.count()
 
 
+def test_quality_model_counts_the_votes_of_all_rows(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)] + list(quality_rules.STOP_WORDS) * 3
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    kinds = [
+        lambda: " ".join(f"no{rng.randint(0, 99)}!!" for _ in range(30)) + " ", lambda: prose(40).upper() + " ",
+        lambda: " ".join(rng.choice("#*$%&<>") + str(rng.randint(0, 99)) for _ in range(30)) + " ", lambda: f"w{rng.randint(0, 9)} " * 30]
+    rows = [(i, prose(60)) for i in range(3000)] + [(i, kinds[i % 4]() + prose(30)) for i in range(3000, 3200)]
+    rows += [(i, "| " * 20 + prose(40)) for i in range(3200, 3205)]  # 1 in 640, and only its own labeller sees it
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights, bias, model = quality_model.fit(df, sample=200)
+    got = {r.id: r.score for r in quality_model.score(df.select(F.col("doc_id").alias("id"), "text"), weights, bias).collect()}
+    assert all(got[i] < 0.5 for i in range(3200, 3205)) and sum(got[i] < 0.5 for i in range(3000)) <= 15
+    assert len(model.rates) == 5  # labellers with votes among all rows
+    for counts in ([10, 3, 90_000, 20_000, 1], [5, 7], list(range(1, 257))):
+        drawn = quality_model.quotas(np.array(counts), 12_000)
+        assert sum(drawn) <= 12_000 and all(min(c, 23) <= d <= c for c, d in zip(counts, drawn))
+
+
 def test_pipeline(spark, sf, docs):
     ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
     names = [n for n, _ in corpus_pipeline.STAGES]
