@@ -11,8 +11,9 @@ each slice is a score list of its own, as in the uniform-threshold algorithm:
    that uniform threshold are sufficient.
 3. The entries gathered so are resolved exactly, and the k best remain.
 
-Equal vectors are one class with its smallest ids only (as many as can be
-asked for), so a vector that a third of all rows share is scored once. Classes
+Equal vectors are one class with its smallest distinct ids only (as many as can be
+asked for) and how many rows have each, so a vector that a third of all rows share
+is scored once, and rows that repeat an id take no place of another id. Classes
 and queries meet in blocks: a block of queries is sent to each block of rows.
 The work is one multiplication per (query, row) and slice, which an exact
 search over all rows cannot avoid; between tasks go only blocks and k entries
@@ -44,20 +45,29 @@ def usable(vector: str) -> Column:
 
 
 def classes(df: DataFrame, vec_id: str, vector: str, is_query: Column, keep: int) -> DataFrame:
-    """One row per distinct vector: ``v``, its ``keep`` smallest ids, and whether a query has it.
+    """One row per distinct vector: ``v``, its ``keep`` smallest distinct ids with their rows, and whether a query has it.
 
-    Ranks are limited before the shuffle too, so a hot vector is not gathered.
+    Equal rows are counted and ranks are limited before the shuffle too, so a hot vector is not gathered.
     """
     rows = df.filter(usable(vector) & F.col(vec_id).isNotNull()).select(
         F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
     rows = rows.withColumn("h", F.xxhash64("v"))
     by_vector = Window.partitionBy("h", "v").orderBy("id")
     ids = (
-        rows.withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= keep)
-        .groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        rows.groupBy("h", "v", "id").agg(F.least(F.count(F.lit(1)), F.lit(keep)).alias("n"))
+        .withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= keep)
+        .groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("ids"))
     )
     asked = rows.groupBy("h", "v").agg(F.max("q").alias("q"))
-    return ids.join(asked, ["h", "v"]).select(F.col("ids")[0].alias("cid"), "h", "v", "ids", "q")
+    return ids.join(asked, ["h", "v"]).select(F.col("ids")[0]["id"].alias("cid"), "h", "v", "ids", "q")
+
+
+def own_vectors(df: DataFrame, vec_id: str, vector: str, is_query: Column) -> int:
+    """The most different vectors that the id of a query has."""
+    rows = df.filter(usable(vector) & F.col(vec_id).isNotNull()).select(
+        F.col(vec_id).cast("long").alias("id"), F.xxhash64(vector).alias("h"), is_query.alias("q"))
+    per_id = rows.groupBy("id", "h").agg(F.max("q").alias("q")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("q").alias("q"))
+    return per_id.filter("q").agg(F.max("n")).first()[0] or 1
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -80,6 +90,7 @@ class _Block:
         kind = np.float64 if bound < 2**53 else np.int64  # doubles hold such sums exactly, and multiply faster
         q, c = q.astype(kind), c.astype(kind)
         self.cids = row["cids"].values.to_numpy(zero_copy_only=False)
+        self.keys = row["keys"].values.to_numpy(zero_copy_only=False)
         self.qids = row["qids"].values.to_numpy(zero_copy_only=False)
         cuts = np.linspace(0, width, slices + 1).astype(int)
         self.parts = [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:])]
@@ -94,16 +105,16 @@ def _rows(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[tuple[pa.R
     for batch in batches:
         names = batch.schema.names
         for i in range(batch.num_rows):
-            yield batch, i, _Block({n: batch.column(names.index(n))[i] for n in ("qv", "cv", "qids", "cids")}, slices)
+            yield batch, i, _Block({n: batch.column(names.index(n))[i] for n in ("qv", "cv", "qids", "cids", "keys")}, slices)
 
 
-_FOUND = "qid long, cid long, score long"
+_FOUND = "qid long, cid long, key long, score long"
 
 
-def _emit(qid: list, cid: list, score: list) -> pa.RecordBatch:
+def _emit(qid: list, cid: list, key: list, score: list) -> pa.RecordBatch:
     join = lambda x: np.concatenate(x) if x else np.zeros(0)
     return pa.record_batch(
-        [pa.array(join(x).astype(np.int64)) for x in (qid, cid, score)], ["qid", "cid", "score"])
+        [pa.array(join(x).astype(np.int64)) for x in (qid, cid, key, score)], ["qid", "cid", "key", "score"])
 
 
 def local_lists(k: int, slices: int):
@@ -111,7 +122,7 @@ def local_lists(k: int, slices: int):
     def run(batches):
         for _, _, block in _rows(batches, slices):
             total = sum(block.parts)
-            qid, cid, score = [], [], []
+            qid, cid, key, score = [], [], [], []
             n = total.shape[1]
             tops = [np.argpartition(p, n - k, axis=1)[:, n - k:] if n > k else
                     np.tile(np.arange(n), (len(p), 1)) for p in block.parts]
@@ -120,8 +131,9 @@ def local_lists(k: int, slices: int):
                 columns, scores = block.best(total[i, row := np.unique(row)], row, k)
                 qid.append(np.full(len(columns), block.qids[i]))
                 cid.append(block.cids[columns])
+                key.append(block.keys[columns])
                 score.append(scores)
-            yield _emit(qid, cid, score)
+            yield _emit(qid, cid, key, score)
     return run
 
 
@@ -142,7 +154,7 @@ def above_threshold(k: int, slices: int):
             at_q, at_c, exact = at_q[order], at_c[order], exact[order]
             first = np.searchsorted(at_q, at_q)  # where the query's entries begin
             top = np.arange(len(at_q)) - first < k
-            yield _emit([block.qids[at_q[top]]], [block.cids[at_c[top]]], [exact[top]])
+            yield _emit([block.qids[at_q[top]]], [block.cids[at_c[top]]], [block.keys[at_c[top]]], [exact[top]])
     return run
 
 
@@ -166,17 +178,20 @@ def search(
     Components count as floor(scale * x). Vectors that are null or hold a null
     or non-finite component, and rows without an id, take no part; shorter
     vectors count as filled up with zeros; repeated rows are rows of their own
-    with one id, of which a query never meets its own. Scores must fit a long.
+    with one id, of which a query never meets its own, however many rows and
+    vectors have it; a repeated query row has one list. Scores must fit a long.
     """
     spark = df.sparkSession
     ship_package(spark)
     ints = df.withColumn(vector, F.transform(F.col(vector), lambda x: F.when(
         x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e15)), F.floor(x.cast("double") * scale))))
-    keep = k + 1
+    keep = k + own_vectors(ints, vec_id, vector, is_query)  # as many as a query's own id can take
     found = materialize(classes(ints, vec_id, vector, is_query, keep), "topk-classes")
+    if found.groupBy("h").count().filter("count > 1").limit(1).count():
+        raise ValueError("two vectors share a hash")
     asked = found.filter("q")
-    rows = _blocks(found.select("cid", F.col("v").alias("x")), ROW_BLOCK, "c")
-    ask = asked.select("cid", F.col("v").alias("x"))
+    rows = _blocks(found.select("cid", F.col("v").alias("x"), F.col("h").alias("key")), ROW_BLOCK, "c", "key")
+    ask = asked.select(F.col("h").alias("cid"), F.col("v").alias("x"))
     n_blocks = max(1, -(-ask.count() // QUERY_BLOCK))
     sent = rows.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
 
@@ -184,7 +199,7 @@ def search(
         return sent.join(queries, "qblock").repartition(F.col("qblock"), F.col("cblock"))
 
     first = pairs(_blocks(ask, QUERY_BLOCK, "q")).mapInArrow(local_lists(keep, slices), _FOUND)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid", "key")
     cutoffs = (
         first.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
         .groupBy("qid").agg(
@@ -192,23 +207,24 @@ def search(
     )
     with_cutoff = ask.join(cutoffs, ask["cid"] == cutoffs["qid"]).select("cid", "x", "cutoff")
     second = pairs(_blocks(with_cutoff, QUERY_BLOCK, "q", "cutoff")).mapInArrow(above_threshold(keep, slices), _FOUND)
-    # A class stands for its smallest ids; ``keep`` rows are enough when the query itself is one of them.
+    # A class stands for its smallest ids; ``keep`` distinct ones are enough when the query's own is among them.
     classed = (
         second.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
-        .join(found.select("cid", "ids"), "cid")
-        .select("qid", "score", F.explode("ids").alias("vec_id"))
+        .join(found.select(F.col("h").alias("key"), "ids"), "key")
+        .select("qid", "score", F.explode("ids").alias("one")).select("qid", "score", F.col("one.id").alias("vec_id"), "one.n")
     )
     members = ints.filter(usable(vector) & F.col(vec_id).isNotNull() & is_query).select(
         F.col(vec_id).cast("long").alias("query_id"), F.xxhash64(vector).alias("h"), F.col(vector).alias("v")).distinct()
-    owners = members.join(asked.select("h", "v", F.col("cid").alias("qid")), ["h", "v"]).select("query_id", "qid")
+    owners = members.join(asked.select("h", "v", F.col("h").alias("qid")), ["h", "v"]).select("query_id", "qid")
     by_class = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     lists = (
         classed.withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= keep)
-        .groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("top"))
+        .groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "n"))).alias("top"))
     )
     return (
         owners.join(lists, "qid")
-        .withColumn("top", F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
+        .withColumn("top", F.filter("top", lambda x: x["vec_id"] != F.col("query_id")))
+        .withColumn("top", F.slice(F.flatten(F.transform("top", lambda x: F.array_repeat(x, x["n"].cast("int")))), 1, k))
         .select("query_id", F.posexplode("top").alias("at", "x"))
         .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"),
                 (-F.col("x.s")).alias("score"))

@@ -128,6 +128,23 @@ def test_topk_ties_and_odd_vectors(spark):
     assert topk.search(df.limit(0), 5, F.lit(True)).count() == 0
 
 
+def test_topk_repeated_rows(spark):
+    rng = random.Random(6)
+    for copies in (2, 6, 9):
+        rows = [(0, [3.0, 3.0])] * copies + [(7, [2.0, 2.5])] * 2 + [(50, [3.0, 3.0])]
+        rows += [(i, [rng.randint(-4, 4) / 2, rng.randint(-4, 4) / 2]) for i in range(100, 130)] + [(50, [v, 4.0]) for v in (4.0, 5.0, 6.0)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        got = collections.defaultdict(set)
+        for r in topk.search(df, 5, F.expr("vec_id in (0, 50, 100)")).collect():
+            got[r.query_id].add((r.rank, r.vec_id, r.score))
+        assert set(got) == {0, 50, 100}
+        for q in (0, 100):
+            own = [256 * x for x in next(v for i, v in rows if i == q)]
+            best = sorted((-int(sum(a * 256 * b for a, b in zip(own, v))), i) for i, v in rows if i != q)[:5]
+            assert got[q] == {(rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+        assert 50 not in {i for _, i, _ in got[50]} and {rank for rank, _, _ in got[50]} == {1, 2, 3, 4, 5}
+
+
 def test_toxicity_on_held_out_rows(spark, sf, odd):
     got = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     held = got.filter("held_out").groupBy("toxic", "predicted").count().collect()
