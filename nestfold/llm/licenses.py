@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import pkgutil
 import re
+from bisect import bisect_right
 from typing import Mapping
 
 import numpy as np
@@ -164,6 +165,43 @@ def possible(template: np.ndarray, words: np.ndarray, shifts: np.ndarray, covera
     return good
 
 
+def _matches(template: np.ndarray, own: np.ndarray, places: list[int], coverage: float) -> list[tuple[int, int, int]]:
+    """(begin, end, matched) of the matches of one template around the given shifts, without overlaps.
+
+    Shifts that found a match search what is left beside the matches kept, until nothing more is found.
+    """
+    n, band, least = len(template), band_of(template), coverage * len(template)
+    places = np.array(places)
+    todo, last = [], None
+    for shift in places[possible(template, own, places, coverage)].tolist():
+        if last is not None and shift - last <= min(band // 2, n - 1):
+            continue  # the band of the shift before covers this one
+        todo.append(shift)
+        last = shift
+    kept: list[tuple[int, int, int]] = []  # in the order of the text
+    while todo:
+        found, again = set(), []
+        for shift in todo:
+            low, high = max(0, shift - band), min(len(own), shift + n + band)
+            near = [k for k in kept[max(0, bisect_right(kept, (low,)) - 1):bisect_right(kept, (high,))] if k[1] > low]
+            hit = False
+            for a, b in zip([low, *[k[1] for k in near]], [*[k[0] for k in near], high]):
+                if b - a >= least:
+                    matched, begin, end = align(template, own[a:b], shift - a, band)
+                    if matched >= least:
+                        found.add((a + begin, a + end, matched))
+                        hit = True
+            if hit:
+                again.append(shift)
+        new: list[tuple[int, int, int]] = []
+        for match in sorted(found, key=lambda m: (-m[2], m[0])):
+            k = bisect_right(new, match)
+            if (not k or new[k - 1][1] <= match[0]) and (k == len(new) or match[1] <= new[k][0]):
+                new.insert(k, match)
+        kept, todo = sorted(kept + new), again
+    return kept
+
+
 def _scan(index, coverage: float):
     def run(batches):
         names, templates, prints, number, place = index
@@ -182,22 +220,10 @@ def _scan(index, coverage: float):
                     while entry < len(prints) and prints[entry] == grams[g]:
                         shifts.setdefault((int(doc), int(number[entry])), set()).add(int(g - words[doc] - place[entry]))
                         entry += 1
-                found: list[tuple] = []
-                for (doc, which), places in sorted(shifts.items()):
-                    template, own = templates[which], h[words[doc]:words[doc + 1]]
-                    band, last = band_of(template), None
-                    places = np.array(sorted(places))
-                    for shift in places[possible(template, own, places, coverage)].tolist():
-                        if last is not None and shift - last <= band // 2:
-                            continue  # the band of the shift before covers this one
-                        last = shift
-                        matched, begin, end = align(template, own, shift, band)
-                        if matched >= coverage * len(template):
-                            found.append((doc, which, begin, end, matched, matched / len(template)))
                 kept: list[tuple] = []
-                for match in sorted(found, key=lambda m: (m[0], m[1], -m[5], m[2])):
-                    if not any(k[:2] == match[:2] and k[2] < match[3] and match[2] < k[3] for k in kept):
-                        kept.append(match)
+                for (doc, which), places in sorted(shifts.items()):
+                    own = h[words[doc]:words[doc + 1]]
+                    kept += [(doc, which, *m, m[2] / len(templates[which])) for m in _matches(templates[which], own, sorted(places), coverage)]
                 spans: dict[tuple[int, str], list] = {}
                 for m in kept:
                     spans.setdefault((m[0], names[m[1]]), []).append(m[2:4])

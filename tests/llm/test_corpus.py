@@ -187,6 +187,17 @@ def test_whole_license_texts(spark):
     assert got[53, "Apache-2.0-header"].coverage == 1
 
 
+def test_licenses_repeated_at_once(spark):
+    texts = licenses.TEMPLATES
+    rows = [(1, "All rights reserved. " * 2), (2, "x " + "All rights reserved. " * 300), (3, (texts["MIT"] + "\n") * 3)]
+    rows += [(4, "Released under the MIT License. y " * 4)]
+    got = collections.Counter()
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.coverage == 1
+        got[r.id, r.license] += 1
+    assert got == {(1, "all-rights-reserved"): 2, (2, "all-rights-reserved"): 300, (3, "MIT"): 3, (4, "MIT-notice"): 4}
+
+
 def test_near_duplicates(spark, sf, docs, odd):
     got = {r.doc_id: r for r in QUERIES["op8_minhash_near_dedup"](spark, sf).collect()}
     sets = {i: (lambda w: frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else []))(t.encode().lower().split())
