@@ -35,6 +35,7 @@ from nestfold.sources.storage import materialize
 SLICES = 4
 ROW_BLOCK = 4096
 QUERY_BLOCK = 512
+LARGEST = 1 << 53  # of a scaled component
 
 
 def usable(vector: str) -> Column:
@@ -88,6 +89,8 @@ class _Block:
         q, c = _matrix(qv, width), _matrix(cv, width)
         bound = (np.abs(q).max(initial=0) * np.abs(c).max(initial=0)) * max(width, 1)
         kind = np.float64 if bound < 2**53 else np.int64  # doubles hold such sums exactly, and multiply faster
+        if bound >= 2**62 and (np.abs(q) @ np.abs(c).T).max() >= 2**62:
+            raise ValueError("scores do not fit a long")
         q, c = q.astype(kind), c.astype(kind)
         self.cids = row["cids"].values.to_numpy(zero_copy_only=False)
         self.keys = row["keys"].values.to_numpy(zero_copy_only=False)
@@ -179,12 +182,15 @@ def search(
     or non-finite component, and rows without an id, take no part; shorter
     vectors count as filled up with zeros; repeated rows are rows of their own
     with one id, of which a query never meets its own, however many rows and
-    vectors have it; a repeated query row has one list. Scores must fit a long.
+    vectors have it; a repeated query row has one list. Scores must fit a
+    long: where they do not, or a finite component times ``scale`` reaches 2^53, it is an error.
     """
     spark = df.sparkSession
     ship_package(spark)
     ints = df.withColumn(vector, F.transform(F.col(vector), lambda x: F.when(
-        x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e15)), F.floor(x.cast("double") * scale))))
+        x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))),
+        F.when(F.abs(x.cast("double") * scale) < F.lit(float(LARGEST)), F.floor(x.cast("double") * scale))
+        .otherwise(F.raise_error(F.lit("a finite component is too large for exact scores")).cast("bigint")))))
     keep = k + own_vectors(ints, vec_id, vector, is_query)  # as many as a query's own id can take
     found = materialize(classes(ints, vec_id, vector, is_query, keep), "topk-classes")
     if found.groupBy("h").count().filter("count > 1").limit(1).count():

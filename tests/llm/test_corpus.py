@@ -145,6 +145,13 @@ def test_topk_repeated_rows(spark):
         assert 50 not in {i for _, i, _ in got[50]} and {rank for rank, _, _ in got[50]} == {1, 2, 3, 4, 5}
 
 
+def test_topk_components_too_large(spark):
+    for large in (1e15, 1e10):  # the component, its square
+        df = spark.createDataFrame([(0, [large]), (1, [large]), (2, [float("inf")])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large|do not fit"):
+            topk.search(df, 5, F.lit(True)).collect()
+
+
 def test_toxicity_on_held_out_rows(spark, sf, odd):
     got = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     held = got.filter("held_out").groupBy("toxic", "predicted").count().collect()
