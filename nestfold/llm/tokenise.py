@@ -4,9 +4,9 @@ Both tokenizers cut a text into units that they merge on their own: the byte-lev
 one at the matches of its pattern, the piece one before each run of spaces, as no
 piece holds a space behind something else (checked when the file is read). So a
 chunk of texts is cut into units, each distinct unit is encoded once by the
-tokenizer's own library, and the ids are laid out again by position. Frequent
-units stay known to a worker; their number is bounded. Strings of special tokens
-are ordinary text.
+tokenizer's own library, and the ids are laid out again by position. Units stay
+known to a worker under their 64-bit hashes, up to a bound. Strings of special
+tokens are ordinary text.
 
 A file is read on the driver and its content goes to the tasks, so workers need
 no path of their own.
@@ -14,18 +14,17 @@ no path of their own.
 
 from __future__ import annotations
 
+import itertools
 import json
 from functools import lru_cache
 from typing import Callable
 
 import numpy as np
-import pyarrow as pa
 
 from nestfold.llm import text as T
 from nestfold.llm.bpe import _unpacked, packed_kinds, pre_tokens
 
-KNOWN_UNITS = 200_000  # that a worker keeps; then it starts anew
-KNOWN_BYTES = 64  # longer units are not kept
+KNOWN_IDS = 2_000_000  # of units that a worker keeps; beyond them it starts anew
 SPACE = "▁"  # how pieces write a space
 
 
@@ -41,31 +40,47 @@ def byte_alphabet() -> list[str]:
 
 
 class Units:
-    """Ids of spans of bytes; ``encode`` gives the ids of one span."""
+    """Ids of spans of bytes; ``encode`` gives the ids of one span.
+
+    What is known is kept as arrays in the order of the spans' hashes, so that a
+    chunk is looked up at once and a known unit takes some thirty bytes.
+    """
 
     def __init__(self, encode: Callable[[bytes], list[int]]):
         self._encode = encode
-        self._known: dict[bytes, list[int]] = {}
-
-    def _ids(self, unit: bytes) -> list[int]:
-        ids = self._known.get(unit)
-        if ids is None:
-            ids = self._encode(unit)
-            if len(unit) <= KNOWN_BYTES:
-                if len(self._known) >= KNOWN_UNITS:
-                    self._known.clear()
-                self._known[unit] = ids
-        return ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hashes = np.zeros(0, np.uint64)
+        self._starts, self._counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._ids = np.zeros(0, np.int32)
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        """Encode new units, given by rising hashes."""
+        found = [self._encode(unit) for unit in units]
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        starts = len(self._ids) + np.cumsum(counts) - counts
+        self._ids = np.concatenate([self._ids, np.fromiter(itertools.chain.from_iterable(found), np.int32)])
+        at = np.searchsorted(self._hashes, hashes)
+        self._hashes = np.insert(self._hashes, at, hashes)
+        self._starts, self._counts = np.insert(self._starts, at, starts), np.insert(self._counts, at, counts)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the spans, and n + 1 offsets of the spans' ids."""
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        _, first, at = np.unique(T.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        found = [self._ids(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        lists = pa.array(found, pa.list_(pa.int32())).take(pa.array(at))
-        return lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        if len(self._ids) > KNOWN_IDS:
+            self._forget()
+        hashes, first, at = np.unique(T.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self._hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = place < len(self._hashes)
+        new[inside] = self._hashes[place[inside]] != hashes[inside]
+        if new.any():
+            raw = data.tobytes()
+            self._learn(hashes[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            place = np.searchsorted(self._hashes, hashes)
+        place = place[at]
+        counts = self._counts[place].astype(np.int64)
+        return gather(self._ids, self._starts[place], counts), np.concatenate([[0], np.cumsum(counts)])
 
 
 class ByteTokens:
