@@ -20,12 +20,16 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nestfold.functions import metrics
-from nestfold.models import gp, net, trees
+from nestfold.models import boost, gp, net, trees
 from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
 from nestfold.sources.results import RESULT_SCHEMA, TRIAL_SCHEMA
 from nestfold.sources.storage import fresh_path, materialize
 
+# The most boosting rounds by strategy, and the patience of their stopping rule.
+BOOST_ROUNDS = {"cv": 10_000, "holdout": 1_000}
+BOOST_PATIENCE = 10
+
 # A fitted model: rows with ``features`` in, kept columns plus pred_mean (and
 # pred_var where the model has one) out.
 Predictor = Callable[[DataFrame, Sequence[str]], DataFrame]
@@ -132,9 +136,11 @@ def fit_forest(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Pre
 
 
 def fit_boosted(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
-    """A column ``is_validation``, if there, decides when to stop."""
-    validation = "is_validation" if "is_validation" in train.columns else None
-    return _tree_predictor(trees.boosted(params, label="t", validation=validation).fit(_vectors(train)))
+    """``n_estimators`` rounds; rows of a column ``is_validation``, if there, decide when to stop."""
+    held = F.col("is_validation") if "is_validation" in train.columns else None
+    one = boost.Fit(boost.Settings.of(params), F.lit(True) if held is None else ~held, held,
+                    rounds=int(params.get("n_estimators", BOOST_ROUNDS["holdout"])))
+    return boost.fit_many(train, [one], study.key, len(study.features), BOOST_PATIENCE)[0].predict
 
 
 def fit_ensemble(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
