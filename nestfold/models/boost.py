@@ -44,6 +44,14 @@ class Settings:
     subsample: float = 1.0
     colsample_bytree: float = 1.0
 
+    def __post_init__(self):
+        for name in ("learning_rate", "subsample", "colsample_bytree"):
+            if not 0 < getattr(self, name) <= 1:
+                raise ValueError(f"{name} must lie in (0, 1]")
+        for name in ("max_depth", "reg_alpha", "reg_lambda", "gamma", "min_child_weight"):
+            if not getattr(self, name) >= 0:
+                raise ValueError(f"{name} must not be negative")
+
     @classmethod
     def of(cls, params: Mapping[str, Any]) -> Settings:
         return cls(**{n: cls.__dataclass_fields__[n].type == "int" and int(params[n]) or float(params[n])

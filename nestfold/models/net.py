@@ -16,7 +16,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from nestfold.models.passes import append_columns, batches_of, sum_over_rows
+from nestfold.models.passes import append_columns, batches_of, matrix, sum_over_rows
 
 VAR_FLOOR = 1e-6
 # Rows below which pretraining takes that many epochs; else 5.
@@ -282,6 +282,98 @@ def fit(
     return Fitted(net, best, losses, time.time() - began)
 
 
+@dataclass
+class Learner:
+    """One network of a search: its state (weights and two moments), and the fold it leaves out."""
+
+    net: Net
+    state: np.ndarray
+    lr: float
+    batch_size: int
+    fold: int
+    seed: int
+    steps: int = 0
+
+    @classmethod
+    def fresh(cls, net: Net, lr: float, batch_size: int, fold: int, seed: int) -> Learner:
+        return cls(net, np.concatenate([net.init(seed), np.zeros(2 * net.n_params)]), lr, batch_size, fold, seed)
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.state[:self.net.n_params]
+
+
+def epoch_of(df: DataFrame, learners: Sequence[Learner], epoch: int | Sequence[int], decay: float = 0.01, features: str = "features",
+             target: str = "t", fold: str = "fold") -> list[float]:
+    """Train learners of any shapes for one epoch in one pass; gives the mean batch loss of each.
+
+    A learner sees the rows of all folds but its own; tasks step through their
+    rows and the results are averaged by rows, as in ``fit``.
+    """
+    tasks = max(1, df.rdd.getNumPartitions())
+    epochs = [epoch] * len(learners) if isinstance(epoch, int) else list(epoch)
+    ends = np.cumsum([len(one.state) + 5 for one in learners])
+    shared = df.sparkSession.sparkContext.broadcast(list(zip(learners, epochs)))
+
+    def task(stream):
+        out, seen = np.zeros(ends[-1]), False
+        part = TaskContext.get().partitionId()
+        local = [(one, e, one.state.copy(), np.zeros(5)) for one, e in shared.value]  # loss, batches, rows, steps, tasks
+        for i, batch in enumerate(stream):
+            if not batch.num_rows:
+                continue
+            seen = True
+            x, y = matrix(batch.column(features)), batch.column(target).to_numpy(zero_copy_only=False)
+            folds = batch.column(fold).to_numpy(zero_copy_only=False)
+            for one, e, state, stats in local:
+                rows = np.flatnonzero(folds != one.fold)
+                order = rows[np.random.default_rng((one.seed, e, part, i)).permutation(len(rows))]
+                size = one.net.n_params
+                w, m, v = state[:size], state[size:2 * size], state[2 * size:]
+                width = max(SMALLEST_BATCH, -(-one.batch_size // tasks))
+                for k in range(0, len(order), width):
+                    pick = order[k:k + width]
+                    loss, g = one.net.loss_and_gradient(w, x[pick], y[pick])
+                    stats[3] += 1
+                    adamw(w, g / len(pick), m, v, one.steps + int(stats[3]), one.lr, decay)
+                    stats[:2] += loss / len(pick), 1
+                stats[2] += len(rows)
+        for end, (one, _, state, stats) in zip(ends, local):
+            stats[4] = stats[2] > 0
+            out[end - len(state) - 5:end] = np.concatenate([state * stats[2], stats])
+        return out if seen else None
+
+    total = sum_over_rows(df, [features, target, fold], task, int(ends[-1]), shared)
+    losses = []
+    for end, one in zip(ends, learners):
+        loss, batches, rows, steps, n = total[end - 5:end]
+        if rows:
+            one.state = total[end - 5 - len(one.state):end - 5] / rows
+            one.steps += max(1, round(steps / n))
+        losses.append(float(loss / batches) if batches else float("nan"))
+    return losses
+
+
+def fold_errors(df: DataFrame, ensembles: Sequence[Sequence[Learner]], features: str = "features", target: str = "t", fold: str = "fold") -> list[float]:
+    """For each ensemble (members that leave out the same fold) the squared error of its mean on that fold, in one pass."""
+    shared = df.sparkSession.sparkContext.broadcast([[(one.net, one.weights, one.fold) for one in e] for e in ensembles])
+
+    def task(stream):
+        out = np.zeros((len(shared.value), 2))
+        for batch in stream:
+            if batch.num_rows:
+                x, y = matrix(batch.column(features)), batch.column(target).to_numpy(zero_copy_only=False)
+                folds = batch.column(fold).to_numpy(zero_copy_only=False)
+                for at, members in enumerate(shared.value):
+                    rows = folds == members[0][2]
+                    mean = sum(n.predict(w, x[rows])[0] for n, w, _ in members) / len(members)
+                    out[at] += ((mean - y[rows]) ** 2).sum(), rows.sum()
+        return out.ravel()
+
+    total = sum_over_rows(df, [features, target, fold], task, 2 * len(ensembles), shared).reshape(-1, 2)
+    return [float(s / n) if n else float("nan") for s, n in total]
+
+
 def mean_variance_net(n_in: int, n_max: int, n_layers: int) -> Net:
     return Net(tuple(layer_widths(n_in, n_max, n_layers, 2)))
 

@@ -1,8 +1,7 @@
-"""Forests and boosted trees: the studies' settings in terms of MLlib.
+"""Forests: the studies' settings in terms of MLlib.
 
-No counterpart in MLlib: ``min_samples_split`` (folded into the leaf size), depth
-beyond 30, penalties on leaf values (``reg_alpha``, ``reg_lambda``), and column
-sampling per tree (it is per node). These are left out, not imitated.
+No counterpart in MLlib: ``min_samples_split`` (folded into the leaf size) and
+depth beyond 30. These are left out, not imitated.
 """
 
 from __future__ import annotations
@@ -11,33 +10,23 @@ import math
 from typing import Any, Mapping
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 
 MAX_DEPTH = 30  # MLlib's own limit
 
 
 def forest(params: Mapping[str, Any], label: str = "y", seed: int = 73) -> RandomForestRegressor:
+    features = params.get("max_features", "auto")
+    if features not in ("sqrt", "auto"):
+        raise ValueError(f"no rule {features!r} for features per node")
     leaf = max(int(params.get("min_samples_leaf", 1)), math.ceil(int(params.get("min_samples_split", 2)) / 2))
     return RandomForestRegressor(
         featuresCol="vector", labelCol=label, predictionCol="pred_mean", seed=seed,
         numTrees=int(params["n_estimators"]), maxDepth=min(int(params["max_depth"]), MAX_DEPTH),
-        minInstancesPerNode=leaf, featureSubsetStrategy={"sqrt": "sqrt", "auto": "all"}[params.get("max_features", "auto")],
+        minInstancesPerNode=leaf, featureSubsetStrategy="sqrt" if features == "sqrt" else "all",
     )
 
 
-def boosted(params: Mapping[str, Any], label: str = "y", seed: int = 73, validation: str | None = None) -> GBTRegressor:
-    """``validation`` names a boolean column whose rows decide when to stop."""
-    model = GBTRegressor(
-        featuresCol="vector", labelCol=label, predictionCol="pred_mean", seed=seed,
-        maxIter=int(params.get("n_estimators", 100)), stepSize=float(params["learning_rate"]),
-        maxDepth=min(int(params["max_depth"]), MAX_DEPTH), subsamplingRate=float(params.get("subsample", 1.0)),
-        featureSubsetStrategy=str(float(params.get("colsample_bytree", 1.0))),
-        minInstancesPerNode=max(1, round(float(params.get("min_child_weight", 1)))),
-        minInfoGain=float(params.get("gamma", 0.0)),
-    )
-    return model.setValidationIndicatorCol(validation) if validation else model
-
-
 def with_vector(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="vector", handleInvalid="error").transform(df)

@@ -14,21 +14,23 @@ from multiprocessing.pool import ThreadPool
 from typing import Any, Callable, Mapping, Sequence
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nestfold.functions import metrics
 from nestfold.models import boost, gp, net, trees
 from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
+from nestfold.plans import running
 from nestfold.sources.results import RESULT_SCHEMA, TRIAL_SCHEMA
 from nestfold.sources.storage import fresh_path, materialize
 
+N_MEMBERS = 5  # fixed value: networks of an ensemble
 # The most boosting rounds by strategy, and the patience of their stopping rule.
 BOOST_ROUNDS = {"cv": 10_000, "holdout": 1_000}
 BOOST_PATIENCE = 10
+NETWORK_EPOCHS = 100
 
 # A fitted model: rows with ``features`` in, kept columns plus pred_mean (and
 # pred_var where the model has one) out.
@@ -90,7 +92,8 @@ class Family:
     fit: Callable[[DataFrame, Study, Mapping[str, Any]], Predictor]
     scale_x: str | None = None
     scale_y: bool = True
-    estimator: Callable[..., Any] | None = None  # set for MLlib families
+    learners: Callable[[Study, Mapping[str, Any], int], list[net.Learner]] | None = None  # set for families that a running search trains
+    budget: str | None = None  # the setting that the best trial's epochs or rounds go to
 
 
 def scaled(study: Study, family: Family, run: int) -> DataFrame:
@@ -146,11 +149,18 @@ def fit_boosted(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Pr
 def fit_ensemble(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
     shape = net.mean_variance_net(len(study.features), int(params["n_max"]), int(params["n_layers"]))
     fitted = net.fit(
-        train, shape, int(params.get("n_members", 5)), float(params["lr"]),
+        train, shape, int(params.get("n_members", N_MEMBERS)), float(params["lr"]),
         int(params.get("epochs", 100)), int(params["batch_size"]), patience=int(params.get("patience", 10)), target="t")
     return fitted.predict
 
 
+def ensemble_learners(study: Study, params: Mapping[str, Any], fold: int) -> list[net.Learner]:
+    """The members that a running search trains without ``fold``."""
+    shape = net.mean_variance_net(len(study.features), int(params["n_max"]), int(params["n_layers"]))
+    return [net.Learner.fresh(shape, float(params["lr"]), int(params["batch_size"]), fold, 73 + i)
+            for i in range(int(params.get("n_members", N_MEMBERS)))]
+
+
 def fit_deep_kernel(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
     """Extractor, its outputs scaled into (0, 1), then a sparse GP on them.
 
@@ -190,9 +200,9 @@ def _sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> gp.
 
 
 FAMILIES = {
-    "RF": Family(fit_forest, estimator=trees.forest),
-    "XGB": Family(fit_boosted, estimator=trees.boosted),
-    "DE": Family(fit_ensemble, scale_x="standard", scale_y=False),
+    "RF": Family(fit_forest),
+    "XGB": Family(fit_boosted, budget="n_estimators"),
+    "DE": Family(fit_ensemble, scale_x="standard", scale_y=False, learners=ensemble_learners, budget="epochs"),
     "VDKL": Family(fit_deep_kernel, scale_x="minmax"),
     "SGP": Family(fit_sparse_gp, scale_x="minmax"),
 }
@@ -213,6 +223,19 @@ def _metric_on(predictor: Predictor, rows: DataFrame, metric: metrics.Metric) ->
     return scored.agg(metric(F.col("pred_mean"), F.col("t")).alias("s")).collect()[0].s
 
 
+@dataclass
+class Outcome:
+    """What a trial came to; ``epochs`` is the budget for its refit, ``losses`` its validation errors by round."""
+
+    value: float | None
+    epochs: int | None = None
+    losses: list[float] | None = None
+    state: str = "COMPLETE"
+    began: datetime | None = None
+    ended: datetime | None = None
+    message: str | None = None
+
+
 def cv_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse) -> float:
     """Fit per inner fold, score the left-out fold, mean over folds."""
     scores = []
@@ -223,40 +246,51 @@ def cv_objective(study: Study, family: Family, train: DataFrame, params: Mapping
 
 
 def holdout_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse) -> float:
-    """Fit on three quarters of the training rows, score the rest.
+    """Fit on three quarters of the training rows, score the rest."""
+    fitted = family.fit(train.filter(~F.col("is_test")), study, params)
+    return _metric_on(fitted, train.filter("is_test"), metric)
+
 
-    Boosted trees also use the rest to decide when to stop.
+def boosted_objective(study: Study, train: DataFrame, params: Mapping[str, Any], strategy: str) -> Outcome:
+    """Boosting with the validation folds, or the hold-out, deciding when to stop.
+
+    The folds take their rounds in lockstep. The value is the average RMSE of the
+    best round for folds, and the MSE there for a hold-out.
     """
-    if family.estimator is trees.boosted:
-        fitted = family.fit(train.withColumn("is_validation", F.col("is_test")), study, params)
-    else:
-        fitted = family.fit(train.filter(~F.col("is_test")), study, params)
-    return _metric_on(fitted, train.filter("is_test"), metric)
+    settings, rounds = boost.Settings.of(params), int(params.get("n_estimators", BOOST_ROUNDS[strategy]))
+    held = [F.col("is_test")] if strategy == "holdout" else [F.col("inner_fold") == f for f in range(1, study.k_inner + 1)]
+    models = boost.fit_many(train, [boost.Fit(settings, ~h, h, rounds=rounds) for h in held], study.key, len(study.features), BOOST_PATIENCE)
+    losses = [sum(e) / len(e) for e in zip(*[m.errors for m in models])]
+    best = len(models[0].trees)
+    value = losses[best - 1] if best else float("nan")
+    return Outcome(value ** 2 if strategy == "holdout" else value, best, losses)
+
+
+def running_search(study: Study, family: Family, train: DataFrame, configs: Sequence[Mapping[str, Any]], strategy: str,
+                   rules: running.Rules, path: str | None = None, study_name: str = "search") -> list[Outcome]:
+    """Outcomes of a search over networks whose trials train together; ``path`` lets it go on after a failure."""
+    fold = F.col("inner_fold") if strategy == "cv" else F.when(F.col("is_test"), 1).otherwise(0)
+    folds = range(1, study.k_inner + 1) if strategy == "cv" else [1]
+    trials = running.run(
+        train.select("features", "t", fold.alias("fold")), folds, configs, lambda c, f: family.learners(study, c, f),
+        rules, path or fresh_path(train.sparkSession, "search"), study_name)
+    return [Outcome(t.best, t.max_epochs(rules), t.losses, t.state, t.began, t.ended, None if t.best is not None else "no loss was a number")
+            for t in trials]
 
 
-def cross_validate(study: Study, family: Family, train: DataFrame, configs: Sequence[Mapping[str, Any]], metric: str = "mse", parallelism: int = 4) -> list[float]:
-    """All configurations of an MLlib family over the inner folds at once."""
-    if metric not in ("mse", "rmse", "mae"):
-        raise ValueError("this metric needs cv_objective")
-    template = family.estimator(configs[0], label="t")
-    maps = [{p: v for p, v in family.estimator(c, label="t").extractParamMap().items() if template.hasParam(p.name)} for c in configs]
-    folds = _vectors(train).withColumn("fold", F.col("inner_fold") - 1).select("vector", "t", "fold")
-    cv = CrossValidator(
-        estimator=template, estimatorParamMaps=[{template.getParam(p.name): v for p, v in m.items()} for m in maps],
-        evaluator=RegressionEvaluator(predictionCol="pred_mean", labelCol="t", metricName=metric),
-        numFolds=study.k_inner, foldCol="fold", parallelism=parallelism)
-    return list(cv.fit(folds).avgMetrics)
+REFUSED = (ValueError, ArithmeticError, IllegalArgumentException)  # settings that do not work; other errors are not the trial's
 
 
 def search(
     study: Study, model: str, run: int, configs: Sequence[Mapping[str, Any]], metric: metrics.Metric | None = None,
-    holdout_above: int = split.HOLDOUT_ABOVE, parallelism: int = 4,
+    holdout_above: int = split.HOLDOUT_ABOVE, parallelism: int = 4, rules: running.Rules | None = None, path: str | None = None,
 ) -> DataFrame:
     """Trial log of one outer run: every configuration with its score and state.
 
     More than ``holdout_above`` training rows are searched on a hold-out, fewer
-    on inner folds. A configuration that fails is logged as FAIL, and the search
-    goes on.
+    on inner folds. A configuration that the model refuses, or whose numbers fail, is logged as FAIL
+    with its message, and the search goes on; any other error ends it. Networks are
+    searched under ``rules``, and go on from ``path`` if an earlier call with it was cut off.
     """
     family = FAMILIES[model]
     spark = study.rows.sparkSession
@@ -266,31 +300,29 @@ def search(
     metric_fn = metric or metrics.METRICS[name]
     if strategy == "holdout":
         train = split.with_holdout(train, study.key)
+    objective = holdout_objective if strategy == "holdout" else cv_objective
 
-    def row(number, config, value, began, state):
-        ended = datetime.now(timezone.utc)
-        return (study.dataset_id, study.dataset_name, model, run, number, value, began, ended,
-                {k: str(v) for k, v in config.items()}, name if metric is None else "custom", None, None, state)
-
-    rows = []
-    if strategy == "cv" and family.estimator is not None and metric is None:
+    def one_trial(config: Mapping[str, Any]) -> Outcome:
         began = datetime.now(timezone.utc)
         try:
-            for i, (config, value) in enumerate(zip(configs, cross_validate(study, family, train, configs, name, parallelism))):
-                rows.append(row(i, config, float(value), began, "COMPLETE"))
-        except Exception:  # one bad configuration spoils the joint fit: try them one by one
-            rows = []
-    if not rows:
-        objective = holdout_objective if strategy == "holdout" else cv_objective
-
-        def one_trial(numbered):
-            (i, config), began = numbered, datetime.now(timezone.utc)
-            try:
-                return row(i, config, float(objective(study, family, train, config, metric_fn)), began, "COMPLETE")
-            except Exception:
-                return row(i, config, None, began, "FAIL")
-
-        rows = _at_once(spark, one_trial, list(enumerate(configs)), parallelism)
+            if family.fit is fit_boosted and metric is None:
+                out = boosted_objective(study, train, config, strategy)
+            else:
+                out = Outcome(float(objective(study, family, train, config, metric_fn)))
+        except REFUSED as e:
+            out = Outcome(None, state="FAIL", message=f"{type(e).__name__}: {e}"[:500])
+        out.began, out.ended = began, datetime.now(timezone.utc)
+        return out
+
+    if family.learners is not None and metric is None:
+        outcomes = running_search(study, family, train, configs, strategy, rules or running.Rules(NETWORK_EPOCHS), path, f"run{run}")
+    else:
+        outcomes = _at_once(spark, one_trial, list(configs), parallelism)
+    rows = [
+        (study.dataset_id, study.dataset_name, model, run, i, o.value, o.began, o.ended, {k: str(v) for k, v in config.items()},
+         name if metric is None else "custom", o.epochs, o.losses, o.state, o.message)
+        for i, (config, o) in enumerate(zip(configs, outcomes))
+    ]
     return spark.createDataFrame(rows, TRIAL_SCHEMA)
 
 
@@ -358,11 +390,17 @@ def nested_study(
     logs = _at_once(
         study.rows.sparkSession, lambda run: search(study, model, run, configs(run) if callable(configs) else configs, **options), runs, 2)
     log = reduce(DataFrame.unionByName, logs)
-    best = best_trial(log, by=("outer_cv_split",)).select("outer_cv_split", "params").collect()  # one row per run
-    results, _ = evaluate(study, model, {b.outer_cv_split: parse_params(b.params) for b in sorted(best)})
+    best = best_trial(log, by=("outer_cv_split",)).select("outer_cv_split", "params", "max_epochs").collect()  # one row per run
+    results, _ = evaluate(study, model, {b.outer_cv_split: refit_params(model, parse_params(b.params), b.max_epochs) for b in sorted(best)})
     return log, results
 
 
+def refit_params(model: str, params: dict[str, Any], epochs: int | None) -> dict[str, Any]:
+    """Settings for the refit: the epochs or rounds that the search found best are its budget."""
+    budget = FAMILIES[model].budget
+    return params if budget is None or epochs is None else {**params, budget: max(1, epochs)}
+
+
 def reevaluate(study: Study, model: str, results: DataFrame, extra: Mapping[str, Any] | None = None) -> DataFrame:
     """Fit the stored best configurations again on the same folds; new rows of kind ``reevaluated``."""
     stored = results.filter((F.col("model") == model) & (F.col("dataset_name") == study.dataset_name) & (F.col("run_kind") == "nested"))

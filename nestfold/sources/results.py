@@ -40,6 +40,7 @@ TRIAL_SCHEMA = StructType([
     StructField("max_epochs", IntegerType()),
     StructField("train_losses", ArrayType(DoubleType())),
     StructField("state", StringType()),
+    StructField("message", StringType()),
 ])
 
 
