@@ -60,13 +60,17 @@ class Settings:
 
 @dataclass(frozen=True)
 class Fit:
-    """One model to fit: its settings, and conditions for its training and validation rows."""
+    """One model to fit: its settings, and conditions for its training and validation rows.
+
+    It is fitted to ``scale[0] * label + scale[1]``, as runs scale the label by their own training rows.
+    """
 
     settings: Settings
     train: Column
     valid: Column | None = None
     group: int = 0
     rounds: int = 100
+    scale: tuple[float, float] = (1.0, 0.0)
 
 
 @dataclass
@@ -130,7 +134,8 @@ class _Table:
         self.rows = materialize(rows.withColumn("stored", F.lit(None).cast("array<double>")), "binned")
         self.fresh: list[list] = [[] for _ in fits]  # packed trees since the last store
         sums = self.rows.agg(*[F.avg(F.when(F.col("train").bitwiseAND(F.lit(1 << i)) != 0, F.col("label"))) for i in range(len(fits))])
-        self.base = [float(v) if v is not None else 0.0 for v in sums.collect()[0]]
+        self.scales = [f.scale for f in fits]
+        self.base = [a * v + b if v is not None else 0.0 for v, (a, b) in zip(sums.collect()[0], self.scales)]
         self.has_stored = False
 
     def state(self) -> tuple:
@@ -172,10 +177,10 @@ def _level_pass(table: _Table, fits: Sequence[Fit], growing: Mapping[int, Tree],
     for at, (fit, node) in enumerate(nodes):
         places.setdefault(fit, {})[node] = at
     shared = table.rows.sparkSession.sparkContext.broadcast((
-        table.state(), table.n_fits, {i: growing[i].packed() for i in places}, places, {i: fits[i].settings.subsample for i in places}))
+        table.state(), table.n_fits, {i: growing[i].packed() for i in places}, places, {i: fits[i].settings.subsample for i in places}, table.scales))
 
     def task(stream):
-        state, n_fits, trees, where, share = shared.value
+        state, n_fits, trees, where, share, scales = shared.value
         out, errors = np.zeros((len(nodes), total, 2)), np.zeros((len(judged), 2))
         for batch in stream:
             if not batch.num_rows:
@@ -191,11 +196,13 @@ def _level_pass(table: _Table, fits: Sequence[Fit], growing: Mapping[int, Tree],
                 node = place[nodes_of(trees[fit], rows[use])]
                 use, node = use[node >= 0], node[node >= 0]
                 first = min(own.values())
-                part = histogram(rows[use], offsets, node - first, len(own), [margins[fit][use] - label[use], None])
+                a, b = scales[fit]
+                part = histogram(rows[use], offsets, node - first, len(own), [margins[fit][use] - (a * label[use] + b), None])
                 out[first:first + len(own)] += part
             for at, fit in enumerate(judged):
                 use = (valid >> fit & 1).astype(bool)
-                errors[at] += ((margins[fit][use] - label[use]) ** 2).sum(), use.sum()
+                a, b = scales[fit]
+                errors[at] += ((margins[fit][use] - (a * label[use] + b)) ** 2).sum(), use.sum()
         return np.concatenate([out.ravel(), errors.ravel()])
 
     summed = sum_over_rows(table.rows, ["id", "label", "train", "valid", "bins", "stored"], task, size + 2 * len(judged), shared)

@@ -14,7 +14,7 @@ from typing import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from nestfold.models.passes import matrix
+from nestfold.models.passes import matrix, sum_over_rows
 from nestfold.session import ship_package
 
 MAX_BINS = 256
@@ -129,6 +129,21 @@ def histogram(binned_rows: np.ndarray, offsets: np.ndarray, node: np.ndarray, n_
     ).reshape(n_nodes, total, len(stats))
 
 
+def root_sums(df: DataFrame, bins: Bins, features: str = "features", label: str = "y") -> np.ndarray:
+    """(bin, (g, h)) of a first tree's root over all rows, the predictions being 0."""
+    offsets = bins.offsets
+
+    def task(stream):
+        total = np.zeros((1, int(offsets[-1]), 2))
+        for batch in stream:
+            if batch.num_rows:
+                rows = bins_of(batch.column("bins"), len(bins.cuts))
+                total += histogram(rows, offsets, np.zeros(len(rows), np.int64), 1, [-batch.column(label).to_numpy(zero_copy_only=False), None])
+        return total.ravel()
+
+    return sum_over_rows(binned(df, bins, [label], features), [label, "bins"], task, 2 * int(offsets[-1])).reshape(-1, 2)
+
+
 def shrunk(g: np.ndarray, alpha: float) -> np.ndarray:
     """The gradient sum moved towards zero by the absolute penalty."""
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0)

@@ -93,6 +93,8 @@ class Family:
     scale_x: str | None = None
     scale_y: bool = True
     learners: Callable[[Study, Mapping[str, Any], int], list[net.Learner]] | None = None  # set for families that a running search trains
+    fit_runs: Callable[[Study, Mapping[int, Mapping[str, Any]]], dict[int, Predictor]] | None = None  # all outer runs in the same passes
+    altered: Callable[[Mapping[str, Any]], str | None] | None = None  # which settings run otherwise than given
     budget: str | None = None  # the setting that the best trial's epochs or rounds go to
 
 
@@ -146,6 +148,19 @@ def fit_boosted(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Pr
     return boost.fit_many(train, [one], study.key, len(study.features), BOOST_PATIENCE)[0].predict
 
 
+def fit_boosted_runs(study: Study, params_of_run: Mapping[int, Mapping[str, Any]]) -> dict[int, Predictor]:
+    """All outer runs on one binned table; each scales the target by its own training rows."""
+    fits = []
+    for run, params in params_of_run.items():
+        y = study.stats[run]["y"]
+        fits.append(boost.Fit(boost.Settings.of(params), F.col("outer_fold") != run, group=run, scale=(1 / y["range"], -y["min"] / y["range"]),
+                              rounds=int(params.get("n_estimators", BOOST_ROUNDS["holdout"]))))
+    features = F.array(*[F.col(f"`{c}`").cast("float") for c in study.features])
+    rows = study.rows.select(*study.key, "outer_fold", features.alias("features"), "y")
+    models = boost.fit_many(rows, fits, study.key, len(study.features), label="y")
+    return {run: m.predict for run, m in zip(params_of_run, models)}
+
+
 def fit_ensemble(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
     shape = net.mean_variance_net(len(study.features), int(params["n_max"]), int(params["n_layers"]))
     fitted = net.fit(
@@ -200,8 +215,8 @@ def _sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> gp.
 
 
 FAMILIES = {
-    "RF": Family(fit_forest),
-    "XGB": Family(fit_boosted, budget="n_estimators"),
+    "RF": Family(fit_forest, altered=trees.altered),
+    "XGB": Family(fit_boosted, fit_runs=fit_boosted_runs, budget="n_estimators"),
     "DE": Family(fit_ensemble, scale_x="standard", scale_y=False, learners=ensemble_learners, budget="epochs"),
     "VDKL": Family(fit_deep_kernel, scale_x="minmax"),
     "SGP": Family(fit_sparse_gp, scale_x="minmax"),
@@ -309,6 +324,7 @@ def search(
                 out = boosted_objective(study, train, config, strategy)
             else:
                 out = Outcome(float(objective(study, family, train, config, metric_fn)))
+                out.message = family.altered(config) if family.altered else None
         except REFUSED as e:
             out = Outcome(None, state="FAIL", message=f"{type(e).__name__}: {e}"[:500])
         out.began, out.ended = began, datetime.now(timezone.utc)
@@ -333,19 +349,22 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Refit on each outer training part, predict its test part.
 
-    Outer runs are independent: up to ``parallelism`` of them are fitted at the
-    same time. Returns result rows (one per run, typed as the result log) and
+    Outer runs are independent: they are fitted in the same passes where the family
+    can, else up to ``parallelism`` of them at the same time. Returns result rows (one per run, typed as the result log) and
     the predictions of all runs. Scores of all runs come from one plan.
     """
     family, _ = FAMILIES[model], study.stats
     spark = study.rows.sparkSession
     path = fresh_path(spark, "predictions")
+    began = time.time()
+    fitted = family.fit_runs(study, params_of_run) if family.fit_runs else {}
+    shared = (time.time() - began) / len(params_of_run)  # a run's part of a joint fit
 
     def one_run(run: int) -> float:
         rows = scaled(study, family, run)
         began = time.time()
-        predictor = family.fit(rows.filter(F.col("outer_fold") != run), study, params_of_run[run])
-        took = time.time() - began
+        predictor = fitted.get(run) or family.fit(rows.filter(F.col("outer_fold") != run), study, params_of_run[run])
+        took = shared if run in fitted else time.time() - began
         test = predictor(rows.filter(F.col("outer_fold") == run), [*study.key, "outer_fold", "y"])
         unscaled(test, study, family, run).write.parquet(f"{path}/run={run}")
         return took

@@ -6,16 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from nestfold.functions.kernels import kernel_column
-from nestfold.models import gp, net, store
+from nestfold.models import gp, hist, net, store
 from nestfold.operators import space
 from nestfold.operators.encode import one_hot, one_hot_levels
-from nestfold.plans import nested
+from nestfold.plans import nested, running
 from nestfold.queries.base import encoded_policies, query, r, table
 from nestfold.sources import results, storage
 
 FOREST = {"n_estimators": 20, "max_depth": 10, "min_samples_split": 2, "min_samples_leaf": 2, "max_features": "auto"}
 BOOSTED = {"n_estimators": 15, "max_depth": 5, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.6,
-           "min_child_weight": 2, "gamma": 0.0}
+           "min_child_weight": 2, "gamma": 0.0, "reg_alpha": 0.01, "reg_lambda": 1.0}
 ENSEMBLE = {"n_max": 32, "n_layers": 3, "lr": 0.01, "batch_size": 128, "epochs": 12, "n_members": 5}
 DEEP_KERNEL = {"n_max": 32, "n_layers": 3, "n_out": 2, "mean_type": "linear", "kernel_type": "matern1.5", "num_inducing": 50, "lr": 0.01, "epochs": 5}
 SPARSE_GP = {"num_inducing": 50, "kernel_type": "rbf", "mean_type": "constant", "minit": "kmeans"}
@@ -50,6 +50,69 @@ def _(spark, d):
     return _outer_scores(spark, d, "XGB", BOOSTED)
 
 
+def _sized_parts(spark, d) -> tuple[DataFrame, hist.Bins]:
+    """Parts with two features and their cut points; the price in hundreds above 900 as target."""
+    rows = table(spark, d, "part").select(
+        F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double")).alias("features"),
+        (F.col("p_retailprice") / 100 - 9).alias("y"))
+    return rows, hist.Bins((np.array([10.0, 20.0, 30.0, 40.0]), np.array([24.5, 49.5, 74.5])))
+
+
+HISTOGRAM_SQL = """h AS (
+  SELECT feature, bin, sum(-y) AS g, CAST(count(*) AS DOUBLE) AS h FROM (
+    SELECT 0 AS feature, CASE WHEN p_size <= 10 THEN 0 WHEN p_size <= 20 THEN 1 WHEN p_size <= 30 THEN 2 WHEN p_size <= 40 THEN 3 ELSE 4 END AS bin,
+      p_retailprice / 100 - 9 AS y FROM part
+    UNION ALL SELECT 1, CASE WHEN p_partkey % 100 <= 24.5 THEN 0 WHEN p_partkey % 100 <= 49.5 THEN 1 WHEN p_partkey % 100 <= 74.5 THEN 2 ELSE 3 END,
+      p_retailprice / 100 - 9 FROM part) GROUP BY feature, bin)"""
+
+
+@query("boosting_histogram", f"WITH {HISTOGRAM_SQL} SELECT feature, bin, round(g, 6) AS gradient, h AS curvature FROM h")
+def _(spark, d):
+    rows, bins = _sized_parts(spark, d)
+    sums = hist.root_sums(rows, bins)
+    places = [(f, b) for f, n in enumerate(bins.sizes.tolist()) for b in range(n)]
+    out = [(f, b, round(float(g), 6), float(h)) for (f, b), (g, h) in zip(places, sums) if h]
+    return spark.createDataFrame(out, "feature int, bin int, gradient double, curvature double")
+
+
+def _score_sql(g: str, h: str) -> str:
+    return f"pow(sign({g}) * greatest(abs({g}) - 0.5, 0), 2) / ({h} + 2)"
+
+
+@query("boosting_root_split", f"""WITH {HISTOGRAM_SQL},
+ s AS (SELECT feature, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht
+   FROM h WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+ x AS (SELECT *, {_score_sql("gl", "hl")} + {_score_sql("(gt - gl)", "(ht - hl)")} - {_score_sql("gt", "ht")} AS gain FROM s WHERE hl >= 3 AND ht - hl >= 3)
+SELECT feature, bin, round(gain, 4) AS gain, round(-sign(gt) * greatest(abs(gt) - 0.5, 0) / (ht + 2), 6) AS leaf FROM x
+ QUALIFY row_number() OVER (ORDER BY gain DESC, feature, bin) = 1""")
+def _(spark, d):
+    rows, bins = _sized_parts(spark, d)
+    sums = hist.root_sums(rows, bins)
+    gain, feature, cut = hist.best_splits(sums[None], bins, np.ones(2, bool), 0.5, 2.0, 3.0)
+    g, h = sums[:int(bins.sizes[0])].sum(axis=0)
+    out = [(int(feature[0]), int(cut[0]), round(float(gain[0]), 4), round(hist.leaf_value(g, h, 0.5, 2.0), 6))]
+    return spark.createDataFrame(out, "feature int, bin int, gain double, leaf double")
+
+
+@query("boosted_cv_search")
+def _(spark, d):
+    """Two configurations of the boosted trees' own ranges for steps and penalties, each stopped by its inner folds."""
+    configs = [{**BOOSTED, "learning_rate": 0.3, "reg_alpha": 0.01, "reg_lambda": 1.0, "n_estimators": 30},
+               {**BOOSTED, "learning_rate": 0.1, "max_depth": 3, "reg_alpha": 1.0, "reg_lambda": 10.0, "n_estimators": 30}]
+    log = nested.search(part_study(spark, d), "XGB", 1, configs, holdout_above=10**12)
+    return log.select("outer_cv_split", "number", "value", "metric", "max_epochs", "state")
+
+
+@query("running_search")
+def _(spark, d):
+    """Six networks under hyperband: the trial log of a search that trains them together."""
+    study = part_study(spark, d)
+    configs = [{**ENSEMBLE, "n_max": 16, "n_members": 2, "lr": lr} for lr in (0.03, 0.01, 0.003, 0.001, 0.0003, 0.0001)]
+    rules = running.Rules(epochs=9, patience=3, pruner="hyperband")
+    log = nested.search(study, "DE", 1, configs, holdout_above=0, rules=rules)
+    return log.select("outer_cv_split", "number", "value", "metric", "max_epochs", "train_losses", "state")
+
+
 @query("ensemble_outer_scores")
 def _(spark, d):
     return _outer_scores(spark, d, "DE", ENSEMBLE)
@@ -181,29 +244,29 @@ def _(spark, d):
 
 # -- searches and nested runs -----------------------------------------------------------
 
-def _forest_configs(spark, d, holdout=False) -> list[dict]:
-    """Two configurations drawn for the first two part keys, kept small."""
-    numbers = table(spark, d, "part").filter("p_partkey < 2").select(F.col("p_partkey").alias("number"))
-    drawn = space.draw_trials(numbers, "RF", 73, holdout=holdout)
-    drawn = drawn.withColumns({"n_estimators": F.least("n_estimators", F.lit(10)), "max_depth": F.least("max_depth", F.lit(6))})
-    return nested.draw_configs(drawn, list(space.SPACES["RF"].params))
+SEARCH_TRIALS = 2  # configurations of a search, drawn from the whole space and run as drawn
+
+
+def _forest_configs(spark, holdout=False) -> list[dict]:
+    numbers = spark.range(SEARCH_TRIALS).withColumnRenamed("id", "number")
+    return nested.draw_configs(space.draw_trials(numbers, "RF", 73, holdout=holdout), list(space.SPACES["RF"].params))
 
 
 @query("cv_search")
 def _(spark, d):
-    log = nested.search(part_study(spark, d), "RF", 1, _forest_configs(spark, d), holdout_above=10**12)
+    log = nested.search(part_study(spark, d), "RF", 1, _forest_configs(spark), holdout_above=10**12)
     return log.select("outer_cv_split", "number", "value", "metric", "state")
 
 
 @query("holdout_search")
 def _(spark, d):
-    log = nested.search(part_study(spark, d), "RF", 1, _forest_configs(spark, d, holdout=True), holdout_above=0)
+    log = nested.search(part_study(spark, d), "RF", 1, _forest_configs(spark, holdout=True), holdout_above=0)
     return log.select("outer_cv_split", "number", "value", "metric", "state")
 
 
 @query("nested_study")
 def _(spark, d):
-    _, rows = nested.nested_study(part_study(spark, d), "RF", _forest_configs(spark, d))
+    _, rows = nested.nested_study(part_study(spark, d), "RF", _forest_configs(spark))
     return rows.drop("params")
 
 

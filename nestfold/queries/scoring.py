@@ -52,11 +52,17 @@ def _(spark, d):
     return metrics.score(p, ["fold"], ["max_absolute_error"]).select("fold", r("max_absolute_error", 4).alias("max_absolute_error"))
 
 
-@query("metric_gaussian_nll", PRED_SQL + """SELECT fold, round(avg(0.5 * (ln(v) + pow(pred_mean - y, 2) / v)), 6) AS nll_score
- FROM (SELECT *, greatest(c_acctbal, 0.000001::DOUBLE) AS v FROM pred WHERE c_acctbal > 1) GROUP BY fold""")
+# Balances of zero and less are variances at the floor; their terms are huge, so the scores are told in 10^12.
+@query("metric_gaussian_nll", PRED_SQL + """SELECT fold, CAST(count_if(c_acctbal <= 0.000001) AS BIGINT) AS n_at_floor, round(avg(0.5 * (ln(v) + pow(pred_mean - y, 2) / v)) / 1e12, 6) AS nll_score,
+ round(avg(CASE WHEN c_acctbal > 1 THEN 0.5 * (ln(v) + pow(pred_mean - y, 2) / v) / 1e3 END), 4) AS nll_above
+ FROM (SELECT *, greatest(c_acctbal, 0.000001::DOUBLE) AS v FROM pred) GROUP BY fold""")
 def _(spark, d):
-    p = fold_mean_predictions(spark, d).filter("c_acctbal > 1")
-    return metrics.score(p, ["fold"], [], var="c_acctbal").select("fold", r("nll_score").alias("nll_score"))
+    p = fold_mean_predictions(spark, d)
+    rows = metrics.gaussian_nll_row(F.col("pred_mean"), F.col("y"), F.col("c_acctbal"))
+    parts = p.groupBy("fold").agg(
+        F.count_if(F.col("c_acctbal") <= metrics.VARIANCE_FLOOR).alias("n_at_floor"),
+        r(F.avg(F.when(F.col("c_acctbal") > 1, rows / 1e3)), 4).alias("nll_above"))
+    return metrics.score(p, ["fold"], [], var="c_acctbal").select("fold", r(F.col("nll_score") / 1e12).alias("nll_score")).join(parts, "fold")
 
 
 @query("macro_mean_of_folds", PRED_SQL + """SELECT 'policies' AS dataset_name, round(avg(mse), 4) AS mse, round(avg(mae), 4) AS mae
