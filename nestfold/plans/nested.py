@@ -24,6 +24,7 @@ from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
 from nestfold.plans import running
 from nestfold.sources.results import RESULT_SCHEMA, TRIAL_SCHEMA
+from nestfold.sources.runlog import RunLog
 from nestfold.sources.storage import fresh_path, materialize
 
 N_MEMBERS = 5  # fixed value: networks of an ensemble
@@ -401,17 +402,40 @@ def parse_params(params: Mapping[str, str]) -> dict[str, Any]:
 
 
 def nested_study(
-    study: Study, model: str, configs: Sequence[Mapping[str, Any]] | Callable[[int], Sequence[Mapping[str, Any]]], **options,
+    study: Study, model: str, configs: Sequence[Mapping[str, Any]] | Callable[[int], Sequence[Mapping[str, Any]]],
+    path: str | None = None, **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Search, choose and evaluate every outer run: (trial log, result log)."""
+    """Search, choose and evaluate every outer run: (trial log, result log).
+
+    With ``path``, each run's trials and then its result are committed to logs
+    there; a study that is called again with the same path takes finished parts from the logs.
+    """
     _ = study.stats
+    spark = study.rows.sparkSession
+    trial_log = RunLog(spark, f"{path}/trials", TRIAL_SCHEMA) if path else None
+    result_log = RunLog(spark, f"{path}/results") if path else None
+    key = lambda run: f"{study.dataset_name}|{model}|{run}"
+
+    def one_search(run: int) -> DataFrame:
+        wanted = configs(run) if callable(configs) else configs
+        if trial_log is None:
+            return search(study, model, run, wanted, **options)
+        if not trial_log.has(key(run)):
+            trial_log.write(key(run), search(study, model, run, wanted, **{"path": f"{path}/running-{run}", **options}))
+        return trial_log.read(key(run))
+
     runs = list(range(1, study.k_outer + 1))
-    logs = _at_once(
-        study.rows.sparkSession, lambda run: search(study, model, run, configs(run) if callable(configs) else configs, **options), runs, 2)
-    log = reduce(DataFrame.unionByName, logs)
+    log = reduce(DataFrame.unionByName, _at_once(spark, one_search, runs, 2))
     best = best_trial(log, by=("outer_cv_split",)).select("outer_cv_split", "params", "max_epochs").collect()  # one row per run
-    results, _ = evaluate(study, model, {b.outer_cv_split: refit_params(model, parse_params(b.params), b.max_epochs) for b in sorted(best)})
-    return log, results
+    params = {b.outer_cv_split: refit_params(model, parse_params(b.params), b.max_epochs) for b in sorted(best)}
+    if result_log is None:
+        return log, evaluate(study, model, params)[0]
+    open_runs = {run: p for run, p in params.items() if not result_log.has(key(run))}
+    if open_runs:
+        made = materialize(evaluate(study, model, open_runs)[0], "results")
+        for run in open_runs:
+            result_log.write(key(run), made.filter(F.col("outer_run") == run))
+    return log, reduce(DataFrame.unionByName, [result_log.read(key(run)) for run in params])
 
 
 def refit_params(model: str, params: dict[str, Any], epochs: int | None) -> dict[str, Any]:

@@ -10,7 +10,7 @@ from nestfold.operators import encode, trials
 from nestfold.queries.base import (
     PART, POLICY_SQL, PRIORITIES, encoded_policies, policies, query, r, table,
 )
-from nestfold.sources import results, storage, tables
+from nestfold.sources import results, runlog, storage, tables
 
 
 @query("source_delimited", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
@@ -70,6 +70,19 @@ def _(spark, d):
     return log.select("dataset_name", "model", "outer_run", r("mse", 4).alias("mse"), r("nll_score", 4).alias("nll_score"))
 
 
+@query("run_log_replaces_reruns", FOLD_RESULTS_SQL + """
+SELECT dataset_name, model, outer_run, round(mse / outer_run, 4) AS mse FROM fold_results""")
+def _(spark, d):
+    rows = storage.materialize(_fold_results(spark, d), "fold-results")
+    log = runlog.RunLog(spark, storage.fresh_path(spark, "run-log"))
+    for attempt in (1, 2):  # the second one takes the place of the first
+        for run in range(1, 6):
+            part = rows.filter(F.col("outer_run") == run)
+            log.write(f"policies|RF|{run}", part.withColumn("mse", F.col("mse") / F.lit(run if attempt == 2 else 1)))
+    log.compact()
+    return log.read().select("dataset_name", "model", "outer_run", r("mse", 4).alias("mse"))
+
+
 @query("log_concat_by_name", FOLD_RESULTS_SQL + """
 SELECT outer_run, round(mse, 4) AS mse, CAST(NULL AS DOUBLE) AS train_time FROM fold_results
 UNION ALL SELECT outer_run, CAST(NULL AS DOUBLE), round(mse / 100, 4) FROM fold_results""")

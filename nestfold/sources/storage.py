@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
-from typing import Sequence
+from typing import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +28,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCOPES: list[list[str]] = []
+_SCOPES_LOCK = threading.Lock()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _SCOPES_LOCK:
+        if _SCOPES:
+            _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own, wherever Spark's file systems keep it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at its end, all intermediate tables that were made inside.
+
+    What is wanted later has to be written or collected before the scope ends.
+    Threads started inside belong to it; scopes nest.
+    """
+    with _SCOPES_LOCK:
+        _SCOPES.append([])
+        mine = _SCOPES[-1]
+    try:
+        yield
+    finally:
+        with _SCOPES_LOCK:
+            _SCOPES.remove(mine)
+        for path in mine:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "step", partition_by: Sequence[str] = ()) -> DataFrame:
