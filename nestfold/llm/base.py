@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front, so that ``df`` has no such column."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def key(name: str) -> Column:
     """An id column without nulls."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

@@ -2,7 +2,8 @@
 
 A turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings inside
 roles and texts are escaped, and can be read back: a backslash becomes ``\\b``,
-and ``\\c`` is put after the first character of a control string.
+``\\c`` is put after the first character of a control string, and a line break in a
+role becomes ``\\n``.
 
 Windows follow from prefix sums of turn tokens, without walking the turns. The
 token axis of a conversation is cut into cells of ``fresh`` tokens. A turn that
@@ -10,7 +11,9 @@ begins in a cell belongs to the cell's window if it ends within ``room`` tokens
 of the cell's begin, else it has a window of its own. So a window's new turns fit into
 ``room`` unless a single turn does not. In front of them a window
 repeats the leading system turn and as many whole earlier turns as fit into
-``history`` tokens. Assistant turns are the training targets; each is under the
+``history`` tokens. A system turn of more than ``history`` tokens is repeated by
+its first ``4 * history`` characters and a mark, ``CUT``; the window where it is new has
+all of it. Assistant turns are the training targets; each is under the
 loss mask in the one window where it is new, and repeated ones are masked.
 
 Prefix sums are taken per (conversation, bucket of turns), so a conversation
@@ -36,6 +39,7 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: Strings that mark turns in this template or in others in wide use.
 CONTROLS = (BEGIN, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 FRESH, ROOM, HISTORY = 512, 1024, 512
+CUT = "…"  # behind a system turn that is repeated in part
 _MARKS = 4  # tokens of a turn besides role and text; keeps turns of no text countable
 _BUCKET = 64  # turns of one window function
 
@@ -69,7 +73,7 @@ def _numbered(df: DataFrame) -> DataFrame:
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
     base = df.select(
         key("conv_id").alias("conv"), key("turn").alias("turn"), role.alias("r"), text.alias("t"),
-        escape(role).alias("role"), escape(text).alias("text"),
+        F.replace(escape(role), F.lit("\n"), F.lit("\\n")).alias("role"), escape(text).alias("text"),
         (tokens(role) + tokens(text) + _MARKS).cast("long").alias("size"))
     bucket = F.floor(F.col("turn") / _BUCKET)
     placed = running(base, ["conv"], bucket, ["turn", "r", "t"], sums={"begin": F.col("size"), "place": F.lit(1).cast("long")})
@@ -102,7 +106,11 @@ def windows(df: DataFrame, fresh: int = FRESH, room: int = ROOM, history: int =
     members = (
         earlier.unionByName(kept).distinct().withColumn("new", F.lit(False))
         .unionByName(own.select("conv", "place", "cell", "alone").withColumn("new", F.lit(True))))
-    filled = members.join(turns.select("conv", "place", "role", "text", "size"), ["conv", "place"])
+    whole = members.join(turns.select("conv", "place", "role", "text", "size"), ["conv", "place"])
+    long_ = ~F.col("new") & (F.col("size") > history)  # only a system turn is repeated beyond the history
+    part = F.concat(F.substring("text", 1, 4 * history), F.lit(CUT))
+    filled = whole.withColumn("text", F.when(long_, part).otherwise(F.col("text"))).withColumn(
+        "size", F.when(long_, tokens(F.col("role")) + tokens(F.col("text")) + _MARKS).otherwise(F.col("size")))
     packed = filled.groupBy("conv", "cell", "alone").agg(
         F.array_sort(F.collect_list(F.struct("place", "new", "role", "text"))).alias("turns"),
         F.sum("size").alias("n_tokens"))
@@ -125,7 +133,7 @@ def read_back(formatted: Column) -> Column:
     pieces = F.filter(F.split(formatted, _literal(END + "\n").replace("\n", "\\n")), lambda x: x != "")
     bare = F.transform(pieces, lambda x: F.substring(x, len(BEGIN) + 1, 1 << 30))
     return F.transform(bare, lambda x: F.struct(
-        unescape(F.substring_index(x, "\n", 1)).alias("role"),
+        unescape(F.replace(F.substring_index(x, "\n", 1), F.lit("\\n"), F.lit("\n"))).alias("role"),
         unescape(x.substr(F.instr(x, "\n") + 1, F.char_length(x))).alias("text")))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nestfold.llm import text as T
-from nestfold.llm.base import key, query, table
+from nestfold.llm.base import free_name, key, query, table
 from nestfold.session import ship_package
 from nestfold.sources.storage import materialize
 
@@ -242,19 +242,21 @@ def cut_repeats(
     (null if none) and the texts are as before.
     """
     ship_package(df.sparkSession)
-    keyed = df.withColumn("_id", key(doc_id)).withColumn("_h", F.xxhash64(F.col(text)))
-    docs = keyed.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col(text).alias("text"))
-    gone = deletions(docs, least).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("lines").alias(report or "_lines"))
-    joined = keyed.join(gone, ["_id", "_h"], "left").drop("_id", "_h").select(*df.columns, report or "_lines")
+    own, hashed, lines = free_name(df, "_id"), free_name(df, "_h"), report or free_name(df, "_lines")
+    keyed = df.withColumn(own, key(doc_id)).withColumn(hashed, F.xxhash64(F.col(text)))
+    docs = keyed.select(F.col(own).alias("id"), F.col(hashed).alias("h"), F.col(text).alias("text"))
+    gone = deletions(docs, least).select(F.col("id").alias(own), F.col("h").alias(hashed), F.col("lines").alias(lines))
+    joined = keyed.join(gone, [own, hashed], "left").select(*df.columns, lines)
     if report:
         return joined
-    return joined.mapInArrow(_cut(text, "_lines"), df.schema)
+    return joined.mapInArrow(_cut(text, lines), df.schema)
 
 
 def drop_repeats(df: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """As ``cut_repeats``; documents that lose all their words go, as earlier ones have them all."""
-    marked = cut_repeats(df, least, report="_gone")
-    return marked.mapInArrow(_cut("text", "_gone", drop_emptied=True), df.schema)
+    gone = free_name(df, "_gone")
+    marked = cut_repeats(df, least, report=gone)
+    return marked.mapInArrow(_cut("text", gone, drop_emptied=True), df.schema)
 
 
 @query("op10_line_dedup")

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from nestfold.llm.base import WORD, key, query, table
+from nestfold.llm.base import WORD, free_name, key, query, table
 from nestfold.operators.order import running, with_position
 from nestfold.session import ship_package
 from nestfold.sources.storage import materialize
@@ -107,8 +107,9 @@ def plan(
     spark = df.sparkSession
     ship_package(spark)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = df.withColumn("_size", size).withColumn("_source", F.col(source)).withColumn(
-        "_key", F.xxhash64(key(doc_id), F.col(text), F.lit(seed)))
+    # The caller's columns travel as one, so that no name of theirs meets one of ours.
+    sized = df.select(F.struct("*").alias("_row"), size.alias("_size"), F.col(source).alias("_source"),
+                      F.xxhash64(key(doc_id), F.col(text), F.lit(seed)).alias("_key"))
     sources = materialize(targets(
         sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, max_repeat), "sources")
     sources = sources.withColumn("full", F.when(F.col("source_size") > 0, F.floor(
@@ -151,17 +152,18 @@ def plan(
         "_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     chosen = F.filter(F.coalesce("_drawn", F.array().cast("array<struct<epoch:int,shard:bigint,limit:double>>")), lambda d: (
         (F.col("_size") > 0) & (d["limit"].isNull() | (F.col("_before") + F.col("_size") / 2 <= d["limit"]))))
-    return met.withColumn(out, F.struct(
+    return met.withColumn("_plan", F.struct(
         F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.transform(chosen, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"))).alias("draws"),
-    )).select(*df.columns, out)
+    )).select("_row.*", F.col("_plan").alias(out))
 
 
 def mix(df: DataFrame, seed: int = 17, **options) -> DataFrame:
     """One row per copy with ``df``'s columns, dealt to its shard and there in a hashed order."""
-    copies = plan(df, seed=seed, out="_mix", **options).select(*df.columns, F.explode("_mix.draws").alias("_draw"))
-    order = F.xxhash64(key("doc_id"), "_draw", F.lit(seed))
-    return copies.repartition("_draw.shard").withColumn("_order", order).sortWithinPartitions("_draw.shard", "_order").select(*df.columns)
+    mixed, draw, placed = (free_name(df, n) for n in ("_mix", "_draw", "_order"))
+    copies = plan(df, seed=seed, out=mixed, **options).select(*df.columns, F.explode(f"{mixed}.draws").alias(draw))
+    order = F.xxhash64(key("doc_id"), draw, F.lit(seed))
+    return copies.repartition(f"{draw}.shard").withColumn(placed, order).sortWithinPartitions(f"{draw}.shard", placed).select(*df.columns)
 
 
 @query("op3_source_mixing")

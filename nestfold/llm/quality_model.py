@@ -12,8 +12,9 @@ pattern, so that rare kinds of junk are in it, and the rest by the patterns' siz
 in a pattern, the rows with the smallest hash of their id are drawn. The scorer's
 bias is then moved from the sample's share of junk to that of all rows.
 
-Defined results: the score is the chance that a text is good. A null or empty
-text has no features and gets the score of the bias alone.
+Defined results: the score is the chance that a text is good. A null, empty or
+blank text has no words and scores 0. The labellers judge texts of ``VOTING_WORDS`` words
+or more, as shares of fewer words say little; shorter ones get no votes, and are scored by the scorer as all are.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from nestfold.sources.storage import materialize
 
 SAMPLE = 12_000
 BITS = 16
+VOTING_WORDS = 20
 #: Labeller, and the share of words (or lines) from which it says junk.
 LABELLERS = (
     ("symbols", 0.1), ("shouts", 0.2), ("capitals", 0.4), ("repeats of the word before", 0.2),
@@ -84,7 +86,7 @@ class _Words:
         repeated = n_lines - np.bincount(distinct, minlength=len(n))
         shares = [symbols / n, self.count(shout) / n, self.count(upper) / n, self.count(self.again) / n, top / n,
                   self.count(bar) / n, 1 - self.count(np.isin(self.hashes, stops)) / n, repeated / np.maximum(n_lines, 1)]
-        enough = self.n >= 20
+        enough = self.n >= VOTING_WORDS
         return np.stack([(s > t) & enough for s, (_, t) in zip(shares, LABELLERS)], axis=1)
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,9 +192,11 @@ def score(df: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
         w = np.frombuffer(packed, np.float32)
         for batch in batches:
             for row, data, offsets in T.chunks(T.column(batch, "text")):
-                owner, feature, value = _Words(data, offsets).features()
+                words = _Words(data, offsets)
+                owner, feature, value = words.features()
                 odds = np.bincount(owner, w[feature] * value, len(offsets) - 1) + bias
-                yield pa.record_batch([batch.column(0).slice(row, len(odds)), pa.array(weak.logistic(-odds))], ["id", "score"])
+                good = np.where(words.n > 0, weak.logistic(-odds), 0.0)
+                yield pa.record_batch([batch.column(0).slice(row, len(odds)), pa.array(good)], ["id", "score"])
 
     return df.mapInArrow(run, "id long, score double")
 

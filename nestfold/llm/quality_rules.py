@@ -17,7 +17,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from nestfold.llm.base import WORD, query, table
+from nestfold.llm.base import WORD, free_name, query, table
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -178,8 +178,9 @@ def keep_good(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text")
     The verdict passes through a one-element array: a filter on it is then not
     pushed below the projection, where it would repeat the measures many times.
     """
-    judged = judge(df, rules, text, "_quality")
-    return judged.select(*df.columns, F.explode(F.array("_quality.kept")).alias("_kept")).filter("_kept").drop("_kept")
+    verdict, kept = free_name(df, "_quality"), free_name(df, "_kept")
+    judged = judge(df, rules, text, verdict)
+    return judged.select(*df.columns, F.explode(F.array(f"{verdict}.kept")).alias(kept)).filter(F.col(kept)).drop(kept)
 
 
 _SQL = r"""

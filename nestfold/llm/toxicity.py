@@ -86,10 +86,15 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, doc_id: str = "
     """Weights, bias and the label model, from the texts of ``docs`` and the labels ``toxic`` of ``known``.
 
     The sample is drawn from the labels, so its ids (``sample`` at most) can be
-    broadcast, and no text but those of the sample is moved.
+    broadcast, and no text but those of the sample is moved. Repeated ids don't
+    make it larger: ``sample`` rows at most reach the driver.
     """
-    drawn = known.select(doc_id, F.col("toxic").cast("int")).orderBy(F.xxhash64(doc_id, F.lit(5)), doc_id).limit(sample)
-    chosen = docs.join(F.broadcast(drawn), doc_id).select("text", "toxic")
+    ship_package(docs.sparkSession)
+    order = F.xxhash64("_id", F.lit(5))
+    drawn = known.select(F.col(doc_id).alias("_id"), F.col("toxic").cast("int").alias("_toxic")).orderBy(order, "_id", "_toxic").limit(sample)
+    texts = docs.select(F.col(doc_id).alias("_of"), F.col("text").alias("_text"))
+    met = texts.join(F.broadcast(drawn), F.col("_of") == F.col("_id"))
+    chosen = met.orderBy(order, "_id", "_toxic", F.xxhash64("_text")).limit(sample).select(F.col("_text").alias("text"), F.col("_toxic").alias("toxic"))
     got = chosen.mapInArrow(_sample_features, "toxic int, features array<int>").toArrow().combine_chunks()
     label = got.column("toxic").to_numpy().astype(np.int64)
     lists = got.column("features").combine_chunks()
