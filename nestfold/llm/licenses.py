@@ -2,7 +2,9 @@
 
 Fingerprints of a template are the smallest hash of every few consecutive
 3-word windows. All 3-word windows of a text are looked up in the inverted
-index of fingerprints, so a text that has one is found wherever it stands. Hits
+index of fingerprints, so a text that has one is found wherever it stands. Of
+templates of fewer than 16 words, where a few changed words can break all windows,
+single words are looked up as well: as many as a match may lack, and one more. Hits
 of a template whose places differ by about the same number are one candidate;
 there the template is aligned with the words of the text in a band around that
 difference, which allows for changed, missing and added words. The band grows
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nestfold.llm import text as T
 from nestfold.llm.base import query, table
+from nestfold.llm.quality_rules import STOP_WORDS
 from nestfold.llm.toxicity import _BREAKS
 from nestfold.session import ship_package
 
@@ -73,6 +76,7 @@ TEMPLATES = NOTICES | OPENINGS | _texts()
 SIZE, WINDOW = 3, 3  # words of a fingerprint, fingerprints of which one is kept
 BAND = 6  # words that may be missing or added, or a tenth of the template if that is more
 COVERAGE = 0.8
+SHORT = 16  # words; a few changed words may break all fingerprints of a shorter template
 MAX_FINGERPRINTS = 1_000_000
 _MATCHES = "id long, license string, begin_word int, end_word int, begin_char int, end_char int, matched int, coverage double"
 
@@ -110,6 +114,37 @@ def fingerprints(templates: Mapping[str, str]) -> tuple[list[str], list[np.ndarr
     return names, words, np.array(h, np.uint64), np.array(number), np.array(place)
 
 
+def telling_words(text: str, coverage: float = COVERAGE) -> list[int]:
+    """Places of words of which every match of the coverage has at least one: the longest that are no stop words first."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    _, starts, ends, _ = _hashes(data, np.array([0, len(data)]))
+    words = [text.encode()[a:b].decode().lower() for a, b in zip(starts.tolist(), ends.tolist())]
+    n_missing = int(len(words) - coverage * len(words) + 1e-9)  # words that a match may lack
+    return sorted(range(len(words)), key=lambda i: (words[i] in STOP_WORDS, -len(words[i]), i))[:n_missing + 1]
+
+
+def word_index(templates: Mapping[str, str], coverage: float = COVERAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The telling words of short templates: sorted hashes with template number and place."""
+    entries = []
+    for number, text in enumerate(templates.values()):
+        data = np.frombuffer(text.encode(), np.uint8)
+        h, _, _, _ = _hashes(data, np.array([0, len(data)]))
+        if len(h) < SHORT:
+            told = {int(h[i]) for i in telling_words(text, coverage)}
+            entries += [(int(x), number, i) for i, x in enumerate(h) if int(x) in told]
+    h, number, place = zip(*sorted(entries)) if entries else ((), (), ())
+    return np.array(h, np.uint64), np.array(number, np.int64), np.array(place, np.int64)
+
+
+def _found(values: np.ndarray, prints: np.ndarray, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, template, place in it) of all values that are in an index."""
+    low, high = np.searchsorted(prints, values), np.searchsorted(prints, values, "right")
+    hits = np.flatnonzero(high > low)
+    n = (high - low)[hits]
+    entry = np.repeat(low[hits] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.repeat(hits, n), number[entry], place[entry]
+
+
 def band_of(template: np.ndarray) -> int:
     return max(BAND, len(template) // 10)
 
@@ -202,24 +237,20 @@ def _matches(template: np.ndarray, own: np.ndarray, places: list[int], coverage:
     return kept
 
 
-def _scan(index, coverage: float):
+def _scan(index, telling, coverage: float):
     def run(batches):
-        names, templates, prints, number, place = index
+        names, templates, *prints = index
         for batch in batches:
             ids = batch.column(0)
             for row, data, offsets in T.chunks(T.column(batch, "text")):
                 h, starts, ends, words = _hashes(data, offsets)
-                grams = _windows(h)
-                at = np.searchsorted(prints, grams)
-                hits = np.flatnonzero(prints[np.minimum(at, len(prints) - 1)] == grams)
-                owner = np.searchsorted(words, hits, "right") - 1
-                inside = hits + SIZE <= words[owner + 1] if len(hits) else np.zeros(0, bool)
                 shifts: dict[tuple[int, int], set[int]] = {}
-                for g, doc in zip(hits[inside], owner[inside]):
-                    entry = int(at[g])
-                    while entry < len(prints) and prints[entry] == grams[g]:
-                        shifts.setdefault((int(doc), int(number[entry])), set()).add(int(g - words[doc] - place[entry]))
-                        entry += 1
+                for values, size, entries in ((_windows(h), SIZE, prints), (h, 1, telling)):
+                    hits, which, place = _found(values, *entries)
+                    owner = np.searchsorted(words, hits, "right") - 1
+                    inside = hits + size <= words[owner + 1]
+                    for doc, template, shift in zip(*(x[inside].tolist() for x in (owner, which, hits - words[owner] - place))):
+                        shifts.setdefault((doc, template), set()).add(shift)
                 kept: list[tuple] = []
                 for (doc, which), places in sorted(shifts.items()):
                     own = h[words[doc]:words[doc + 1]]
@@ -248,7 +279,7 @@ def scan(
     """A row per match: the license, its span in words and characters, matched words and their share."""
     ship_package(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(fingerprints(templates), coverage), _MATCHES)
+    return rows.mapInArrow(_scan(fingerprints(templates), word_index(templates, coverage), coverage), _MATCHES)
 
 
 @query("op7_license_scan")
