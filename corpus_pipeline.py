@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a similarity of 0.8 or more on 5-word shingles, the first stays."""
-    return keep_one(docs, size=5, percent=80)
+    """Of documents with a similarity of 0.8 or more on 2-word shingles, as the near-dedup query takes them, the first stays."""
+    return keep_one(docs, size=2, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
