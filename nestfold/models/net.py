@@ -2,27 +2,32 @@
 
 Data-parallel training over partitions. ``sync="average"`` lets every task take
 mini-batch steps on its own rows and averages the results once per epoch (one
-job per epoch); ``sync="gradient"`` takes one exact full-gradient step per job.
-All members of an ensemble share each pass over the data.
+job per epoch); ``sync="gradient"`` takes one exact full-gradient step per job;
+``sync="steps"`` takes synchronous mini-batch steps: a row's batch follows from its
+key, the tasks of a barrier stage exchange their gradients for every step, and the
+result does not depend on how the rows are partitioned. All members of an ensemble share each pass over the data.
 """
 
 from __future__ import annotations
 
+import base64
 import time
 from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from nestfold.models.passes import append_columns, batches_of, matrix, sum_over_rows
+from nestfold.session import ship_package
 
 VAR_FLOOR = 1e-6
 # Rows below which pretraining takes that many epochs; else 5.
 PRETRAIN_EPOCHS = ((10_000, 25), (100_000, 10))
 PRETRAIN_LAST = 5
 SMALLEST_BATCH = 32  # rows a task takes per step at least
+MAX_EXCHANGE = 64 << 20  # bytes that the tasks of a barrier stage send for one step
 
 
 def layer_widths(n_in: int, n_max: int, n_layers: int, n_out: int) -> list[int]:
@@ -199,6 +204,71 @@ def _average_pass(df, net, states, active, lr, decay, batch_size, epoch, steps,
     return body[:, :-2] / rows, body[:, -2] / body[:, -1], max(1, round(done / tasks))
 
 
+def _steps_pass(df, net, states, active, lr, decay, batch_size, epoch, steps, seed, features, target, key, shards):
+    """One epoch of synchronous steps; a task streams its rows in the order of their batches.
+
+    All tasks take the same steps with the same summed gradients, so each ends
+    with the same weights; the first one returns them.
+    """
+    import pyarrow as pa
+
+    n_batches = max(1, -(-df.count() // batch_size))
+    size = net.n_params
+    if shards * len(active) * (size + 1) * 11 > MAX_EXCHANGE:
+        raise ValueError("the gradients of all tasks are too large to exchange at every step")
+    drawn = F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(epoch)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    dealt = df.select(features, target, F.floor(drawn * n_batches).cast("int").alias("_batch")).repartition(shards).sortWithinPartitions("_batch")
+    shared = df.sparkSession.sparkContext.broadcast(states)
+
+    def task(stream):
+        context = BarrierTaskContext.get()
+        local = shared.value.copy()
+        losses, taken, at = np.zeros(len(local)), 0, 0
+        sums = np.zeros((len(local), size + 1))
+        rows = 0
+
+        def step():
+            nonlocal taken, rows
+            told = context.allGather(base64.b64encode(np.append(sums.ravel(), rows).tobytes()).decode())
+            total = sum(np.frombuffer(base64.b64decode(x)) for x in told)
+            n, body = total[-1], total[:-1].reshape(sums.shape)
+            if n:
+                taken += 1
+                for j in range(len(local)):
+                    w, m, v = local[j, :size], local[j, size:2 * size], local[j, 2 * size:]
+                    adamw(w, body[j, :size] / n, m, v, steps + taken, lr, decay)
+                losses[:] += body[:, size] / n
+            sums[:] = 0
+            rows = 0
+
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            x, y = matrix(batch.column(features)), batch.column(target).to_numpy(zero_copy_only=False)
+            number = batch.column("_batch").to_numpy()
+            for b in np.unique(number):
+                while at < b:
+                    step()
+                    at += 1
+                own = number == b
+                rows += int(own.sum())
+                for j in range(len(local)):
+                    loss, g = net.loss_and_gradient(local[j, :size], x[own], y[own])
+                    sums[j] += np.append(g, loss)
+        while at < n_batches:
+            step()
+            at += 1
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_pydict({
+                "state": pa.array([one.tobytes() for one in local], pa.binary()),
+                "loss": pa.array(losses / max(1, taken)), "steps": pa.array([taken] * len(local), pa.int64())})
+
+    ship_package(df.sparkSession)
+    got = dealt.mapInArrow(task, "state binary, loss double, steps long", barrier=True).collect()
+    shared.destroy()
+    return np.stack([np.frombuffer(r.state) for r in got]), np.array([r.loss for r in got]), int(got[0].steps)
+
+
 def _gradient_pass(df, net, states, active, features, target):
     size = net.n_params
     bc = df.sparkSession.sparkContext.broadcast(states[:, :size].copy())
@@ -238,7 +308,7 @@ def fit(
     train: DataFrame, net: Net, n_members: int = 1, lr: float = 1e-3, epochs: int = 50, batch_size: int = 512,
     patience: int | None = 10, delta: float = 0.0, decay: float = 0.01, seed: int = 73, sync: str = "average",
     validation: DataFrame | None = None, features: str = "features", target: str = "y",
-    start: np.ndarray | None = None,
+    start: np.ndarray | None = None, key: Sequence[str] | None = None, shards: int | None = None,
 ) -> Fitted:
     """Train ``n_members`` independently seeded networks on the same passes.
 
@@ -246,8 +316,13 @@ def fit(
     validation table, else on its training loss; its best parameters are kept.
     ``train`` should be a written or cached table, as each epoch reads it.
     ``batch_size`` counts the rows all tasks together take in one step.
+    Synchronous steps need the rows' ``key`` and take ``shards`` tasks at once,
+    by default as many as there are cores; with fewer free slots Spark ends the job with an error.
     """
     began = time.time()
+    if sync not in ("average", "gradient", "steps") or sync == "steps" and not key:
+        raise ValueError("sync is average, gradient, or steps with a key")
+    shards = shards or train.sparkSession.sparkContext.defaultParallelism
     local_batch = max(SMALLEST_BATCH, -(-batch_size // max(1, train.rdd.getNumPartitions())))
     size = net.n_params
     weights = np.stack([net.init(seed + i) for i in range(n_members)]) if start is None else start.copy()
@@ -262,6 +337,11 @@ def fit(
             new, loss, done = _average_pass(train, net, states[active], active, lr, decay, local_batch, epoch, steps, seed, features, target)
             states[active] = new
             steps += done
+        elif sync == "steps":
+            new, loss, done = _steps_pass(
+                train, net, states[active], active, lr, decay, batch_size, epoch, steps, seed, features, target, key, shards)
+            states[active] = new
+            steps += done
         else:
             grad, loss = _gradient_pass(train, net, states[active], active, features, target)
             steps += 1

@@ -140,6 +140,14 @@ def _(spark, d):
     return fitted.predict(rows, ["vec_id", "y"])
 
 
+@query("synchronous_network")
+def _(spark, d):
+    """A network trained by synchronous mini-batch steps, the same for any partitioning of the embeddings."""
+    rows = _arrays(spark, d)
+    fitted = net.fit(rows, net.mean_variance_net(64, 16, 2), n_members=2, lr=0.01, epochs=2, batch_size=256, sync="steps", key=["vec_id"], shards=2)
+    return fitted.predict(rows, ["vec_id", "y"])
+
+
 @query("full_gradient_network")
 def _(spark, d):
     rows = _arrays(spark, d)
