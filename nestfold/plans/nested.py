@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nestfold.functions import metrics
-from nestfold.models import boost, gp, net, trees
+from nestfold.models import boost, gp, net, trees, tuned
 from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
 from nestfold.plans import running
@@ -212,7 +212,9 @@ def _sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> gp.
     else:
         kernels = gp.candidate_kernels(kind, spread)
     mean = gp.fit_mean(train, params.get("mean_type", "constant"), target="t")
-    return gp.fit(train, points, kernels, mean, target="t")
+    model = gp.fit(train, points, kernels, mean, target="t")
+    steps = int(params.get("tuning_steps", 0))  # on the gradient of the bound, from the best of the candidates
+    return tuned.fit(train, model, steps, target="t")[0] if steps else model
 
 
 FAMILIES = {

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from nestfold.functions.kernels import kernel_column
-from nestfold.models import gp, hist, net, store
+from nestfold.models import gp, hist, net, store, tuned
 from nestfold.operators import space
 from nestfold.operators.encode import one_hot, one_hot_levels
 from nestfold.plans import nested, running
@@ -239,6 +239,14 @@ def _(spark, d):
     return model.predict(rows, ["vec_id", "y"])
 
 
+@query("tuned_gp")
+def _(spark, d):
+    """The bound of a GP while its length scales and points follow the gradient, from the best of fixed factors."""
+    rows = _arrays(spark, d)
+    _, bounds = tuned.fit(rows, _embedding_gp(rows), steps=5)
+    return spark.createDataFrame(list(enumerate(bounds)), "step int, bound double")
+
+
 @query("model_round_trip", "SELECT vec_id, true AS same FROM embeddings")
 def _(spark, d):
     rows = _arrays(spark, d)
