@@ -60,7 +60,7 @@ def test_near_dedup_keeps_the_first_of_each_group(tables):
     sets = {}
     for doc, text in before.items():
         words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
-        sets[doc] = {tuple(words[i:i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
+        sets[doc] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
     parent = {d: d for d in before}
 
     def root(d):
