@@ -316,7 +316,8 @@ def fit(
     validation table, else on its training loss; its best parameters are kept.
     ``train`` should be a written or cached table, as each epoch reads it.
     ``batch_size`` counts the rows all tasks together take in one step.
-    Synchronous steps need the rows' ``key`` and take ``shards`` tasks at once,
+    Synchronous steps need the rows' ``key``; each exchange takes Spark about a
+    second, so they suit large batches. They take ``shards`` tasks at once,
     by default as many as there are cores; with fewer free slots Spark ends the job with an error.
     """
     began = time.time()

@@ -81,15 +81,15 @@ SETTINGS = [
 @pytest.mark.parametrize("s", SETTINGS)
 def test_equals_the_plain_version(table, arrays, s, monkeypatch):
     x, y, ids, _ = arrays
-    fit = boost.Fit(s, F.lit(True), rounds=6)
+    fit = boost.Fit(s, F.lit(True), rounds=4)
     model = boost.fit_many(table, [fit], ["id"], 5, max_bins=16)[0]
-    trees, pred = plain_fit(model.bins.of(x), model.bins.sizes, y, ids, s, 6, 42)
-    assert [same(nested_tuples(a), b) for a, b in zip(model.trees, trees)] == [True] * 6
+    trees, pred = plain_fit(model.bins.of(x), model.bins.sizes, y, ids, s, 4, 42)
+    assert [same(nested_tuples(a), b) for a, b in zip(model.trees, trees)] == [True] * 4
     assert np.allclose(model.predict_arrays(x), pred)
     got = {r.id: r.pred_mean for r in model.predict(table, ["id"]).collect()}
     assert np.allclose([got[i] for i in range(500)], pred)
     # The same trees when nodes take several passes, sums are shuffled and predictions are stored between.
-    monkeypatch.setattr(boost, "NUMBERS", 200)
+    monkeypatch.setattr(boost, "NUMBERS", 400)
     monkeypatch.setattr(boost, "STORE_EVERY", 2)
     monkeypatch.setattr(passes, "DIRECT", 0)
     if s.max_depth <= 4:

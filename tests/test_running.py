@@ -61,16 +61,16 @@ def test_score_is_the_ensembles_mean_on_the_fold(rows):
 
 def test_patience_equals_the_replay(spark, rows):
     path = storage.fresh_path(spark, "search")
-    rules = running.Rules(epochs=12, patience=2, at_once=4)
+    rules = running.Rules(epochs=9, patience=2, at_once=6)
     trials = search(rows, rules, path)
     log = running.reports(spark, path)
     assert log.count() == sum(len(t.values) for t in trials)
     stops = {r.number: r for r in replay.early_stopping(log, rules.patience).collect()}
     for t in trials:
         assert t.state == "COMPLETE" and t.best == pytest.approx(stops[t.number].best_value)
-        assert stops[t.number].stop_pos == (None if t.step == 11 and t.stopper.bad < 2 else t.step)
-        assert t.max_epochs(rules) == (12 if t.step == 11 else max(1, t.step - 1))
-    assert any(t.step < 11 for t in trials)
+        assert stops[t.number].stop_pos == (None if t.step == 8 and t.stopper.bad < 2 else t.step)
+        assert t.max_epochs(rules) == (9 if t.step == 8 else max(1, t.step - 1))
+    assert any(t.step < 8 for t in trials)
 
 
 def test_time_equals_the_replay(spark, rows):
@@ -84,8 +84,8 @@ def test_time_equals_the_replay(spark, rows):
 
 def test_hyperband_equals_the_replay(spark, rows):
     path = storage.fresh_path(spark, "search")
-    rules = running.Rules(epochs=9, patience=50, pruner="hyperband", min_resource=1, factor=3, at_once=2)
-    configs = [{**c, "lr": c["lr"] / (1 + i // 6)} for i, c in enumerate(CONFIGS * 3)]
+    rules = running.Rules(epochs=9, patience=50, pruner="hyperband", min_resource=1, factor=3, at_once=9)
+    configs = [{**c, "lr": c["lr"] / (1 + i // 6)} for i, c in enumerate(CONFIGS * 2)]
     trials = search(rows, rules, path, configs)
     got = {r.number: r for r in replay.hyperband(running.reports(spark, path), 1, 9, 3).collect()}
     for t in trials:
@@ -143,7 +143,7 @@ def test_trial_log_of_networks_and_boosting(spark, rows):
         assert all(r.state == "COMPLETE" and 1 <= r.max_epochs <= 4 and 1 <= len(r.train_losses) <= 4 for r in log.values())
         assert all(r.value == pytest.approx(min(r.train_losses)) or r.value > 0 for r in log.values())
         assert all(r.datetime_start <= r.datetime_complete for r in log.values())
-    configs = [{"max_depth": 3, "learning_rate": 0.5, "reg_lambda": 0.1}, {"max_depth": 2, "learning_rate": 0.5, "reg_lambda": -1.0}]
+    configs = [{"max_depth": 3, "learning_rate": 0.5, "reg_lambda": 0.1, "n_estimators": 8}, {"max_depth": 2, "learning_rate": 0.5, "reg_lambda": -1.0}]
     for above in (0, 10**9):
         log = {r.number: r for r in nested.search(study, "XGB", 1, configs, holdout_above=above).collect()}
         assert log[0].value == pytest.approx(min(log[0].train_losses) ** (2 if above == 0 else 1))
