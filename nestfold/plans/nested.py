@@ -15,11 +15,10 @@ from typing import Any, Callable, Mapping, Sequence
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nestfold.functions import metrics
-from nestfold.models import boost, gp, net, trees, tuned
+from nestfold.models import boost, forest, gp, net, tuned
 from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
 from nestfold.plans import running
@@ -95,7 +94,7 @@ class Family:
     scale_y: bool = True
     learners: Callable[[Study, Mapping[str, Any], int], list[net.Learner]] | None = None  # set for families that a running search trains
     fit_runs: Callable[[Study, Mapping[int, Mapping[str, Any]]], dict[int, Predictor]] | None = None  # all outer runs in the same passes
-    altered: Callable[[Mapping[str, Any]], str | None] | None = None  # which settings run otherwise than given
+    fit_parts: Callable[[DataFrame, Study, Mapping[str, Any], Sequence[Column]], list[Predictor]] | None = None  # several parts of the rows at once
     budget: str | None = None  # the setting that the best trial's epochs or rounds go to
 
 
@@ -129,16 +128,31 @@ def unscaled(predictions: DataFrame, study: Study, family: Family, run: int) ->
 
 # -- families -----------------------------------------------------------------------
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.withColumn("vector", array_to_vector(F.col("features").cast("array<double>")))
+def fit_forest(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
+    return fit_forest_parts(train, study, params, [F.lit(True)])[0]
 
 
-def _tree_predictor(model) -> Predictor:
-    return lambda df, keep: model.transform(_vectors(df)).select(*keep, "pred_mean")
+def fit_forest_parts(train: DataFrame, study: Study, params: Mapping[str, Any], parts: Sequence[Column]) -> list[Predictor]:
+    """A forest for each condition on the rows, such as all but one inner fold, in the same passes."""
+    fits = [forest.Fit(forest.Settings.of(params), part) for part in parts]
+    return [m.predict for m in forest.fit_many(train, fits, study.key, len(study.features))]
 
 
-def fit_forest(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
-    return _tree_predictor(trees.forest(params, label="t").fit(_vectors(train)))
+def fit_forest_runs(study: Study, params_of_run: Mapping[int, Mapping[str, Any]]) -> dict[int, Predictor]:
+    """All outer runs on one binned table; predictions are in the scale of each run's target."""
+    fits = [forest.Fit(forest.Settings.of(params), F.col("outer_fold") != run, _target_scale(study, run)) for run, params in params_of_run.items()]
+    models = forest.fit_many(_plain_rows(study), fits, study.key, len(study.features), label="y")
+    return {run: m.predict for run, m in zip(params_of_run, models)}
+
+
+def _target_scale(study: Study, run: int) -> tuple[float, float]:
+    y = study.stats[run]["y"]
+    return 1 / y["range"], -y["min"] / y["range"]
+
+
+def _plain_rows(study: Study) -> DataFrame:
+    features = F.array(*[F.col(f"`{c}`").cast("float") for c in study.features])
+    return study.rows.select(*study.key, "outer_fold", features.alias("features"), "y")
 
 
 def fit_boosted(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
@@ -153,12 +167,9 @@ def fit_boosted_runs(study: Study, params_of_run: Mapping[int, Mapping[str, Any]
     """All outer runs on one binned table; each scales the target by its own training rows."""
     fits = []
     for run, params in params_of_run.items():
-        y = study.stats[run]["y"]
-        fits.append(boost.Fit(boost.Settings.of(params), F.col("outer_fold") != run, group=run, scale=(1 / y["range"], -y["min"] / y["range"]),
+        fits.append(boost.Fit(boost.Settings.of(params), F.col("outer_fold") != run, group=run, scale=_target_scale(study, run),
                               rounds=int(params.get("n_estimators", BOOST_ROUNDS["holdout"]))))
-    features = F.array(*[F.col(f"`{c}`").cast("float") for c in study.features])
-    rows = study.rows.select(*study.key, "outer_fold", features.alias("features"), "y")
-    models = boost.fit_many(rows, fits, study.key, len(study.features), label="y")
+    models = boost.fit_many(_plain_rows(study), fits, study.key, len(study.features), label="y")
     return {run: m.predict for run, m in zip(params_of_run, models)}
 
 
@@ -218,7 +229,7 @@ def _sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> gp.
 
 
 FAMILIES = {
-    "RF": Family(fit_forest, altered=trees.altered),
+    "RF": Family(fit_forest, fit_runs=fit_forest_runs, fit_parts=fit_forest_parts),
     "XGB": Family(fit_boosted, fit_runs=fit_boosted_runs, budget="n_estimators"),
     "DE": Family(fit_ensemble, scale_x="standard", scale_y=False, learners=ensemble_learners, budget="epochs"),
     "VDKL": Family(fit_deep_kernel, scale_x="minmax"),
@@ -256,10 +267,12 @@ class Outcome:
 
 def cv_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse) -> float:
     """Fit per inner fold, score the left-out fold, mean over folds."""
-    scores = []
-    for fold in range(1, study.k_inner + 1):
-        fitted = family.fit(train.filter(F.col("inner_fold") != fold), study, params)
-        scores.append(_metric_on(fitted, train.filter(F.col("inner_fold") == fold), metric))
+    folds = range(1, study.k_inner + 1)
+    if family.fit_parts:
+        models = family.fit_parts(train, study, params, [F.col("inner_fold") != fold for fold in folds])
+    else:
+        models = (family.fit(train.filter(F.col("inner_fold") != fold), study, params) for fold in folds)
+    scores = [_metric_on(fitted, train.filter(F.col("inner_fold") == fold), metric) for fold, fitted in zip(folds, models)]
     return sum(scores) / len(scores)
 
 
@@ -327,7 +340,6 @@ def search(
                 out = boosted_objective(study, train, config, strategy)
             else:
                 out = Outcome(float(objective(study, family, train, config, metric_fn)))
-                out.message = family.altered(config) if family.altered else None
         except REFUSED as e:
             out = Outcome(None, state="FAIL", message=f"{type(e).__name__}: {e}"[:500])
         out.began, out.ended = began, datetime.now(timezone.utc)
