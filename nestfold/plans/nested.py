@@ -13,12 +13,14 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any, Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nestfold.functions import metrics
-from nestfold.models import boost, forest, gp, net, tuned
+from nestfold.models import boost, forest, gp, joint, net, trees, tuned
 from nestfold.operators import scale, split
 from nestfold.operators.trials import best_trial
 from nestfold.plans import running
@@ -94,6 +96,7 @@ class Family:
     scale_y: bool = True
     learners: Callable[[Study, Mapping[str, Any], int], list[net.Learner]] | None = None  # set for families that a running search trains
     fit_runs: Callable[[Study, Mapping[int, Mapping[str, Any]]], dict[int, Predictor]] | None = None  # all outer runs in the same passes
+    altered: Callable[[Mapping[str, Any]], str | None] | None = None  # which settings run otherwise than given
     fit_parts: Callable[[DataFrame, Study, Mapping[str, Any], Sequence[Column]], list[Predictor]] | None = None  # several parts of the rows at once
     budget: str | None = None  # the setting that the best trial's epochs or rounds go to
 
@@ -128,7 +131,19 @@ def unscaled(predictions: DataFrame, study: Study, family: Family, run: int) ->
 
 # -- families -----------------------------------------------------------------------
 
+def _vectors(df: DataFrame) -> DataFrame:
+    return df.withColumn("vector", array_to_vector(F.col("features").cast("array<double>")))
+
+
+def _tree_predictor(model) -> Predictor:
+    return lambda df, keep: model.transform(_vectors(df)).select(*keep, "pred_mean")
+
+
 def fit_forest(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
+    return _tree_predictor(trees.forest(params, label="t").fit(_vectors(train)))
+
+
+def fit_grown_forest(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
     return fit_forest_parts(train, study, params, [F.lit(True)])[0]
 
 
@@ -191,8 +206,8 @@ def ensemble_learners(study: Study, params: Mapping[str, Any], fold: int) -> lis
 def fit_deep_kernel(train: DataFrame, study: Study, params: Mapping[str, Any]) -> Predictor:
     """Extractor, its outputs scaled into (0, 1), then a sparse GP on them.
 
-    Two stages instead of joint training: the extractor is pretrained on the
-    target, the GP is then fitted in closed form.
+    The extractor is pretrained on the target, the GP is then fitted in closed
+    form; with ``joint_steps``, both then follow the gradient of the bound together, with a constant mean.
     """
     extractor = net.pretrain_extractor(
         train, len(study.features), int(params["n_max"]), int(params["n_layers"]), int(params["n_out"]),
@@ -203,7 +218,11 @@ def fit_deep_kernel(train: DataFrame, study: Study, params: Mapping[str, Any]) -
     bounds = scale.array_bounds(learned, "features").collect()[0]
     lo, hi = F.lit(list(bounds.lo)), F.lit(list(bounds.hi))
     inside = lambda df: df.withColumn("features", scale.scale_to_bounds(F.col("features"), lo, hi))
-    model = _sparse_gp(inside(learned), study, params)
+    steps = int(params.get("joint_steps", 0))
+    model = _sparse_gp(inside(learned), study, {**params, "mean_type": "constant"} if steps else params)
+    if steps:
+        trained, _ = joint.fit(train, *joint.extractor_of(extractor, np.array(bounds.lo), np.array(bounds.hi)), model, steps, target="t")
+        return trained.predict
     return lambda df, keep: model.predict(inside(extractor.transform(df, keep)), keep)
 
 
@@ -229,7 +248,8 @@ def _sparse_gp(train: DataFrame, study: Study, params: Mapping[str, Any]) -> gp.
 
 
 FAMILIES = {
-    "RF": Family(fit_forest, fit_runs=fit_forest_runs, fit_parts=fit_forest_parts),
+    "RF": Family(fit_forest, altered=trees.altered),
+    "GRF": Family(fit_grown_forest, fit_runs=fit_forest_runs, fit_parts=fit_forest_parts),
     "XGB": Family(fit_boosted, fit_runs=fit_boosted_runs, budget="n_estimators"),
     "DE": Family(fit_ensemble, scale_x="standard", scale_y=False, learners=ensemble_learners, budget="epochs"),
     "VDKL": Family(fit_deep_kernel, scale_x="minmax"),
@@ -340,6 +360,7 @@ def search(
                 out = boosted_objective(study, train, config, strategy)
             else:
                 out = Outcome(float(objective(study, family, train, config, metric_fn)))
+                out.message = family.altered(config) if family.altered else None
         except REFUSED as e:
             out = Outcome(None, state="FAIL", message=f"{type(e).__name__}: {e}"[:500])
         out.began, out.ended = began, datetime.now(timezone.utc)

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from nestfold.functions.kernels import kernel_column
-from nestfold.models import gp, hist, net, store, tuned
-from nestfold.operators import space
+from nestfold.models import gp, hist, joint, net, store, tuned
+from nestfold.operators import scale, space
 from nestfold.operators.encode import one_hot, one_hot_levels
 from nestfold.plans import nested, running
 from nestfold.queries.base import encoded_policies, query, r, table
@@ -45,6 +45,12 @@ def _(spark, d):
     return _outer_scores(spark, d, "RF", FOREST)
 
 
+@query("grown_forest_outer_scores")
+def _(spark, d):
+    """Forests with depths and split sizes beyond what MLlib runs, all outer runs in the same passes."""
+    return _outer_scores(spark, d, "GRF", {**FOREST, "max_depth": 100, "min_samples_split": 5, "max_features": "sqrt"})
+
+
 @query("boosted_outer_scores")
 def _(spark, d):
     return _outer_scores(spark, d, "XGB", BOOSTED)
@@ -258,6 +264,21 @@ def _(spark, d):
     return before.join(after, "vec_id").select("vec_id", ((F.abs(F.col("pred_mean") - F.col("m")) < 1e-9) & (F.abs(F.col("pred_var") - F.col("v")) < 1e-9)).alias("same"))
 
 
+@query("joint_deep_kernel")
+def _(spark, d):
+    """The bound of a deep kernel on all parts, from two stages (step 0) on through joint steps."""
+    study = part_study(spark, d)
+    rows = storage.materialize(nested.scaled(study, nested.FAMILIES["VDKL"], 1).select(*study.key, "features", "t"), "parts")
+    fitted = net.pretrain_extractor(rows, len(study.features), 16, 3, 2, epochs=3, target="t")
+    edges = scale.array_bounds(fitted.transform(rows, ["t"]), "features").collect()[0]
+    extractor, params = joint.extractor_of(fitted, np.array(edges.lo), np.array(edges.hi))
+    inside = storage.materialize(joint._features(rows, extractor, params, [*study.key, "t"], "features"), "learned")
+    kernels = gp.candidate_kernels("rbf", gp.feature_spread(inside))
+    start = gp.fit(inside, gp.random_points(inside, study.key, 20), kernels, gp.fit_mean(inside, target="t"), target="t")
+    _, bounds = joint.fit(rows, extractor, params, start, steps=4, target="t")
+    return spark.createDataFrame(list(enumerate(bounds)), "step int, bound double")
+
+
 # -- searches and nested runs -----------------------------------------------------------
 
 SEARCH_TRIALS = 2  # configurations of a search, drawn from the whole space and run as drawn
@@ -270,19 +291,19 @@ def _forest_configs(spark, holdout=False) -> list[dict]:
 
 @query("cv_search")
 def _(spark, d):
-    log = nested.search(part_study(spark, d), "RF", 1, _forest_configs(spark), holdout_above=10**12)
+    log = nested.search(part_study(spark, d), "GRF", 1, _forest_configs(spark), holdout_above=10**12)
     return log.select("outer_cv_split", "number", "value", "metric", "state")
 
 
 @query("holdout_search")
 def _(spark, d):
-    log = nested.search(part_study(spark, d), "RF", 1, _forest_configs(spark, holdout=True), holdout_above=0)
+    log = nested.search(part_study(spark, d), "GRF", 1, _forest_configs(spark, holdout=True), holdout_above=0)
     return log.select("outer_cv_split", "number", "value", "metric", "state")
 
 
 @query("nested_study")
 def _(spark, d):
-    _, rows = nested.nested_study(part_study(spark, d), "RF", _forest_configs(spark))
+    _, rows = nested.nested_study(part_study(spark, d), "GRF", _forest_configs(spark))
     return rows.drop("params")
 
 

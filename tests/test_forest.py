@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestfold.models import forest, passes
+from nestfold.plans import nested
 from nestfold.sources.storage import materialize
 
 N = 600
@@ -133,3 +134,14 @@ def test_odd_tables(spark, monkeypatch):
     many = spark.range(300).select("id", F.array(F.col("id").cast("double")).alias("features"), F.col("id").cast("double").alias("t"))
     with pytest.raises(ValueError, match="leaves"):
         forest.fit_many(many, [forest.Fit(forest.Settings(n_estimators=1), F.lit(True))], ["id"], 1, local_rows=0)
+
+
+def test_studies_run_the_settings_as_drawn(spark):
+    df = spark.range(300).select("id", ((F.col("id") * 37 % 300) / 300).alias("a"), ((F.col("id") * 61 % 300) / 300).alias("b"))
+    df = df.withColumn("y", F.sin(6 * F.col("a")) + F.col("b"))
+    study = nested.prepare(df, ["id"], ["a", "b"], "curve", k_outer=3, k_inner=2)
+    configs = [{"n_estimators": 8, "max_depth": 80, "min_samples_split": 3, "min_samples_leaf": 2, "max_features": "auto"}, {"n_estimators": 2, "max_depth": 0}]
+    log = nested.search(study, "GRF", 1, configs, holdout_above=10**9).orderBy("number").collect()
+    assert [r.message for r in log] == [None, None] and log[0].value < 0.1 * log[1].value
+    rows, predictions = nested.evaluate(study, "GRF", {run: configs[0] for run in (1, 2, 3)})
+    assert predictions.count() == 300 and all(r.mse < 0.05 for r in rows.collect())
