@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nestfold.functions import metrics
+from nestfold.functions import merged, metrics
 from nestfold.operators import mixture, scale, split
 from nestfold.queries.base import (
     COMPONENTS_SQL, POLICY_SQL, REPORTS_SQL, TRIALS_SQL, components, policies, query, r, reports, table, trial_log,
 )
+from nestfold.sources.storage import materialize
 
 
 def fold_mean_predictions(spark, d) -> DataFrame:
@@ -108,6 +109,18 @@ def _(spark, d):
     return s.select("fold", r("relative_error").alias("relative_error"))
 
 
+@query("merged_metric", PRED_SQL + "SELECT fold, round(1 - avg(pow(c_acctbal / 10 - y, 2)) / var_pop(y), 6) AS r_squared FROM pred GROUP BY fold")
+def _(spark, d):
+    p = fold_mean_predictions(spark, d).withColumn("pred_mean", F.col("c_acctbal") / 10)
+    return merged.score(p, ["fold"], {"r_squared": merged.r_squared()}).select("fold", r("r_squared").alias("r_squared"))
+
+
+@query("median_error", PRED_SQL + "SELECT fold, round(median(abs(pred_mean - y)), 6) AS median_error FROM pred GROUP BY fold")
+def _(spark, d):
+    rows = materialize(fold_mean_predictions(spark, d).select("fold", "pred_mean", "y"), "errors")  # several passes read them
+    return merged.exact_median_error(rows, ["fold"]).select("fold", r("median_error").alias("median_error"))
+
+
 # -- mixtures --------------------------------------------------------------------
 
 def _moments(df: DataFrame) -> DataFrame:
