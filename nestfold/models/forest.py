@@ -189,7 +189,7 @@ def choose(key: np.ndarray, sums: np.ndarray, totals: np.ndarray, bins: Bins, pa
 
 def _cells(key: np.ndarray, n: int, stats: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys below ``n`` in order, and the sums of the entries that have them."""
-    if n <= 4 * len(key) + 1_000_000:
+    if n <= 4 * len(key) + 10_000:
         counts = np.bincount(key, minlength=n)
         at = np.flatnonzero(counts)
         return at, np.stack([np.bincount(key, s, n)[at] for s in stats] + [counts[at].astype(float)], axis=1)
