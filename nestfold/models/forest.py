@@ -3,8 +3,9 @@
 All trees of all fits grow at once. While a node has many rows, a level is one
 pass of sums per (node, feature, bin), as in boosting. A node whose rows fit
 into a task (``LOCAL_ROWS``, fewer if rows are wide) is finished there: one
-shuffle by (fit, tree, node) brings its rows together, and the subtree comes
-back. So the number of passes follows from the rows over ``LOCAL_ROWS``, not
+shuffle by (fit, tree, node) brings its rows together, and the subtree is
+written. Subtrees never come to the driver unless the forest is small; rows to be predicted
+go where the subtrees are. So the number of passes follows from the rows over ``LOCAL_ROWS``, not
 from the depth, and depths of 100 and leaves of one row are grown as asked.
 
 Bootstrap counts are Poisson(1) numbers from a hash of the row's key and the
@@ -26,18 +27,22 @@ from typing import Any, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nestfold.models.boost import MAX_FITS, NUMBERS, uniform
 from nestfold.models.hist import MAX_BINS, MAX_LEAVES, Bins, binned, bins_of, nodes_of, quantile_cuts
 from nestfold.models.passes import append_columns, sum_over_rows
-from nestfold.sources.storage import materialize
+from nestfold.sources.storage import fresh_path, materialize
 
 LOCAL_ROWS = 500_000  # of a node that one task finishes
 LOCAL_BYTES = 128 << 20  # of such a node's rows
 CHUNK = 100_000  # rows that a task deals to nodes at once
 TREES_AT_ONCE = 64  # trees whose rows are shuffled in one job
 ROUNDING = 1e-10  # share of a node's score that a split must gain
+HELD_NODES = 500_000  # of a forest that goes whole to the driver and the tasks that predict; larger ones are met by their rows
+SCORED_ROWS = 10_000  # rows of a chunk that a larger forest predicts
+PARTS = "fit int, tree int, node int, a binary, b binary, c binary, d binary"  # subtrees, packed
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
 Packed = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # feature (-1: a leaf), bin, left child, value
@@ -82,15 +87,33 @@ class Fit:
 
 @dataclass
 class Forest:
-    """Trees over binned features; a prediction is the average of their leaves."""
+    """Trees over binned features; a prediction is the average of their leaves.
+
+    The driver has the upper levels (``tops``) only. Subtrees below them stay in a written
+    table, as there are as many of their nodes as training rows and trees.
+    """
 
     bins: Bins
-    trees: list[Packed] = field(default_factory=list)
+    tops: list[Packed]
+    scale: tuple[float, float, float]  # a, b and the middle: a tree's value v predicts a * (v + middle) + b
+    parts: DataFrame | None = None  # (tree, node, a, b, c, d): the subtree that takes the place of a top's leaf
+    n_nodes: int = 0
+
+    @property
+    def trees(self) -> list[Packed]:
+        """Whole trees, in the scale of the predictions, for forests that fit into the driver."""
+        found: dict[int, dict[int, Packed]] = {}
+        for r in self.parts.collect() if self.parts is not None else ():
+            found.setdefault(r.tree, {})[r.node] = _unpacked(r.a, r.b, r.c, r.d)
+        whole = [_graft(top, found.get(i, {})) for i, top in enumerate(self.tops)]
+        return [(*tree[:3], _scaled(tree[3], self.scale)) for tree in whole]
 
     def predict_arrays(self, x: np.ndarray) -> np.ndarray:
         return _average(self.trees, self.bins.of(x))
 
     def predict(self, df: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:
+        if self.n_nodes > HELD_NODES:
+            return self._predict_by_parts(df, keep, features)
         shared = df.sparkSession.sparkContext.broadcast((self.bins, self.trees))
 
         def compute(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -99,6 +122,108 @@ class Forest:
 
         return append_columns(df, features, keep, compute, "pred_mean double")
 
+    def _predict_by_parts(self, df: DataFrame, keep: Sequence[str], features: str) -> DataFrame:
+        """Rows go to the subtrees they reach in each tree, and the leaves' values come back to be averaged.
+
+        Rows travel as packed blocks of a written chunk; a task holds one subtree and one
+        block at a time, or one chunk's values.
+        """
+        width, n_trees, scale = len(self.bins.cuts), len(self.tops), self.scale
+        chunk, place, packed = (_free(n, keep) for n in ("_chunk", "_at", "_bins"))
+        rows = materialize(_chunked(binned(df, self.bins, keep, features), keep, chunk, place, packed), "scored")
+        shared = df.sparkSession.sparkContext.broadcast(self.tops)
+
+        def route(stream):
+            for batch in stream:
+                if not batch.num_rows:
+                    continue
+                binned_rows = bins_of(batch.column(packed), width)
+                of, at = batch.column(chunk).to_numpy(), batch.column(place).to_numpy()
+                for tree, top in enumerate(shared.value):
+                    node = nodes_of(top, binned_rows)
+                    order = np.lexsort((of, node))
+                    edges = np.flatnonzero((np.diff(node[order]) != 0) | (np.diff(of[order]) != 0)) + 1
+                    blocks = np.split(order, edges)
+                    yield pa.record_batch([
+                        pa.array([tree] * len(blocks), pa.int32()), pa.array([node[u[0]] for u in blocks], pa.int32()),
+                        pa.array([of[u[0]] for u in blocks], pa.int64()),
+                        *[pa.array([a[u].tobytes() for u in blocks], pa.binary()) for a in (at, binned_rows)]],
+                        ["tree", "node", "chunk", "at", "bins"])
+
+        def apply(stream):
+            key, part = None, None
+            for batch in stream:
+                tree, node, chunks = (batch.column(c).to_pylist() for c in ("tree", "node", "chunk"))
+                sub, at, bins = ([batch.column(c) for c in names] for names in (("a", "b", "c", "d"), ("at",), ("bins",)))
+                made = []
+                for i in range(batch.num_rows):
+                    if key != (tree[i], node[i]):
+                        key, part = (tree[i], node[i]), None
+                    if chunks[i] is None:  # sorted before the blocks
+                        part = _unpacked(*(c[i].as_buffer() for c in sub))
+                        continue
+                    block = np.frombuffer(bins[0][i].as_buffer(), np.uint8).reshape(-1, width)
+                    top = shared.value[tree[i]]
+                    value = np.full(len(block), top[3][node[i]]) if part is None else part[3][nodes_of(part, block)]
+                    made.append((tree[i], chunks[i], at[0][i], _scaled(value, scale).tobytes()))
+                if made:
+                    yield pa.record_batch([
+                        pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.int64()),
+                        pa.array([m[2].as_py() for m in made], pa.binary()), pa.array([m[3] for m in made], pa.binary())],
+                        ["tree", "chunk", "at", "value"])
+
+        def add(group: pa.Table) -> pa.Table:
+            group = group.sort_by("tree")  # so that sums do not depend on how blocks arrive
+            at = [np.frombuffer(v.as_buffer(), np.int32) for v in group.column("at")]
+            out = np.zeros(max(int(a.max()) for a in at) + 1)
+            for places, value in zip(at, group.column("value")):
+                out[places] += np.frombuffer(value.as_buffer(), np.float64)
+            return pa.table({chunk: pa.array([group.column("chunk")[0].as_py()] * len(out), pa.int64()),
+                             place: pa.array(np.arange(len(out)), pa.int32()), "pred_mean": pa.array(out / n_trees)})
+
+        blocks = rows.select(chunk, place, packed).mapInArrow(route, "tree int, node int, chunk long, at binary, bins binary")
+        if self.parts is not None:
+            blocks = self.parts.unionByName(blocks, allowMissingColumns=True)
+        else:
+            blocks = blocks.select("*", *[F.lit(None).cast("binary").alias(c) for c in "abcd"])
+        spark = df.sparkSession
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        met = blocks.repartition(n, "tree", "node").sortWithinPartitions("tree", "node", F.col("chunk").asc_nulls_first())
+        values = met.mapInArrow(apply, "tree int, chunk long, at binary, value binary")
+        scored = values.groupBy("chunk").applyInArrow(add, f"`{chunk}` long, `{place}` int, pred_mean double")
+        return rows.drop(packed).join(scored, [chunk, place]).select(*keep, "pred_mean")
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _chunked(rows: DataFrame, keep: Sequence[str], chunk: str, place: str, packed: str) -> DataFrame:
+    """Binned rows with the number of the chunk they are in, and their place there."""
+    def task(stream):
+        first = TaskContext.get().partitionId() << 32
+        for batch in stream:
+            for start in range(0, batch.num_rows, SCORED_ROWS):
+                some = batch.slice(start, SCORED_ROWS)
+                yield pa.record_batch(
+                    [*[some.column(k) for k in keep], some.column("bins"), pa.array(np.full(some.num_rows, first), pa.int64()),
+                     pa.array(np.arange(some.num_rows), pa.int32())], [*keep, packed, chunk, place])
+                first += 1
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    return rows.mapInArrow(task, f"{types}{', ' if types else ''}`{packed}` binary, `{chunk}` long, `{place}` int")
+
+
+def _unpacked(a, b, c, d) -> Packed:
+    return (*(np.frombuffer(v, np.int32) for v in (a, b, c)), np.frombuffer(d, np.float64))
+
+
+def _scaled(value: np.ndarray, scale: tuple[float, float, float]) -> np.ndarray:
+    a, b, middle = scale
+    return a * (value + middle) + b
+
 
 def _average(trees: Sequence[Packed], rows: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows))
@@ -248,6 +373,8 @@ class _Growing:
 
     def split(self, node: int, feature: int, bin_: int, sums: np.ndarray) -> tuple[int, int]:
         first = len(self.feature)
+        if first > 2 * MAX_LEAVES:
+            raise ValueError(f"the upper levels of a tree have more than {MAX_LEAVES} leaves: raise local_rows, min_samples_leaf or lower max_depth")
         self.feature[node], self.bin[node], self.left[node] = feature, bin_, first
         for path, part in zip(np.split(child_paths(self.path[node]), 2), sums):
             for column, v in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.value, part[0] / part[1]), (self.depth, self.depth[node] + 1), (self.path, path)):
@@ -268,8 +395,6 @@ def _graft(top: Packed, parts: Mapping[int, Packed]) -> Packed:
             column[0][node] = own[0]
             column.append(own[1:])
         size += len(sub[0]) - 1
-    if size > 2 * MAX_LEAVES:
-        raise ValueError(f"a tree has more than {MAX_LEAVES} leaves: raise min_samples_leaf or lower max_depth")
     feature, bin_, left, value = (np.concatenate(c) for c in columns)
     return feature, bin_, left.astype(np.int32), value
 
@@ -321,8 +446,8 @@ def _level_pass(rows: DataFrame, bins: Bins, trees: Mapping[tuple[int, int], Pac
 
 
 def _finish(rows: DataFrame, bins: Bins, fits: Sequence[Fit], tops: Mapping[tuple[int, int], _Growing],
-            nodes: Sequence[tuple[int, int, int]], seed: int) -> dict[tuple[int, int], dict[int, Packed]]:
-    """Subtrees below ``nodes``, each from one task that gets all of the node's rows."""
+            nodes: Sequence[tuple[int, int, int]], seed: int) -> str:
+    """Subtrees below ``nodes``, each from one task that gets all of the node's rows; gives the path they are written to."""
     width = len(bins.cuts)
     wanted: dict[tuple[int, int], list[int]] = {}
     for fit, tree, node in nodes:
@@ -364,13 +489,10 @@ def _finish(rows: DataFrame, bins: Bins, fits: Sequence[Fit], tops: Mapping[tupl
         deal, "fit int, tree int, node int, ids binary, label binary, weight binary, bins binary")
     # A given number of partitions keeps small inputs of long work apart.
     n = min(len(nodes), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-    made = dealt.repartition(n, "fit", "tree", "node").groupBy("fit", "tree", "node").applyInArrow(
-        one, "fit int, tree int, node int, a binary, b binary, c binary, d binary").collect()
+    path = fresh_path(spark, "subtrees")
+    dealt.repartition(n, "fit", "tree", "node").groupBy("fit", "tree", "node").applyInArrow(one, PARTS).write.parquet(path)
     shared.destroy()
-    out: dict[tuple[int, int], dict[int, Packed]] = {}
-    for r in made:
-        out.setdefault((r.fit, r.tree), {})[r.node] = (*(np.frombuffer(v, np.int32) for v in (r.a, r.b, r.c)), np.frombuffer(r.d, np.float64))
-    return out
+    return path
 
 
 def fit_many(df: DataFrame, fits: Sequence[Fit], key: Sequence[str], n_features: int, seed: int = 73, features: str = "features",
@@ -415,14 +537,16 @@ def fit_many(df: DataFrame, fits: Sequence[Fit], key: Sequence[str], n_features:
                 if fits[i].settings.open(part[2], tree.depth[child]):
                     (small if part[2] <= local else large).append((i, t, child))
         large.sort()
-    done: dict[tuple[int, int], dict[int, Packed]] = {}
     pairs = sorted({n[:2] for n in small})
+    paths = []
     for first in range(0, len(pairs), TREES_AT_ONCE):
         some = set(pairs[first:first + TREES_AT_ONCE])
-        done |= _finish(rows, bins, fits, tops, [n for n in small if n[:2] in some], seed)
+        paths.append(_finish(rows, bins, fits, tops, [n for n in small if n[:2] in some], seed))
+    parts = df.sparkSession.read.schema(PARTS).parquet(*paths) if paths else None
+    below = {} if parts is None else {r.fit: r.n for r in parts.groupBy("fit").agg(F.sum(F.octet_length("d") / 8).cast("long").alias("n")).collect()}
     out = []
     for i, f in enumerate(fits):
-        a, b = f.scale
-        made = [_graft(tops[i, t].packed(), done.get((i, t), {})) for t in range(f.settings.n_estimators)]
-        out.append(Forest(bins, [(*tree[:3], a * (tree[3] + middle) + b) for tree in made]))
+        own_tops = [tops[i, t].packed() for t in range(f.settings.n_estimators)]
+        own_parts = None if i not in below else parts.filter(F.col("fit") == i).drop("fit")
+        out.append(Forest(bins, own_tops, (*f.scale, middle), own_parts, below.get(i, 0) + sum(len(t[0]) for t in own_tops)))
     return out

@@ -145,3 +145,19 @@ def test_studies_run_the_settings_as_drawn(spark):
     assert [r.message for r in log] == [None, None] and log[0].value < 0.1 * log[1].value
     rows, predictions = nested.evaluate(study, "GRF", {run: configs[0] for run in (1, 2, 3)})
     assert predictions.count() == 300 and all(r.mse < 0.05 for r in rows.collect())
+
+
+@pytest.mark.parametrize("local", [10**6, 40])
+def test_large_forests_predict_without_passing_through_the_driver(spark, table, arrays, local, monkeypatch):
+    x, y, _, _ = arrays
+    monkeypatch.setattr(forest, "SCORED_ROWS", 7)
+    fits = [forest.Fit(forest.Settings(n_estimators=5, min_samples_leaf=2), F.col("fold") != 1, (0.5, -500.0)), forest.Fit(forest.Settings(n_estimators=2, max_depth=0), F.lit(True))]
+    models = forest.fit_many(table, fits, ["id"], x.shape[1], local_rows=local)
+    whole = [{r.id: r.pred_mean for r in m.predict(table, ["id"]).collect()} for m in models]
+    monkeypatch.setattr(forest, "HELD_NODES", 0)
+    monkeypatch.setattr(forest.Forest, "trees", property(lambda self: pytest.fail("the trees came to the driver")))
+    twice = table.unionByName(table).withColumn("_at", F.lit(None).cast("string"))
+    for m, known in zip(models, whole):
+        got = m.predict(twice, ["id", "_at"]).collect()
+        assert len(got) == 2 * N and all(r.pred_mean == known[r.id] and r["_at"] is None for r in got)
+    assert models[0].predict(table.limit(0), ["id"]).count() == 0
