@@ -4,8 +4,9 @@ Data-parallel training over partitions. ``sync="average"`` lets every task take
 mini-batch steps on its own rows and averages the results once per epoch (one
 job per epoch); ``sync="gradient"`` takes one exact full-gradient step per job;
 ``sync="steps"`` takes synchronous mini-batch steps: a row's batch follows from its
-key, the tasks of a barrier stage exchange their gradients for every step, and the
-result does not depend on how the rows are partitioned. All members of an ensemble share each pass over the data.
+key, and the result does not depend on how the rows are partitioned. The tasks of a barrier
+stage share a large batch and exchange their gradients for every step; small batches each
+lie in one task, and the tasks hand the weights on, one message for all the batches of a task. All members of an ensemble share each pass over the data.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ VAR_FLOOR = 1e-6
 PRETRAIN_EPOCHS = ((10_000, 25), (100_000, 10))
 PRETRAIN_LAST = 5
 SMALLEST_BATCH = 32  # rows a task takes per step at least
+SHARED_BATCH = 100_000  # rows of a batch that tasks share; computing a smaller one's gradient takes less than an exchange
 MAX_EXCHANGE = 64 << 20  # bytes that the tasks of a barrier stage send for one step
 
 
@@ -207,17 +209,24 @@ def _average_pass(df, net, states, active, lr, decay, batch_size, epoch, steps,
 def _steps_pass(df, net, states, active, lr, decay, batch_size, epoch, steps, seed, features, target, key, shards):
     """One epoch of synchronous steps; a task streams its rows in the order of their batches.
 
-    All tasks take the same steps with the same summed gradients, so each ends
-    with the same weights; the first one returns them.
+    Tasks that share batches take the same steps with the same summed gradients, so each ends
+    with the same weights. Tasks that own batches take their steps in turn, each from the
+    weights that the one before sent. The last of the stage's tasks returns them.
     """
     import pyarrow as pa
 
     n_batches = max(1, -(-df.count() // batch_size))
     size = net.n_params
-    if shards * len(active) * (size + 1) * 11 > MAX_EXCHANGE:
+    if shards * len(active) * (size + 1) * 11 > MAX_EXCHANGE or len(active) * (3 * size + 2) * 11 > MAX_EXCHANGE:
         raise ValueError("the gradients of all tasks are too large to exchange at every step")
     drawn = F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(epoch)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    dealt = df.select(features, target, F.floor(drawn * n_batches).cast("int").alias("_batch")).repartition(shards).sortWithinPartitions("_batch")
+    dealt = df.select(features, target, F.floor(drawn * n_batches).cast("int").alias("_batch"))
+    shared_batches = batch_size >= SHARED_BATCH
+    if shared_batches:
+        dealt = dealt.repartition(shards)
+    else:  # consecutive batches to each task
+        dealt = dealt.repartitionById(shards, F.floor(F.col("_batch") * F.lit(shards) / F.lit(n_batches)).cast("int"))
+    dealt = dealt.sortWithinPartitions("_batch")
     shared = df.sparkSession.sparkContext.broadcast(states)
 
     def task(stream):
@@ -227,10 +236,13 @@ def _steps_pass(df, net, states, active, lr, decay, batch_size, epoch, steps, se
         sums = np.zeros((len(local), size + 1))
         rows = 0
 
+        def told(numbers):
+            return [np.frombuffer(base64.b64decode(x)) for x in context.allGather(base64.b64encode(numbers.tobytes()).decode())]
+
         def step():
             nonlocal taken, rows
-            told = context.allGather(base64.b64encode(np.append(sums.ravel(), rows).tobytes()).decode())
-            total = sum(np.frombuffer(base64.b64decode(x)) for x in told)
+            own = np.append(sums.ravel(), rows)
+            total = sum(told(own)) if shared_batches else own
             n, body = total[-1], total[:-1].reshape(sums.shape)
             if n:
                 taken += 1
@@ -241,24 +253,31 @@ def _steps_pass(df, net, states, active, lr, decay, batch_size, epoch, steps, se
             sums[:] = 0
             rows = 0
 
-        for batch in stream:
-            if not batch.num_rows:
-                continue
-            x, y = matrix(batch.column(features)), batch.column(target).to_numpy(zero_copy_only=False)
-            number = batch.column("_batch").to_numpy()
-            for b in np.unique(number):
-                while at < b:
+        part, n_tasks = context.partitionId(), len(context.getTaskInfos())
+        turns = 1 if shared_batches else n_tasks
+        for turn in range(turns):
+            if shared_batches or turn == part:
+                for batch in stream:
+                    if not batch.num_rows:
+                        continue
+                    x, y = matrix(batch.column(features)), batch.column(target).to_numpy(zero_copy_only=False)
+                    number = batch.column("_batch").to_numpy()
+                    for b in np.unique(number):
+                        while at < b:
+                            step()
+                            at += 1
+                        own = number == b
+                        rows += int(own.sum())
+                        for j in range(len(local)):
+                            loss, g = net.loss_and_gradient(local[j, :size], x[own], y[own])
+                            sums[j] += np.append(g, loss)
+                while at < n_batches:  # a step without rows changes nothing
                     step()
                     at += 1
-                own = number == b
-                rows += int(own.sum())
-                for j in range(len(local)):
-                    loss, g = net.loss_and_gradient(local[j, :size], x[own], y[own])
-                    sums[j] += np.append(g, loss)
-        while at < n_batches:
-            step()
-            at += 1
-        if context.partitionId() == 0:
+            if turn + 1 < turns:
+                given = told(np.concatenate([local.ravel(), losses, [taken]]) if turn == part else np.zeros(0))[turn]
+                local[:], losses[:], taken = given[:local.size].reshape(local.shape), given[local.size:-1], int(given[-1])
+        if part == n_tasks - 1:
             yield pa.RecordBatch.from_pydict({
                 "state": pa.array([one.tobytes() for one in local], pa.binary()),
                 "loss": pa.array(losses / max(1, taken)), "steps": pa.array([taken] * len(local), pa.int64())})
@@ -316,8 +335,8 @@ def fit(
     validation table, else on its training loss; its best parameters are kept.
     ``train`` should be a written or cached table, as each epoch reads it.
     ``batch_size`` counts the rows all tasks together take in one step.
-    Synchronous steps need the rows' ``key``; each exchange takes Spark about a
-    second, so they suit large batches. They take ``shards`` tasks at once,
+    Synchronous steps need the rows' ``key``; an exchange takes Spark about a
+    second, so only batches of ``SHARED_BATCH`` rows or more are shared by tasks. They take ``shards`` tasks at once,
     by default as many as there are cores; with fewer free slots Spark ends the job with an error.
     """
     began = time.time()

@@ -55,3 +55,18 @@ def test_refuses_what_it_cannot_do(curve, monkeypatch):
     monkeypatch.setattr(net, "MAX_EXCHANGE", 10)
     with pytest.raises(ValueError, match="exchange"):
         trained(curve, 2)
+
+
+def test_shared_and_own_batches_take_the_same_steps(curve, monkeypatch):
+    """Small batches are not exchanged step by step, and give what the exchange gives."""
+    own = trained(curve, 3)
+    monkeypatch.setattr(net, "SHARED_BATCH", 100)
+    shared = trained(curve, 3)
+    assert np.allclose(own.members, shared.members, rtol=1e-8, atol=1e-10) and np.allclose(own.losses, shared.losses)
+
+
+def test_messages_follow_from_tasks_not_batches(spark):
+    """150 steps an epoch; each exchange takes a second at least."""
+    rows = materialize(spark.range(600).select("id", F.array(F.col("id") / 600).alias("features"), (F.col("id") / 600).alias("y")), "line")
+    fitted = net.fit(rows, net.mean_variance_net(1, 4, 2), lr=0.01, epochs=1, batch_size=4, sync="steps", key=["id"], shards=2)
+    assert fitted.seconds < 60
