@@ -23,12 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nestfold.models.hist import (
-    MAX_BINS, SMALLEST_GAIN, Bins, Tree, best_splits, binned, bins_of, histogram, leaf_value, nodes_of, quantile_cuts,
+    MAX_BINS, SMALLEST_GAIN, Bins, Tree, above, best_splits, binned, bins_of, gradient_sums, leaf_value, nodes_of, quantile_cuts, with_first_bins,
 )
 from nestfold.models.passes import append_columns, sum_over_rows
 from nestfold.sources.storage import materialize
 
-STORE_EVERY = 20  # rounds after which the fits' predictions are written beside the rows
+STORE_EVERY = 4  # rounds after which the fits' predictions are written beside the rows; each pass routes rows through all trees since
 NUMBERS = 4_000_000  # in the histograms of one pass
 MAX_FITS = 62  # bits of a column
 
@@ -172,7 +172,7 @@ def _level_pass(table: _Table, fits: Sequence[Fit], growing: Mapping[int, Tree],
                 round_: int, judged: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Histograms (node, bin, (g, h)) of ``nodes`` (fit, node), and (squared error, rows) on the validation rows of ``judged`` fits."""
     offsets, total = table.bins.offsets, int(table.bins.offsets[-1])
-    size = len(nodes) * total * 2
+    size = len(nodes) * (total + 1) * 2
     places = {}
     for at, (fit, node) in enumerate(nodes):
         places.setdefault(fit, {})[node] = at
@@ -181,7 +181,7 @@ def _level_pass(table: _Table, fits: Sequence[Fit], growing: Mapping[int, Tree],
 
     def task(stream):
         state, n_fits, trees, where, share, scales = shared.value
-        out, errors = np.zeros((len(nodes), total, 2)), np.zeros((len(judged), 2))
+        out, errors = np.zeros((len(nodes), total + 1, 2)), np.zeros((len(judged), 2))
         for batch in stream:
             if not batch.num_rows:
                 continue
@@ -189,16 +189,17 @@ def _level_pass(table: _Table, fits: Sequence[Fit], growing: Mapping[int, Tree],
             label, ids = batch.column("label").to_numpy(), batch.column("id").to_numpy()
             train, valid = batch.column("train").to_numpy(), batch.column("valid").to_numpy()
             drawn = uniform(ids, seed, round_)
+            entries = above(rows, offsets) if where else None
             for fit, own in where.items():
                 use = np.flatnonzero((train >> fit & 1).astype(bool) & (drawn < share[fit]))
                 place = np.full(len(trees[fit][0]), -1)
                 place[list(own)] = list(own.values())
-                node = place[nodes_of(trees[fit], rows[use])]
-                use, node = use[node >= 0], node[node >= 0]
                 first = min(own.values())
+                node = np.full(len(rows), -1)
+                reached = place[nodes_of(trees[fit], rows[use])]
+                node[use] = np.where(reached >= 0, reached - first, -1)
                 a, b = scales[fit]
-                part = histogram(rows[use], offsets, node - first, len(own), [margins[fit][use] - (a * label[use] + b), None])
-                out[first:first + len(own)] += part
+                out[first:first + len(own)] += gradient_sums(entries, offsets, node, len(own), margins[fit] - (a * label + b))
             for at, fit in enumerate(judged):
                 use = (valid >> fit & 1).astype(bool)
                 a, b = scales[fit]
@@ -206,7 +207,7 @@ def _level_pass(table: _Table, fits: Sequence[Fit], growing: Mapping[int, Tree],
         return np.concatenate([out.ravel(), errors.ravel()])
 
     summed = sum_over_rows(table.rows, ["id", "label", "train", "valid", "bins", "stored"], task, size + 2 * len(judged), shared)
-    return summed[:size].reshape(len(nodes), total, 2), summed[size:].reshape(len(judged), 2)
+    return with_first_bins(summed[:size].reshape(len(nodes), total + 1, 2), offsets), summed[size:].reshape(len(judged), 2)
 
 
 def fit_many(
@@ -222,7 +223,7 @@ def fit_many(
     models = [Boosted(table.bins, base) for base in table.base]
     active = list(range(len(fits)))
     best: dict[int, tuple[float, int]] = {}
-    per_pass = max(1, NUMBERS // (2 * int(table.bins.offsets[-1]) or 1))
+    per_pass = max(1, NUMBERS // (2 * (int(table.bins.offsets[-1]) + 1)))
     round_ = 0
     while active:
         active_now = [i for i in active if len(models[i].trees) < fits[i].rounds]
@@ -278,12 +279,27 @@ def _stopped(fits, models, judged, best, patience) -> set[int]:
 
 
 def _grow(tree: Tree, node: int, sums: np.ndarray, bins: Bins, columns: np.ndarray, s: Settings) -> list[int]:
-    """Split a node by its histogram or make it a leaf; returns the children."""
+    """Split a node by its histogram or make it a leaf; returns the children that may be split again.
+
+    Children that may not are leaves, with the sums that the split left them: no pass is needed for these.
+    """
     n = int(bins.sizes[0])
     g, h = sums[0, :n].sum(axis=0)
-    if tree.depth[node] < s.max_depth and h >= 2 * s.min_child_weight:
+    if _may_split(tree.depth[node], h, s):
         gain, feature, cut = best_splits(sums, bins, columns, s.reg_alpha, s.reg_lambda, s.min_child_weight)
         if gain[0] > SMALLEST_GAIN and gain[0] >= s.gamma:
-            return list(tree.split(node, int(feature[0]), int(cut[0])))
+            first = bins.offsets[feature[0]]
+            left = sums[0, first:first + cut[0] + 1].sum(axis=0)
+            children = tree.split(node, int(feature[0]), int(cut[0]))
+            open_ = []
+            for child, (g_, h_) in zip(children, (left, (g, h) - left)):
+                tree.value[child] = leaf_value(g_, h_, s.reg_alpha, s.reg_lambda)
+                if _may_split(tree.depth[child], h_, s):
+                    open_.append(child)
+            return open_
     tree.value[node] = leaf_value(g, h, s.reg_alpha, s.reg_lambda)
     return []
+
+
+def _may_split(depth: int, h: float, s: Settings) -> bool:
+    return depth < s.max_depth and h >= 2 * s.min_child_weight

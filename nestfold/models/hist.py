@@ -111,11 +111,15 @@ def nodes_of(tree: tuple[np.ndarray, ...], binned_rows: np.ndarray) -> np.ndarra
     """The node that each row has reached."""
     feature, cut, left, _ = tree
     node = np.zeros(len(binned_rows), np.int32)
-    open_ = np.flatnonzero(feature[node] >= 0)
+    if feature[0] < 0:
+        return node
+    flat, width = binned_rows.ravel(), binned_rows.shape[1]
+    open_, at = np.arange(len(binned_rows)), node
     while len(open_):
-        at = node[open_]
-        node[open_] = left[at] + (binned_rows[open_, feature[at]] > cut[at])
-        open_ = open_[feature[node[open_]] >= 0]
+        at = left[at] + (flat[open_ * width + feature[at]] > cut[at])
+        node[open_] = at
+        more = feature[at] >= 0
+        open_, at = open_[more], at[more]
     return node
 
 
@@ -129,6 +133,36 @@ def histogram(binned_rows: np.ndarray, offsets: np.ndarray, node: np.ndarray, n_
     ).reshape(n_nodes, total, len(stats))
 
 
+def above(rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries above the first bin: their rows and their places among all bins."""
+    flat = rows.ravel()
+    at = np.flatnonzero(flat)
+    row, feature = np.divmod(at, rows.shape[1])
+    return row, offsets[feature] + flat[at]
+
+
+def gradient_sums(entries: tuple[np.ndarray, np.ndarray], offsets: np.ndarray, node: np.ndarray, n_nodes: int, gradient: np.ndarray) -> np.ndarray:
+    """(node, bin, (gradient, rows)) of entries above the first bins; the last bin holds the node's totals.
+
+    ``node`` and ``gradient`` are those of all rows; a node of -1 takes no part.
+    """
+    total = int(offsets[-1]) + 1
+    row, place = entries
+    at = node[row]
+    use = at >= 0
+    used = np.flatnonzero(node >= 0)
+    key = np.concatenate([at[use] * total + place[use], node[used] * total + total - 1])
+    stats = np.concatenate([gradient[row[use]], gradient[used]])
+    return np.stack([np.bincount(key, stats, n_nodes * total), np.bincount(key, minlength=n_nodes * total)], axis=1).reshape(n_nodes, total, 2)
+
+
+def with_first_bins(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(node, bin, statistic) of all bins from those above the first ones and the totals."""
+    out, totals = sums[:, :-1].copy(), sums[:, -1]
+    out[:, offsets[:-1]] = totals[:, None] - np.add.reduceat(out, offsets[:-1], axis=1)
+    return out
+
+
 def root_sums(df: DataFrame, bins: Bins, features: str = "features", label: str = "y") -> np.ndarray:
     """(bin, (g, h)) of a first tree's root over all rows, the predictions being 0."""
     offsets = bins.offsets

@@ -126,3 +126,21 @@ def test_a_leafy_tree_is_refused(monkeypatch, table):
     monkeypatch.setattr(hist, "MAX_LEAVES", 4)
     with pytest.raises(ValueError, match="leaves"):
         boost.fit_many(table, [boost.Fit(boost.Settings(max_depth=20), F.lit(True), rounds=1)], ["id"], 5)
+
+
+def test_sums_above_the_first_bins_give_the_whole_histogram():
+    rng = np.random.default_rng(3)
+    offsets = np.array([0, 9, 10, 12, 15])  # the second feature is constant
+    rows = np.stack([rng.integers(0, n, 200) for n in np.diff(offsets)], axis=1).astype(np.uint8)
+    node, gradient = rng.integers(-1, 3, 200), rng.normal(size=200)
+    use = node >= 0
+    whole = hist.histogram(rows[use], offsets, node[use], 3, [gradient[use], None])
+    sparse = hist.gradient_sums(hist.above(rows, offsets), offsets, node, 3, gradient)
+    assert np.allclose(hist.with_first_bins(sparse, offsets), whole) and sparse.shape == (3, 16, 2)
+
+
+def test_leaves_of_the_last_level_take_no_pass(table, monkeypatch):
+    passes_, real = [], boost._level_pass
+    monkeypatch.setattr(boost, "_level_pass", lambda *a: passes_.append(a) or real(*a))
+    model = boost.fit_many(table, [boost.Fit(boost.Settings(max_depth=2), F.lit(True), rounds=2)], ["id"], 5, max_bins=16)[0]
+    assert len(passes_) == 4 and all(max(t.depth) == 2 for t in model.trees)
