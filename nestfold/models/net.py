@@ -105,6 +105,37 @@ class Net:
                 d = (d @ layers[i][0].T) * (acts[i] > 0)
         return loss, np.concatenate(grads)
 
+    def losses_and_gradients(self, params: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``loss_and_gradient`` for (members, parameters), (members, rows, features) and (members, rows) in the same array operations."""
+        layers, at = [], 0
+        for a, b in zip(self.sizes, self.sizes[1:]):
+            layers.append((params[:, at:at + a * b].reshape(len(params), a, b), params[:, None, at + a * b:at + a * b + b]))
+            at += a * b + b
+        acts = [x]
+        for i, (w, b) in enumerate(layers):
+            z = acts[-1] @ w + b
+            acts.append(np.maximum(z, 0) if i + 1 < len(layers) else z)
+        out = acts[-1]
+        d = np.zeros_like(out)
+        err = out[..., 0] - y
+        if self.head == "mse":
+            loss = (err ** 2).sum(-1)
+            d[..., 0] = 2 * err
+        else:
+            var = np.logaddexp(0, out[..., 1]) + VAR_FLOOR
+            loss = 0.5 * (np.log(var) + err ** 2 / var).sum(-1)
+            d[..., 0] = err / var
+            d[..., 1] = 0.5 * (1 / var - err ** 2 / var ** 2) * 0.5 * (1 + np.tanh(out[..., 1] / 2))
+        grads = np.empty_like(params)
+        for i in range(len(layers) - 1, -1, -1):
+            a, b = self.sizes[i], self.sizes[i + 1]
+            at -= a * b + b
+            grads[:, at:at + a * b] = (acts[i].transpose(0, 2, 1) @ d).reshape(len(params), -1)
+            grads[:, at + a * b:at + a * b + b] = d.sum(1)
+            if i:
+                d = (d @ layers[i][0].transpose(0, 2, 1)) * (acts[i] > 0)
+        return loss, grads
+
 
 def adamw(w: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, t: int, lr: float, decay: float) -> None:
     """One step in place (Loshchilov and Hutter, 2019)."""
@@ -181,23 +212,22 @@ def _average_pass(df, net, states, active, lr, decay, batch_size, epoch, steps,
     width = 3 * size + 2  # weights, two moments, loss of batches, number of batches
 
     def task(stream):
-        local, rows, steps_done = bc.value.copy(), 0, 0
+        local, rows, steps_done = bc.value, 0, 0
         stats = np.zeros((len(local), 2))
         part = TaskContext.get().partitionId()
+        w, m, v = (local[:, at:at + size].copy() for at in (0, size, 2 * size))
         for i, (x, y) in enumerate(batches_of(stream, features, target)):
             rows += len(x)
-            for j, member in enumerate(active):
-                order = np.random.default_rng((seed, epoch, part, i, member)).permutation(len(x))
-                w, m, v = local[j, :size], local[j, size:2 * size], local[j, 2 * size:]
-                for k, s in enumerate(range(0, len(x), batch_size)):
-                    pick = order[s:s + batch_size]
-                    loss, g = net.loss_and_gradient(w, x[pick], y[pick])
-                    stats[j] += loss / len(pick), 1
-                    adamw(w, g / len(pick), m, v, steps + steps_done + k + 1, lr, decay)
+            order = np.stack([np.random.default_rng((seed, epoch, part, i, member)).permutation(len(x)) for member in active])
+            for k, s in enumerate(range(0, len(x), batch_size)):
+                pick = order[:, s:s + batch_size]
+                loss, g = net.losses_and_gradients(w, x[pick], y[pick])
+                stats += np.stack([loss / pick.shape[1], np.ones(len(loss))], axis=1)
+                adamw(w, g / pick.shape[1], m, v, steps + steps_done + k + 1, lr, decay)
             steps_done += -(-len(x) // batch_size)
         if not rows:
             return None
-        sums = np.concatenate([local * rows, stats], axis=1).ravel()
+        sums = np.concatenate([w * rows, m * rows, v * rows, stats], axis=1).ravel()
         return np.append(sums, [rows, steps_done, 1])
 
     total = sum_over_rows(df, [features, target], task, len(active) * width + 3, bc)

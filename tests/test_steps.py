@@ -70,3 +70,14 @@ def test_messages_follow_from_tasks_not_batches(spark):
     rows = materialize(spark.range(600).select("id", F.array(F.col("id") / 600).alias("features"), (F.col("id") / 600).alias("y")), "line")
     fitted = net.fit(rows, net.mean_variance_net(1, 4, 2), lr=0.01, epochs=1, batch_size=4, sync="steps", key=["id"], shards=2)
     assert fitted.seconds < 60
+
+
+@pytest.mark.parametrize("head", ["gaussian", "mse"])
+def test_members_together_have_the_losses_and_gradients_of_each(head):
+    rng = np.random.default_rng(5)
+    shape = net.Net((3, 6, 4, 2 if head == "gaussian" else 1), head)
+    params, x, y = np.stack([shape.init(s) for s in range(4)]), rng.normal(size=(4, 9, 3)), rng.normal(size=(4, 9))
+    losses, grads = shape.losses_and_gradients(params, x, y)
+    for i in range(4):
+        loss, grad = shape.loss_and_gradient(params[i], x[i], y[i])
+        assert losses[i] == pytest.approx(loss, rel=1e-12) and np.allclose(grads[i], grad, rtol=1e-12, atol=1e-14)
