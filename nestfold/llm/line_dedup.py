@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nestfold.llm import text as T
 from nestfold.llm.base import free_name, key, query, table
 from nestfold.session import ship_package
-from nestfold.sources.storage import materialize
+from nestfold.sources.storage import batches_up_to, materialize
 
 MIN_WORDS = 50
+BATCH_BYTES = 4 << 20  # of pairs with the lines of both documents that a task takes at once
 
 
 def _line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +211,9 @@ def deletions(docs: DataFrame, least: int) -> DataFrame:
         pairs.join(lines.select("id", "h", "hashes", "words"), ["id", "h"]).join(earlier, "first")
         .select("id", "h", "hashes", "words", "first_hashes", "first_words")
     )
-    found = sides.mapInArrow(_aligned(least), "id long, h long, lines array<int>").filter(F.size("lines") > 0)
+    aligned = sides.mapInArrow(_aligned(least), "id long, h long, lines array<int>").filter(F.size("lines") > 0)
+    with batches_up_to(docs.sparkSession, BATCH_BYTES):
+        found = materialize(aligned, "found")
     one = found.select("id", "h", F.explode("lines").alias("line")).distinct()
     return one.groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 

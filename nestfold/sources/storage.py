@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 _SCOPES: list[list[str]] = []
 _SCOPES_LOCK = threading.Lock()
+_SMALL_BATCHES = threading.RLock()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -77,3 +78,20 @@ def materialize(df: DataFrame, name: str = "step", partition_by: Sequence[str] =
     path = fresh_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def batches_up_to(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside get Arrow batches of about ``size`` bytes at most.
+
+    Wide rows otherwise fill batches of 64 MB, which each running task holds several times,
+    in the executor and in its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with _SMALL_BATCHES:
+        before = spark.conf.get(name)
+        spark.conf.set(name, str(size))
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)

@@ -85,3 +85,30 @@ def test_pipeline_on_no_rows(spark, docs, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, sf)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_pairs_of_wide_documents_come_in_small_batches(spark, monkeypatch, tmp_path):
+    """Batches hold the lines of few pairs, whatever the session's limit; its setting is as before afterwards."""
+    from nestfold.llm import line_dedup
+
+    lines = "\n".join(f"line {i} of a passage that every document has" for i in range(400))
+    df = spark.createDataFrame([(i, f"own words of {i}\n{lines}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    real, seen = line_dedup._aligned, str(tmp_path)
+
+    def watched(least):
+        run = real(least)
+
+        def each(batches):
+            import os
+            for batch in batches:
+                open(os.path.join(seen, f"{os.getpid()}-{batch.num_rows}-{id(batch)}"), "w").close()
+                yield from run([batch])
+        return each
+
+    monkeypatch.setattr(line_dedup, "_aligned", watched)
+    monkeypatch.setattr(line_dedup, "BATCH_BYTES", 100_000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    kept = {r.doc_id: r.text for r in line_dedup.cut_repeats(df).collect()}
+    assert kept[0].count("\n") == 400 and all(kept[i] == f"own words of {i}" for i in range(1, 200))
+    rows = [int(p.name.split("-")[1]) for p in tmp_path.iterdir()]
+    assert max(rows) < 20 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
