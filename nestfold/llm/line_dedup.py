@@ -249,7 +249,7 @@ def cut_repeats(
     keyed = df.withColumn(own, key(doc_id)).withColumn(hashed, F.xxhash64(F.col(text)))
     docs = keyed.select(F.col(own).alias("id"), F.col(hashed).alias("h"), F.col(text).alias("text"))
     gone = deletions(docs, least).select(F.col("id").alias(own), F.col("h").alias(hashed), F.col("lines").alias(lines))
-    joined = keyed.join(gone, [own, hashed], "left").select(*df.columns, lines)
+    joined = keyed.join(gone.hint("merge"), [own, hashed], "left").select(*df.columns, lines)  # the same plan for any size
     if report:
         return joined
     return joined.mapInArrow(_cut(text, lines), df.schema)

@@ -112,3 +112,11 @@ def test_pairs_of_wide_documents_come_in_small_batches(spark, monkeypatch, tmp_p
     assert kept[0].count("\n") == 400 and all(kept[i] == f"own words of {i}" for i in range(1, 200))
     rows = [int(p.name.split("-")[1]) for p in tmp_path.iterdir()]
     assert max(rows) < 20 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_line_dedup_joins_the_same_way_for_any_size(spark, capsys):
+    from nestfold.llm import line_dedup
+
+    line_dedup.cut_repeats(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
