@@ -1,13 +1,17 @@
 """Random forests: the upper levels from histograms, lower subtrees each in one task.
 
 All trees of all fits grow at once. While a node has many rows, a level is one
-pass of sums per (node, feature, bin), as in boosting. A node whose rows fit
+pass of sums per (node, feature, bin), as in boosting. A node whose binned rows fit
 into a task (``LOCAL_ROWS``, fewer if rows are wide) is finished there: one
-shuffle by (fit, tree, node) brings its rows together, and the subtree is
+shuffle by (fit, tree, node) brings them together, and the subtree is
 written. Subtrees never come to the driver unless the forest is small; rows to be predicted
-go where the subtrees are. So the number of passes follows from the rows over ``LOCAL_ROWS``, not
+go where the subtrees are. So the number of passes follows from the binned rows over ``LOCAL_ROWS``, not
 from the depth, and depths of 100 and leaves of one row are grown as asked.
 
+A tree sees rows by their bins only, so rows that are binned alike are summed (label, weight, rows) before they
+travel, and predicted once. The binned table is written in the order of its bins for that. Where all rows
+differ, each travels on its own, as many as there are. Sums are of whole numbers of a small unit, hence exact in any order.
+
 Bootstrap counts are Poisson(1) numbers from a hash of the row's key and the
 tree, and features are drawn for each node by a hash of its path, so that a lost task
 draws the same again and both ways of growing give the same tree. Rows that
@@ -31,19 +35,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nestfold.models.boost import MAX_FITS, NUMBERS, uniform
-from nestfold.models.hist import MAX_BINS, MAX_LEAVES, Bins, binned, bins_of, nodes_of, quantile_cuts
+from nestfold.models.hist import MAX_BINS, MAX_LEAVES, Bins, above, binned, bins_of, nodes_of, quantile_cuts
 from nestfold.models.passes import append_columns, sum_over_rows
 from nestfold.sources.storage import fresh_path, materialize
 
-LOCAL_ROWS = 500_000  # of a node that one task finishes
-LOCAL_BYTES = 128 << 20  # of such a node's rows
+LOCAL_ROWS = 500_000  # different binned rows of a node that one task finishes
+LOCAL_BYTES = 128 << 20  # of these rows
 CHUNK = 100_000  # rows that a task deals to nodes at once
-TREES_AT_ONCE = 64  # trees whose rows are shuffled in one job
+MOST_FILES = 10_000  # of the rows put side by side
+LEAST_FILE = 5_000  # rows of these files
+TREES_AT_ONCE = 64  # trees whose rows are shuffled in one job, at least
+JOB_BYTES = 2 << 30  # of binned rows that a job of more trees shuffles
+BATCH_BYTES = 4 << 20  # of binned rows that a task passes on at once
 ROUNDING = 1e-10  # share of a node's score that a split must gain
 HELD_NODES = 500_000  # of a forest that goes whole to the driver and the tasks that predict; larger ones are met by their rows
 SCORED_ROWS = 10_000  # rows of a chunk that a larger forest predicts
 PARTS = "fit int, tree int, node int, a binary, b binary, c binary, d binary"  # subtrees, packed
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+UNSURE = 255
+_EDGES = np.arange((1 << 16) + 1) / (1 << 16)
+# Draws by the first 16 bits of a number; ranges that hold a step are looked up.
+DRAWS = np.where(np.searchsorted(POISSON, _EDGES[:-1], "right") == np.searchsorted(POISSON, _EDGES[1:], "left"),
+                 np.searchsorted(POISSON, _EDGES[:-1], "right"), UNSURE).astype(np.uint8)
 
 Packed = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # feature (-1: a leaf), bin, left child, value
 
@@ -123,15 +136,19 @@ class Forest:
         return append_columns(df, features, keep, compute, "pred_mean double")
 
     def _predict_by_parts(self, df: DataFrame, keep: Sequence[str], features: str) -> DataFrame:
-        """Rows go to the subtrees they reach in each tree, and the leaves' values come back to be averaged.
+        """Binned rows go to the subtrees they reach in each tree, each once, and the leaves' values come back to be averaged.
 
-        Rows travel as packed blocks of a written chunk; a task holds one subtree and one
+        They travel as packed blocks of a written chunk; a task holds one subtree and one
         block at a time, or one chunk's values.
         """
         width, n_trees, scale = len(self.bins.cuts), len(self.tops), self.scale
-        chunk, place, packed = (_free(n, keep) for n in ("_chunk", "_at", "_bins"))
-        rows = materialize(_chunked(binned(df, self.bins, keep, features), keep, chunk, place, packed), "scored")
-        shared = df.sparkSession.sparkContext.broadcast(self.tops)
+        spark, packed = df.sparkSession, _free("_bins", keep)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        scored_rows = materialize(binned(df, self.bins, keep, features).withColumnRenamed("bins", packed), "scored")
+        chunk, place = "chunk", "place"
+        different = scored_rows.select(F.col(packed).alias("bins")).distinct()
+        rows = materialize(_chunked(different.repartition(n, "bins"), [], chunk, place, packed), "chunks")
+        shared = spark.sparkContext.broadcast(self.tops)
 
         def route(stream):
             for batch in stream:
@@ -186,12 +203,11 @@ class Forest:
             blocks = self.parts.unionByName(blocks, allowMissingColumns=True)
         else:
             blocks = blocks.select("*", *[F.lit(None).cast("binary").alias(c) for c in "abcd"])
-        spark = df.sparkSession
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
         met = blocks.repartition(n, "tree", "node").sortWithinPartitions("tree", "node", F.col("chunk").asc_nulls_first())
         values = met.mapInArrow(apply, "tree int, chunk long, at binary, value binary")
         scored = values.groupBy("chunk").applyInArrow(add, f"`{chunk}` long, `{place}` int, pred_mean double")
-        return rows.drop(packed).join(scored, [chunk, place]).select(*keep, "pred_mean")
+        known = rows.join(scored, [chunk, place]).select(packed, "pred_mean")
+        return scored_rows.join(known, packed).select(*keep, "pred_mean")
 
 
 def _free(name: str, taken: Sequence[str]) -> str:
@@ -234,7 +250,11 @@ def _average(trees: Sequence[Packed], rows: np.ndarray) -> np.ndarray:
 
 def bootstrap(ids: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """How often a tree draws each row."""
-    return np.searchsorted(POISSON, uniform(ids, seed, tree), side="right").astype(np.uint8)
+    u = uniform(ids, seed, tree)
+    out = DRAWS[(u * len(DRAWS)).astype(np.int32)]
+    unsure = np.flatnonzero(out == UNSURE)
+    out[unsure] = np.searchsorted(POISSON, u[unsure], side="right")
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -250,8 +270,8 @@ def child_paths(paths: np.ndarray) -> np.ndarray:
     return _mixed(np.repeat(paths, 2) * np.uint64(2) + np.tile(np.arange(2, dtype=np.uint64), len(paths)))
 
 
-def _score(sums: np.ndarray) -> np.ndarray:
-    return np.divide(sums[:, 0] ** 2, sums[:, 1], out=np.zeros(len(sums)), where=sums[:, 1] > 0)
+def _score(label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.divide(label ** 2, weight, out=np.zeros(len(weight)), where=weight > 0)
 
 
 @dataclass
@@ -260,107 +280,131 @@ class Choice:
 
     feature: np.ndarray
     bin: np.ndarray
-    left: np.ndarray
+    left: list[np.ndarray]
+    constant: np.ndarray  # cells of features that do not vary in their node
 
 
-def choose(key: np.ndarray, sums: np.ndarray, totals: np.ndarray, bins: Bins, paths: np.ndarray, least: np.ndarray, drawn: np.ndarray) -> Choice:
-    """Best splits from cells (node * bins + bin) above the features' first bins.
+def choose(node: np.ndarray, place: np.ndarray, sums: Sequence[np.ndarray], totals: Sequence[np.ndarray], bins: Bins, paths: np.ndarray,
+           least: np.ndarray, drawn: np.ndarray, unit: float = 1.0) -> Choice:
+    """Best splits from cells (node, bin) above the features' first bins, in order.
 
-    ``sums`` and ``totals`` (per node) are (weighted label, weight, rows);
-    ``least`` rows must lie on both sides, and ``drawn`` features are tried.
+    ``sums`` and ``totals`` (per node) are weighted label (in ``unit``), weight, rows, and what else is to be known
+    of the left sides; ``least`` rows must lie on both sides, and ``drawn`` features are tried.
     """
-    offsets, width, n_nodes = bins.offsets, int(bins.offsets[-1]), len(totals)
-    feature_of = np.repeat(np.arange(len(bins.cuts)), bins.sizes)
-    out = Choice(np.full(n_nodes, -1), np.zeros(n_nodes, np.int64), np.zeros((n_nodes, 3)))
-    if not len(key):
+    n_nodes, n_features = len(totals[0]), len(bins.cuts)
+    out = Choice(np.full(n_nodes, -1), np.zeros(n_nodes, np.int64), [np.zeros_like(t) for t in totals], np.zeros(len(node), bool))
+    if not len(node):
         return out
     # A feature without entries above its first bin is constant in the node and needs no cells.
-    segment = key // width * len(bins.cuts) + feature_of[key % width]
-    start = np.flatnonzero(np.diff(segment, prepend=-1))
-    first = totals[segment[start] // len(bins.cuts)] - np.add.reduceat(sums, start)
-    there = first[:, 2] > 0.5
-    first_key = segment[start] // len(bins.cuts) * width + offsets[segment[start] % len(bins.cuts)]
-    key, sums = np.concatenate([first_key[there], key]), np.concatenate([first[there], sums])
-    order = np.argsort(key, kind="stable")
-    key, sums = key[order], sums[order]
-    node, feature = key // width, feature_of[key % width]
-    start = np.flatnonzero(np.diff(node * len(bins.cuts) + feature, prepend=-1))
-    size = np.diff(start, append=len(key))
-    running = np.cumsum(sums, axis=0)
-    left = running - np.repeat(running[start] - sums[start], size, axis=0)
-    right = totals[node] - left
-    # The first features by a hash of path and feature, among those that vary.
-    vary = np.flatnonzero(size > 1)
-    at, what = node[start[vary]], feature[start[vary]]
-    draw = _mixed(paths[at] ^ _mixed(what.astype(np.uint64)))
-    by_draw = np.lexsort((draw, at))
-    rank = np.empty(len(vary), np.int64)
-    rank[by_draw] = np.arange(len(vary)) - np.searchsorted(at, at)
-    tried = np.zeros(len(start), bool)
-    tried[vary[rank < drawn[at]]] = True
-    whole = _score(totals)
-    gain = _score(left) + _score(right) - whole[node]
-    ok = np.repeat(tried, size) & (left[:, 2] > least[node] - 0.5) & (right[:, 2] > least[node] - 0.5) & (gain > ROUNDING * whole[node])
-    gain = np.where(ok, gain, -np.inf)
-    begins = np.flatnonzero(np.diff(node, prepend=-1))
+    feature = np.repeat(np.arange(n_features), bins.sizes)[place]
+    new = np.ones(len(node), bool)
+    new[1:] = (node[1:] != node[:-1]) | (feature[1:] != feature[:-1])
+    start = np.flatnonzero(new)
+    size, owner = np.diff(start, append=len(node)), node[start]
+
+    def below(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a feature's first bin, and of all its bins below each cell's."""
+        first = totals[i][owner] - np.add.reduceat(sums[i], start)
+        before = np.cumsum(sums[i]) - sums[i]
+        return first, before + np.repeat(first - before[start], size)
+
+    first, rows = below(2)
+    out.constant[start[(size == 1) & (first < 0.5)]] = True
+    ok = (rows > least[node] - 0.5) & (totals[2][node] - rows > least[node] - 0.5)
+    if (drawn < n_features).any():
+        # The first features by a hash of path and feature, among those that vary.
+        vary = np.flatnonzero(size + (first > 0.5) > 1)
+        at, what = owner[vary], feature[start[vary]]
+        draw = _mixed(paths[at] ^ _mixed(what.astype(np.uint64)))
+        rank = np.empty(len(vary), np.int64)
+        rank[np.lexsort((draw, at))] = np.arange(len(vary)) - np.searchsorted(at, at)
+        tried = np.zeros(len(start), bool)
+        tried[vary[rank < drawn[at]]] = True
+        ok &= np.repeat(tried, size)
+    tested = np.flatnonzero(ok)
+    label, weight = (below(i)[1][tested] for i in (0, 1))
+    whole, at = _score(totals[0] * unit, totals[1]), node[tested]
+    gain = _score(label * unit, weight) + _score((totals[0][at] - label) * unit, totals[1][at] - weight) - whole[at]
+    good = gain > ROUNDING * whole[at]
+    tested, at, gain = tested[good], at[good], gain[good]
+    if not len(tested):
+        return out
+    begins = np.flatnonzero(np.diff(at, prepend=-1))
     best = np.maximum.reduceat(gain, begins)
-    # Sums in another order may differ by rounding; such gains are equal.
-    top = np.flatnonzero(ok & (gain >= np.repeat(best - 1e-12 * (whole[node[begins]] + np.where(np.isfinite(best), best, 0)), np.diff(begins, append=len(key)))))
-    nodes, place = np.unique(node[top], return_index=True)
-    place = top[place]
-    out.feature[nodes], out.bin[nodes], out.left[nodes] = feature[place], key[place] % width - offsets[feature[place]], left[place]
+    # Gains may differ by rounding; such gains are equal.
+    top = np.flatnonzero(gain >= np.repeat(best - 1e-12 * (whole[at[begins]] + best), np.diff(begins, append=len(at))))
+    top = top[np.diff(at[top], prepend=-1) != 0]
+    nodes, cell = at[top], tested[top]
+    out.feature[nodes] = feature[cell]
+    out.bin[nodes] = np.where(new[cell], 0, place[cell - 1].astype(np.int64) - bins.offsets[feature[cell]])
+    for i, left in enumerate(out.left):
+        left[nodes] = below(i)[1][cell]
     return out
 
 
-def _cells(key: np.ndarray, n: int, stats: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys below ``n`` in order, and the sums of the entries that have them."""
-    if n <= 4 * len(key) + 10_000:
-        counts = np.bincount(key, minlength=n)
-        at = np.flatnonzero(counts)
-        return at, np.stack([np.bincount(key, s, n)[at] for s in stats] + [counts[at].astype(float)], axis=1)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    start = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[start], np.stack([np.add.reduceat(s[order], start) for s in stats] + [np.diff(start, append=len(key)).astype(float)], axis=1)
-
-
 def _above(rows: np.ndarray, bins: Bins) -> tuple[np.ndarray, np.ndarray]:
     """Entries above the first bin: their rows and their places among all bins."""
-    row, feature = np.nonzero(rows)
-    return row, bins.offsets[feature] + rows[row, feature]
+    return above(rows, bins.offsets)
+
 
+def grow(rows: np.ndarray, stats: Sequence[np.ndarray], bins: Bins, s: Settings, path: np.ndarray, depth: int, unit: float) -> Packed:
+    """The whole tree over the binned rows that one task holds, level by level; child numbers follow the levels.
 
-def grow(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, bins: Bins, s: Settings, path: np.ndarray, depth: int) -> Packed:
-    """The whole tree over rows that one task holds, level by level; child numbers follow the levels."""
-    width, drawn = int(bins.offsets[-1]), s.drawn(len(bins.cuts))
-    weight, wy = weight.astype(float), weight * label
-    row, place = _above(rows, bins)
-    node, paths = np.zeros(len(rows), np.int64), path
-    totals = np.array([[wy.sum(), weight.sum(), len(rows)]])
+    ``stats`` are each binned row's weighted label (in ``unit``), weight and rows. Entries above the first bins are sorted once, by bin, and
+    dealt to the children in that order, so that a level's cells are runs of them.
+    """
+    n_features, flat = rows.shape[1], rows.ravel()
+    entry, place = _above(rows, bins)
+    order = np.argsort(place.astype(np.uint16) if bins.offsets[-1] < 1 << 16 else place, kind="stable")
+    entry, place = entry[order].astype(np.int32), place[order].astype(np.int32)
+    totals, paths = [np.array([x.sum()]) for x in stats], path
+    slots = np.flatnonzero(s.open(totals[2], depth))  # nodes of the level that may be split, in the order their entries have
+    size = np.full(len(slots), len(entry))  # entries of each
+    own, at = np.arange(len(rows)), np.zeros(len(rows), np.int32)  # rows in these nodes, and their slots
+    turn = np.zeros(len(rows), np.uint8)  # 1: the row goes left, 2: right, 0: to a leaf
     levels, begin = [], 0  # of the level's nodes
-    while len(totals):
-        n, may = len(totals), s.open(totals[:, 2], depth)
+    while True:
+        n = len(totals[0])
         feature, cut, left = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        kept, kept_sums = np.zeros(0, np.int64), np.zeros((0, 3))
-        if may.any():
-            use = (node[row] >= 0) & may[node[row]]  # entries of rows in nodes still open
-            row, place = row[use], place[use]
-            key, sums = _cells(node[row] * width + place, n * width, [wy[row], weight[row]])
-            best = choose(key, sums, totals, bins, paths, np.full(n, s.min_samples_leaf), np.full(n, drawn))
-            feature, cut, kept = best.feature, best.bin, np.flatnonzero(best.feature >= 0)
-            left[kept] = begin + n + 2 * np.arange(len(kept))
-            kept_sums = best.left[kept]
-        levels.append((feature, cut, left, totals[:, 0] / totals[:, 1]))
-        to = np.full(n, -1, np.int64)
-        to[kept] = 2 * np.arange(len(kept))
-        there = np.flatnonzero(node >= 0)
-        old = node[there]
-        node[there] = np.where(to[old] < 0, -1, to[old] + (rows[there, np.maximum(feature[old], 0)] > cut[old]))
-        row, place = (a[node[row] >= 0] for a in (row, place)) if len(row) else (row, place)
-        totals = np.stack([kept_sums, totals[kept] - kept_sums], axis=1).reshape(-1, 3)
+        levels.append((feature, cut, left, totals[0] * unit / totals[1]))
+        if not len(slots):
+            break
+        ends = np.cumsum(size)
+        new = np.ones(len(entry), bool)
+        new[1:] = place[1:] != place[:-1]
+        new[(ends - size)[size > 0]] = True
+        start = np.flatnonzero(new)
+        sums = [np.add.reduceat(x[entry], start) if len(start) else x[:0] for x in stats]
+        best = choose(np.repeat(np.arange(len(slots)), size)[start], place[start], sums, [t[slots] for t in totals], bins, paths[slots],
+                      np.full(len(slots), s.min_samples_leaf), np.full(len(slots), s.drawn(n_features)), unit)
+        split = np.flatnonzero(best.feature >= 0)
+        split = split[np.argsort(slots[split])]
+        kept = slots[split]
+        feature[kept], cut[kept] = best.feature[split], best.bin[split]
+        left[kept] = begin + n + 2 * np.arange(len(kept))
         paths, begin, depth = child_paths(paths[kept]), begin + n, depth + 1
         if begin > 2 * MAX_LEAVES:
             raise ValueError(f"a tree has more than {MAX_LEAVES} leaves: raise min_samples_leaf or lower max_depth")
+        if not len(kept):
+            break
+        totals = [np.stack([x[split], t[kept] - x[split]], axis=1).ravel() for x, t in zip(best.left, totals)]
+        # Children that may be split: all left ones come first.
+        child = np.full((2, len(slots)), -1)
+        child[:, split] = np.arange(2 * len(split)).reshape(-1, 2).T
+        child[:, split] = np.where(s.open(totals[2], depth)[child[:, split]], child[:, split], -1)
+        goes_on = child >= 0
+        slot = (np.cumsum(goes_on.ravel()) - 1).astype(np.int32).reshape(2, -1)
+        side = (flat[own * n_features + np.maximum(best.feature[at], 0)] > best.bin[at]).astype(np.int8)
+        on = goes_on[side, at]
+        turn[own] = on * (1 + side)
+        own, at = own[on], slot[side[on], at[on]]
+        turned = turn[entry]
+        turned[np.repeat(best.constant, np.diff(start, append=len(entry)))] = 0  # they stay constant below
+        sides = [np.flatnonzero(turned == 1), np.flatnonzero(turned == 2)]
+        size = np.concatenate([np.diff(np.searchsorted(u, ends), prepend=0)[g] for u, g in zip(sides, goes_on)])
+        slots = child[goes_on]
+        both = np.concatenate(sides)
+        entry, place = entry[both], place[both]
     f, c, l, v = (np.concatenate(a) for a in zip(*levels))
     return f.astype(np.int32), c.astype(np.int32), l.astype(np.int32), v
 
@@ -413,8 +457,46 @@ def _chunks(stream: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
-def _level_pass(rows: DataFrame, bins: Bins, trees: Mapping[tuple[int, int], Packed], nodes: Sequence[tuple[int, int, int]], seed: int) -> np.ndarray:
-    """(node, bin, (weighted label, weight, rows)) above the first bins; the last bin holds the node's totals."""
+def _weighed(stream: Iterator[pa.RecordBatch], n_features: int, fits_of: Mapping[int, Sequence[int]], seed: int) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
+    """For each chunk and tree, and the fits it is grown for: the binned rows it draws, each once, and their weighted labels, weights and rows.
+
+    Rows that are binned alike are summed where they follow each other. The fits that share a tree share its draws.
+    """
+    for ids, label, train, rows in _chunks(stream, n_features):
+        other = np.ones(len(rows), bool)
+        other[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        run = other.copy()
+        run[1:] |= train[1:] != train[:-1]
+        start = np.flatnonzero(run)
+        used, of = train[start], np.cumsum(other)[start] - 1
+        rows = rows[other]
+        members = {fit: np.flatnonzero(used >> fit & 1) for fit in {f for fits in fits_of.values() for f in fits}}
+        for tree, fits in fits_of.items():
+            weight = bootstrap(ids, seed, tree)
+            drawn = weight > 0
+            weight = weight.astype(np.int64)
+            weighted = weight * label if label.dtype.kind == "i" else np.where(drawn, weight * label, 0)
+            sums = [np.add.reduceat(x, start) for x in (weighted, weight, drawn.astype(np.int64))]
+            for fit in fits:
+                mine = members[fit]
+                mine = mine[sums[2][mine] > 0]
+                if len(mine):
+                    first = np.flatnonzero(np.diff(of[mine], prepend=-1))
+                    yield fit, tree, rows[of[mine[first]]], [np.add.reduceat(x[mine], first) for x in sums]
+
+
+def _fits_of(pairs: Sequence[tuple[int, int]]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for fit, tree in pairs:
+        out.setdefault(tree, []).append(fit)
+    return out
+
+
+def _level_pass(rows: DataFrame, bins: Bins, trees: Mapping[tuple[int, int], Packed], nodes: Sequence[tuple[int, int, int]], seed: int, unit: float) -> np.ndarray:
+    """(node, bin, (weighted label, weight, rows, binned rows)) above the first bins; the last bin holds the node's totals.
+
+    Binned rows are counted once where they follow each other, as they are when a task finishes the node.
+    """
     total, width = int(bins.offsets[-1]), len(bins.cuts)
     places: dict[tuple[int, int], dict[int, int]] = {}
     for at, (fit, tree, node) in enumerate(nodes):
@@ -423,70 +505,71 @@ def _level_pass(rows: DataFrame, bins: Bins, trees: Mapping[tuple[int, int], Pac
 
     def task(stream):
         cuts, tops, where = shared.value
-        out = np.zeros((len(nodes), total + 1, 3))
-        for ids, label, train, binned_rows in _chunks(stream, width):
-            for (fit, tree), own in where.items():
-                weight = bootstrap(ids, seed, tree)
-                use = np.flatnonzero((train >> fit & 1).astype(bool) & (weight > 0))
-                place = np.full(len(tops[fit, tree][0]), -1)
-                place[list(own)] = list(own.values())
-                node = place[nodes_of(tops[fit, tree], binned_rows[use])]
-                use, node = use[node >= 0], node[node >= 0]
-                first, n = min(own.values()), len(own)
-                w = weight[use].astype(float)
-                row, at = _above(binned_rows[use], cuts)
-                key = np.concatenate([(node[row] - first) * (total + 1) + at, (node - first) * (total + 1) + total])
-                each = np.concatenate([row, np.arange(len(use))])
-                for i, s in enumerate((w * label[use], w, np.ones(len(use)))):
-                    out[first:first + n, :, i] += np.bincount(key, s[each], n * (total + 1)).reshape(n, -1)
+        out = np.zeros((len(nodes), total + 1, 4))
+        for fit, tree, cells, sums in _weighed(stream, width, _fits_of(list(where)), seed):
+            own = where[fit, tree]
+            place = np.full(len(tops[fit, tree][0]), -1)
+            place[list(own)] = list(own.values())
+            node = place[nodes_of(tops[fit, tree], cells)]
+            use = np.flatnonzero(node >= 0)
+            first, n, node = min(own.values()), len(own), node[use]
+            row, at = _above(cells[use], cuts)
+            key = np.concatenate([(node[row] - first) * (total + 1) + at, (node - first) * (total + 1) + total])
+            each = np.concatenate([row, np.arange(len(use))])
+            for i, x in enumerate((sums[0][use] * unit, sums[1][use], sums[2][use], np.ones(len(use)))):
+                out[first:first + n, :, i] += np.bincount(key, x[each], n * (total + 1)).reshape(n, -1)
         return out.ravel()
 
-    size = len(nodes) * (total + 1) * 3
-    return sum_over_rows(rows, ["id", "label", "train", "bins"], task, size, shared).reshape(len(nodes), total + 1, 3)
+    size = len(nodes) * (total + 1) * 4
+    return sum_over_rows(rows, ["id", "label", "train", "bins"], task, size, shared).reshape(len(nodes), total + 1, 4)
 
 
 def _finish(rows: DataFrame, bins: Bins, fits: Sequence[Fit], tops: Mapping[tuple[int, int], _Growing],
-            nodes: Sequence[tuple[int, int, int]], seed: int) -> str:
-    """Subtrees below ``nodes``, each from one task that gets all of the node's rows; gives the path they are written to."""
+            nodes: Sequence[tuple[int, int, int]], seed: int, unit: float) -> str:
+    """Subtrees below ``nodes``, each from one task that gets all of the node's binned rows; gives the path they are written to."""
     width = len(bins.cuts)
     wanted: dict[tuple[int, int], list[int]] = {}
     for fit, tree, node in nodes:
         wanted.setdefault((fit, tree), []).append(node)
     spark = rows.sparkSession
+    kind = np.int64 if dict(rows.dtypes)["label"] == "bigint" else np.float64
     shared = spark.sparkContext.broadcast((
         bins, [f.settings for f in fits], {k: tops[k].packed() for k in wanted}, wanted,
         {(*k, n): (tops[k].path[n], tops[k].depth[n]) for k, own in wanted.items() for n in own}))
+    names = ["fit", "tree", "node", "label", "weight", "rows", "bins"]
 
     def deal(stream):
         _, _, trees, where, _ = shared.value
-        for ids, label, train, binned_rows in _chunks(stream, width):
-            for (fit, tree), own in where.items():
-                weight = bootstrap(ids, seed, tree)
-                use = np.flatnonzero((train >> fit & 1).astype(bool) & (weight > 0))
-                node = nodes_of(trees[fit, tree], binned_rows[use])
-                order = np.argsort(node, kind="stable")
-                use, node = use[order], node[order]
-                found = [(n, use[a:b]) for n in own for a, b in [np.searchsorted(node, [n, n + 1])] if b > a]
-                if found:
-                    yield pa.record_batch([
-                        pa.array([fit] * len(found), pa.int32()), pa.array([tree] * len(found), pa.int32()), pa.array([n for n, _ in found], pa.int32()),
-                        *[pa.array([a[u].tobytes() for _, u in found], pa.binary()) for a in (ids, label, weight, binned_rows)],
-                    ], ["fit", "tree", "node", "ids", "label", "weight", "bins"])
+        held, size = [], 0
+        for fit, tree, cells, sums in _weighed(stream, width, _fits_of(list(where)), seed):
+            own = where[fit, tree]
+            node = nodes_of(trees[fit, tree], cells)
+            order = np.argsort(node, kind="stable")
+            node = node[order]
+            for n in own:
+                a, b = np.searchsorted(node, [n, n + 1])
+                if b > a:
+                    use = order[a:b]
+                    held.append((fit, tree, n, sums[0][use].tobytes(), *(x[use].astype(np.int32).tobytes() for x in sums[1:]), cells[use].tobytes()))
+                    size += (b - a) * (width + 16)
+                    if size >= BATCH_BYTES:
+                        yield _records(held, names)
+                        held, size = [], 0
+        if held:
+            yield _records(held, names)
 
     def one(group: pa.Table) -> pa.Table:
         cuts, settings, _, _, at = shared.value
         fit, tree, node = (group.column(c)[0].as_py() for c in ("fit", "tree", "node"))
         whole = lambda c, kind: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in group.column(c)])
-        ids, label, weight = whole("ids", np.int64), whole("label", np.float64), whole("weight", np.uint8)
-        binned_rows = whole("bins", np.uint8).reshape(len(ids), width)
-        order = np.lexsort((label, ids))  # sums do not depend on how rows arrive
+        stats = [whole("label", kind), whole("weight", np.int32).astype(np.int64), whole("rows", np.int32).astype(np.int64)]
         path, depth = at[fit, tree, node]
-        made = grow(binned_rows[order], label[order], weight[order], cuts, settings[fit], path, depth)
+        made = grow(whole("bins", np.uint8).reshape(-1, width), stats, cuts, settings[fit], path, depth, unit)
         return pa.table({"fit": pa.array([fit], pa.int32()), "tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()),
                          **{c: pa.array([a.tobytes()], pa.binary()) for c, a in zip("abcd", made)}})
 
     dealt = rows.select("id", "label", "train", "bins").mapInArrow(
-        deal, "fit int, tree int, node int, ids binary, label binary, weight binary, bins binary")
+        deal, "fit int, tree int, node int, label binary, weight binary, rows binary, bins binary")
     # A given number of partitions keeps small inputs of long work apart.
     n = min(len(nodes), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     path = fresh_path(spark, "subtrees")
@@ -495,54 +578,115 @@ def _finish(rows: DataFrame, bins: Bins, fits: Sequence[Fit], tops: Mapping[tupl
     return path
 
 
-def fit_many(df: DataFrame, fits: Sequence[Fit], key: Sequence[str], n_features: int, seed: int = 73, features: str = "features",
-             label: str = "t", max_bins: int = MAX_BINS, local_rows: int = LOCAL_ROWS) -> list[Forest]:
-    """Fit all forests at once. A fit without rows is an error; a tree that drew no row predicts the average label."""
-    if not 0 < len(fits) <= MAX_FITS:
+def _records(held: Sequence[tuple], names: Sequence[str]) -> pa.RecordBatch:
+    """Numbers first, then blocks of bytes, as the columns ``names``."""
+    return pa.record_batch([pa.array(c, pa.int32() if isinstance(c[0], int) else pa.binary()) for c in zip(*held)], list(names))
+
+
+def _clustered(rows: DataFrame) -> DataFrame:
+    """Written rows anew, those that are binned alike side by side, so that tasks meet them together.
+
+    Ranges end within a large group of them, so that no task gets more rows than others.
+    """
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    n = max(min(MOST_FILES, count // CHUNK), min(cores, count // LEAST_FILE))
+    if n > 1:
+        rows = rows.repartitionByRange(n, "bins", "train", "id")
+    else:
+        rows = rows.coalesce(1)
+    return materialize(rows.sortWithinPartitions("bins", "train", "id"), "clustered")
+
+
+def _in_units(rows: DataFrame, middle: float, far: float, n: int) -> tuple[DataFrame, float]:
+    """Labels from the middle on as whole numbers of a unit so small that sums of all draws just fit.
+
+    Sums are exact then, and no split depends on how rows lie in tasks. Labels that are no numbers stay as they are.
+    """
+    label = F.col("label") - F.lit(middle)
+    if not math.isfinite(far):
+        return rows.withColumn("label", label), 1.0
+    bits = min(1000, 62 - math.ceil(math.log2(len(POISSON) * n) + math.log2(far))) if far else 0
+    return rows.withColumn("label", F.rint(label * F.lit(2.0 ** bits)).cast("long")), 2.0 ** -bits
+
+
+@dataclass(frozen=True)
+class Table:
+    """Binned rows that forests are grown from, written once for any settings."""
+
+    rows: DataFrame  # id, label, train (a bit for each part) and bins
+    bins: Bins
+    sizes: list[int]  # training rows of each part
+    different: int  # binned rows, the most that a tree's task can get
+    middle: float
+    unit: float
+
+
+def prepare(df: DataFrame, trains: Sequence[Column], key: Sequence[str], n_features: int, features: str = "features",
+            label: str = "t", max_bins: int = MAX_BINS) -> Table:
+    """The rows of all ``trains``, binned; a part without rows is an error."""
+    if not 0 < len(trains) <= MAX_FITS:
         raise ValueError(f"between 1 and {MAX_FITS} fits share a table")
     if n_features < 1:
         raise ValueError("a fit needs a feature")
-    bits = sum((F.when(f.train, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fits)), F.lit(0)).cast("long")
+    bits = sum((F.when(train, F.lit(1 << i)).otherwise(F.lit(0)) for i, train in enumerate(trains)), F.lit(0)).cast("long")
     used = df.select(F.xxhash64(*key).alias("id"), F.col(label).cast("double").alias("label"), features, bits.alias("train")).filter("train != 0")
     bins = quantile_cuts(used, n_features, features, max_bins)
-    rows = materialize(binned(used, bins, ["id", "label", "train"], features), "binned")
-    own = [F.col("train").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(fits))]
-    count = rows.agg(F.avg("label").alias("m"), *[F.sum(c.cast("long")).alias(f"n{i}") for i, c in enumerate(own)]).collect()[0]
-    sizes = [count[f"n{i}"] or 0 for i in range(len(fits))]
+    rows = _clustered(materialize(binned(used, bins, ["id", "label", "train"], features), "binned"))
+    own = [F.col("train").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(trains))]
+    count = rows.agg(F.avg("label").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+                     *[F.sum(c.cast("long")).alias(f"n{i}") for i, c in enumerate(own)]).collect()[0]
+    sizes = [count[f"n{i}"] or 0 for i in range(len(trains))]
     if not min(sizes):
         raise ValueError("a forest has no rows to learn from")
     middle = float(count.m)  # labels count from here, so that sums stay exact where labels are far from 0
-    rows = rows.withColumn("label", F.col("label") - F.lit(middle))
+    different = rows.select("bins").distinct().count()
+    rows, unit = _in_units(rows, middle, max(middle - count.lo, count.hi - middle), max(sizes))
+    return Table(rows, bins, sizes, different, middle, unit)
+
+
+def fit_many(df: DataFrame, fits: Sequence[Fit], key: Sequence[str], n_features: int, seed: int = 73, features: str = "features",
+             label: str = "t", max_bins: int = MAX_BINS, local_rows: int = LOCAL_ROWS) -> list[Forest]:
+    """Fit all forests at once. A fit without rows is an error; a tree that drew no row predicts the average label."""
+    return fit_table(prepare(df, [f.train for f in fits], key, n_features, features, label, max_bins), fits, seed, local_rows)
+
+
+def fit_table(table: Table, fits: Sequence[Fit], seed: int = 73, local_rows: int = LOCAL_ROWS) -> list[Forest]:
+    """A forest for each part of a prepared table, in the order of the parts."""
+    rows, bins, sizes, different, middle, unit = table.rows, table.bins, table.sizes, table.different, table.middle, table.unit
+    n_features = len(bins.cuts)
     local = min(local_rows, LOCAL_BYTES // (n_features + 32))
     tops = {(i, t): _Growing(root_path(seed, t)) for i, f in enumerate(fits) for t in range(f.settings.n_estimators)}
-    small = [(*k, 0) for k in tops if sizes[k[0]] <= local]
-    large = [(*k, 0) for k in tops if sizes[k[0]] > local]
-    per_pass = max(1, NUMBERS // (3 * (int(bins.offsets[-1]) + 1)))
+    small = [(*k, 0) for k in tops if min(sizes[k[0]], different) <= local]
+    large = [(*k, 0) for k in tops if min(sizes[k[0]], different) > local]
+    total = int(bins.offsets[-1])
+    per_pass = max(1, NUMBERS // (4 * (total + 1)))
     while large:
         now, large = large[:per_pass], large[per_pass:]
-        sums = _level_pass(rows, bins, {k: tops[k].packed() for k in {n[:2] for n in now}}, now, seed)
-        cells, totals = sums[:, :-1].reshape(-1, 3), sums[:, -1]
+        sums = _level_pass(rows, bins, {k: tops[k].packed() for k in {n[:2] for n in now}}, now, seed, unit)
+        cells, totals = sums[:, :-1].reshape(-1, 4), sums[:, -1]
         at = np.flatnonzero(cells[:, 2])
         rules = [fits[i].settings for i, _, _ in now]
         may = np.array([bool(s.open(n, tops[k[:2]].depth[k[2]])) for s, n, k in zip(rules, totals[:, 2], now)])
-        best = choose(at, cells[at], totals, bins, np.concatenate([tops[i, t].path[n] for i, t, n in now]),
+        best = choose(at // total, at % total, list(cells[at].T), list(totals.T), bins, np.concatenate([tops[i, t].path[n] for i, t, n in now]),
                       np.array([s.min_samples_leaf for s in rules]), np.array([s.drawn(n_features) for s in rules]))
+        left = np.stack(best.left, axis=1)
         for j, (i, t, node) in enumerate(now):
             tree = tops[i, t]
             tree.value[node] = totals[j, 0] / totals[j, 1] if totals[j, 1] else 0.0
             if best.feature[j] < 0 or not may[j]:
                 continue
-            parts = (best.left[j], totals[j] - best.left[j])
+            parts = (left[j], totals[j] - left[j])
             for child, part in zip(tree.split(node, int(best.feature[j]), int(best.bin[j]), parts), parts):
                 if fits[i].settings.open(part[2], tree.depth[child]):
-                    (small if part[2] <= local else large).append((i, t, child))
+                    (small if part[3] <= local else large).append((i, t, child))
         large.sort()
-    pairs = sorted({n[:2] for n in small})
+    pairs = sorted({n[:2] for n in small}, key=lambda k: k[::-1])  # fits that share a tree go into the same job
+    at_once = max(TREES_AT_ONCE, JOB_BYTES // (min(max(sizes), different) * (n_features + 16)))
     paths = []
-    for first in range(0, len(pairs), TREES_AT_ONCE):
-        some = set(pairs[first:first + TREES_AT_ONCE])
-        paths.append(_finish(rows, bins, fits, tops, [n for n in small if n[:2] in some], seed))
-    parts = df.sparkSession.read.schema(PARTS).parquet(*paths) if paths else None
+    for first in range(0, len(pairs), at_once):
+        some = set(pairs[first:first + at_once])
+        paths.append(_finish(rows, bins, fits, tops, [n for n in small if n[:2] in some], seed, unit))
+    parts = rows.sparkSession.read.schema(PARTS).parquet(*paths) if paths else None
     below = {} if parts is None else {r.fit: r.n for r in parts.groupBy("fit").agg(F.sum(F.octet_length("d") / 8).cast("long").alias("n")).collect()}
     out = []
     for i, f in enumerate(fits):

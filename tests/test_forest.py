@@ -1,5 +1,7 @@
 """Forests: both ways of growing against a plain recursive version, and the settings as given."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,33 @@ def test_large_forests_predict_without_passing_through_the_driver(spark, table,
         got = m.predict(twice, ["id", "_at"]).collect()
         assert len(got) == 2 * N and all(r.pred_mean == known[r.id] and r["_at"] is None for r in got)
     assert models[0].predict(table.limit(0), ["id"]).count() == 0
+
+
+def test_rows_that_are_binned_alike_count_as_one_for_a_task(spark, monkeypatch):
+    """480 rows of 12 kinds, in an order that parts them: tasks finish the trees from 12 sums, and rows of a kind are predicted once."""
+    df = spark.range(480).select("id", F.array(F.col("id") % 4 * 1.0, F.floor(F.col("id") / 160) * 1.0).alias("features"),
+                                 ((F.col("id") * 37) % 101 + 10.0 * (F.col("id") % 4)).alias("t"), (F.col("id") % 3).alias("fold")).repartition(4)
+    rows = df.withColumn("hash", F.xxhash64("id")).orderBy("id").collect()
+    x, y, ids = np.array([r.features for r in rows]), np.array([r.t for r in rows]), np.array([r.hash for r in rows])
+    monkeypatch.setattr(forest, "_level_pass", lambda *_: pytest.fail("a pass for nodes that a task can finish"))
+    fits = [forest.Fit(SETTINGS[0], F.col("fold") != f) for f in (0, 1)]
+    models = forest.fit_many(df, fits, ["id"], 2, local_rows=15)
+    for f, model in zip((0, 1), models):
+        mine = np.array([r.fold != f for r in rows])
+        plain = [plain_tree(model.bins.of(x)[mine], model.bins.sizes, y[mine], ids[mine], SETTINGS[0], 73, t) for t in range(3)]
+        assert [same(nested_tuples(a), b) for a, b in zip(model.trees, plain)] == [True] * 3
+    known, sent, chunked = models[0].predict_arrays(x), [], forest._chunked
+    monkeypatch.setattr(forest, "HELD_NODES", 0)
+    monkeypatch.setattr(forest, "_chunked", lambda rows, *a: sent.append(rows.count()) or chunked(rows, *a))
+    got = {r.id: r.pred_mean for r in models[0].predict(df, ["id"]).collect()}
+    assert sent == [12] and [got[r.id] for r in rows] == pytest.approx(list(known), rel=1e-12)
+
+
+def test_trees_do_not_depend_on_how_rows_lie(table, arrays):
+    """Sums are exact, so that equal gains stay equal in any order of the rows."""
+    width = arrays[0].shape[1]
+    ready = forest.prepare(table, [F.lit(True)], ["id"], width, max_bins=32)
+    a, b = (forest.fit_table(t, [forest.Fit(SETTINGS[0], F.lit(True))])[0].trees for t in (ready, replace(ready, rows=ready.rows.repartition(7, "id"))))
+    assert all((u == v).all() for p, q in zip(a, b) for u, v in zip(p, q))
+    odd = table.withColumn("t", F.when(F.col("id") == 5, float("nan")).otherwise(F.col("t")))
+    assert np.isnan(forest.fit_many(odd, [forest.Fit(forest.Settings(2, 3), F.lit(True))], ["id"], width)[0].predict_arrays(arrays[0])).all()
