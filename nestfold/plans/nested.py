@@ -6,6 +6,7 @@ over outer runs and trials, i.e. over model fits, and holds settings and scores.
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -87,6 +88,19 @@ def _spread(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.repartition(max(1, min(cores, n // ROWS_PER_TASK)), *key)
 
 
+class Once:
+    """Something that the trials of a search make once; a failure is not kept."""
+
+    def __init__(self):
+        self._lock, self._made = threading.Lock(), None
+
+    def get(self, make: Callable[[], Any]) -> Any:
+        with self._lock:
+            if self._made is None:
+                self._made = make()
+            return self._made
+
+
 @dataclass(frozen=True)
 class Family:
     """How a model family scales its data, and how it is fitted."""
@@ -97,7 +111,7 @@ class Family:
     learners: Callable[[Study, Mapping[str, Any], int], list[net.Learner]] | None = None  # set for families that a running search trains
     fit_runs: Callable[[Study, Mapping[int, Mapping[str, Any]]], dict[int, Predictor]] | None = None  # all outer runs in the same passes
     altered: Callable[[Mapping[str, Any]], str | None] | None = None  # which settings run otherwise than given
-    fit_parts: Callable[[DataFrame, Study, Mapping[str, Any], Sequence[Column]], list[Predictor]] | None = None  # several parts of the rows at once
+    fit_parts: Callable[[DataFrame, Study, Mapping[str, Any], Sequence[Column], Once | None], list[Predictor]] | None = None  # several parts of the rows at once
     budget: str | None = None  # the setting that the best trial's epochs or rounds go to
 
 
@@ -147,10 +161,14 @@ def fit_grown_forest(train: DataFrame, study: Study, params: Mapping[str, Any])
     return fit_forest_parts(train, study, params, [F.lit(True)])[0]
 
 
-def fit_forest_parts(train: DataFrame, study: Study, params: Mapping[str, Any], parts: Sequence[Column]) -> list[Predictor]:
-    """A forest for each condition on the rows, such as all but one inner fold, in the same passes."""
+def fit_forest_parts(train: DataFrame, study: Study, params: Mapping[str, Any], parts: Sequence[Column], once: Once | None = None) -> list[Predictor]:
+    """A forest for each condition on the rows, such as all but one inner fold, in the same passes.
+
+    Calls with the same ``once`` share the binned table, as rows and parts do not depend on the settings.
+    """
     fits = [forest.Fit(forest.Settings.of(params), part) for part in parts]
-    return [m.predict for m in forest.fit_many(train, fits, study.key, len(study.features))]
+    table = (once or Once()).get(lambda: forest.prepare(train, parts, study.key, len(study.features)))
+    return [m.predict for m in forest.fit_table(table, fits)]
 
 
 def fit_forest_runs(study: Study, params_of_run: Mapping[int, Mapping[str, Any]]) -> dict[int, Predictor]:
@@ -285,20 +303,26 @@ class Outcome:
     message: str | None = None
 
 
-def cv_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse) -> float:
+def cv_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse,
+                 once: Once | None = None) -> float:
     """Fit per inner fold, score the left-out fold, mean over folds."""
     folds = range(1, study.k_inner + 1)
     if family.fit_parts:
-        models = family.fit_parts(train, study, params, [F.col("inner_fold") != fold for fold in folds])
+        models = family.fit_parts(train, study, params, [F.col("inner_fold") != fold for fold in folds], once)
+        scores = _at_once(train.sparkSession, lambda f: _metric_on(models[f - 1], train.filter(F.col("inner_fold") == f), metric), folds, len(folds))
     else:
         models = (family.fit(train.filter(F.col("inner_fold") != fold), study, params) for fold in folds)
-    scores = [_metric_on(fitted, train.filter(F.col("inner_fold") == fold), metric) for fold, fitted in zip(folds, models)]
+        scores = [_metric_on(fitted, train.filter(F.col("inner_fold") == fold), metric) for fold, fitted in zip(folds, models)]
     return sum(scores) / len(scores)
 
 
-def holdout_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse) -> float:
+def holdout_objective(study: Study, family: Family, train: DataFrame, params: Mapping[str, Any], metric: metrics.Metric = metrics.mse,
+                      once: Once | None = None) -> float:
     """Fit on three quarters of the training rows, score the rest."""
-    fitted = family.fit(train.filter(~F.col("is_test")), study, params)
+    if family.fit_parts:
+        fitted = family.fit_parts(train, study, params, [~F.col("is_test")], once)[0]
+    else:
+        fitted = family.fit(train.filter(~F.col("is_test")), study, params)
     return _metric_on(fitted, train.filter("is_test"), metric)
 
 
@@ -351,7 +375,7 @@ def search(
     metric_fn = metric or metrics.METRICS[name]
     if strategy == "holdout":
         train = split.with_holdout(train, study.key)
-    objective = holdout_objective if strategy == "holdout" else cv_objective
+    objective, once = holdout_objective if strategy == "holdout" else cv_objective, Once()
 
     def one_trial(config: Mapping[str, Any]) -> Outcome:
         began = datetime.now(timezone.utc)
@@ -359,7 +383,7 @@ def search(
             if family.fit is fit_boosted and metric is None:
                 out = boosted_objective(study, train, config, strategy)
             else:
-                out = Outcome(float(objective(study, family, train, config, metric_fn)))
+                out = Outcome(float(objective(study, family, train, config, metric_fn, once)))
                 out.message = family.altered(config) if family.altered else None
         except REFUSED as e:
             out = Outcome(None, state="FAIL", message=f"{type(e).__name__}: {e}"[:500])

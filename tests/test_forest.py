@@ -193,3 +193,14 @@ def test_trees_do_not_depend_on_how_rows_lie(table, arrays):
     assert all((u == v).all() for p, q in zip(a, b) for u, v in zip(p, q))
     odd = table.withColumn("t", F.when(F.col("id") == 5, float("nan")).otherwise(F.col("t")))
     assert np.isnan(forest.fit_many(odd, [forest.Fit(forest.Settings(2, 3), F.lit(True))], ["id"], width)[0].predict_arrays(arrays[0])).all()
+
+
+@pytest.mark.parametrize("holdout_above", [0, 10**9])
+def test_trials_of_a_search_share_the_binned_table(spark, monkeypatch, holdout_above):
+    df = spark.range(300).select("id", ((F.col("id") * 37 % 300) / 300).alias("a"), (F.col("id") % 3 * 1.0).alias("b"))
+    study = nested.prepare(df.withColumn("y", F.sin(6 * F.col("a")) + F.col("b")), ["id"], ["a", "b"], "curve", k_outer=2, k_inner=2)
+    configs = [{"n_estimators": n, "max_depth": 6} for n in (2, 3)]
+    made, binned = [], forest.binned
+    monkeypatch.setattr(forest, "binned", lambda rows, bins, keep, *a: made.append(list(keep)) or binned(rows, bins, keep, *a))
+    log = nested.search(study, "GRF", 1, configs, holdout_above=holdout_above).orderBy("number").collect()
+    assert [r.state for r in log] == ["COMPLETE"] * 2 and all(0 < r.value < 0.5 for r in log) and made.count(["id", "label", "train"]) == 1
